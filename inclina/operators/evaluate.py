@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inclina.operators.aggregates import group_median  # noqa: F401  (re-exported for metric tables)
 from inclina.operators.ordering import exact_quantiles, prefix_sums
 
 

@@ -7,6 +7,7 @@ loads. Steps wrapped in :class:`FitOnly` act on the fit rows alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -139,7 +140,7 @@ class Standardise(_NumericStep):
 class Dummies(Estimator):
     """Indicator columns ``<column>_<level>`` for every level but the first in sorted order.
 
-    Levels unseen while fitting, and null, give 0 in every indicator.
+    Signs other than letters and digits read ``_`` in the column name. Levels unseen while fitting, and null, give 0 in every indicator.
     """
 
     def __init__(self, columns: Sequence[str]):
@@ -147,15 +148,24 @@ class Dummies(Estimator):
         self.columns = list(columns)
 
     def _fit(self, df: DataFrame) -> Transformer:
-        new = []
-        for c in self.columns:
-            levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(MAX_LEVELS + 1).collect()]
-            if len(levels) > MAX_LEVELS:
-                raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-            for level in sorted(map(str, levels))[1:]:
-                new.append(f"CAST(coalesce(CAST({_q(c)} AS STRING) = {_text(level)}, false) AS INT) AS {_q(f'{c}_{level}')}")
         if not self.columns:
             return _replace({})
+        text = df.select(*[F.col(c).cast("string").alias(c) for c in self.columns])
+        seen = text.unpivot([], self.columns, "variable", "value").where(F.col("value").isNotNull()).distinct()
+        found: dict[str, list[str]] = {c: [] for c in self.columns}
+        for row in seen.limit(MAX_LEVELS * len(self.columns) + 1).collect():
+            found[row["variable"]].append(row["value"])
+        wide = [c for c, levels in found.items() if len(levels) > MAX_LEVELS]
+        if wide:
+            raise ValueError(f"{wide} have more than {MAX_LEVELS} levels")
+        new = []
+        for c, levels in found.items():
+            taken: set[str] = set()
+            for level in sorted(levels)[1:]:
+                name = f"{c}_" + re.sub(r"\W+", "_", level)
+                name = name if name not in taken else f"{name}_{len(taken)}"
+                taken.add(name)
+                new.append(f"CAST(coalesce(CAST({_q(c)} AS STRING) = {_text(level)}, false) AS INT) AS {_q(name)}")
         gone = ", ".join(map(_q, self.columns))
         return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}){''.join(', ' + e for e in new)} FROM __THIS__")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from inclina.operators.evaluate import auc, classification_metrics, log_loss
 from inclina.operators.features import drop_columns, label_index
 from inclina.operators.sampling import fold
-from inclina.session import materialize
+from inclina.session import materialize, side_by_side
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -61,7 +61,7 @@ class AdaBoostM1(Estimator):
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         work = df.select(self.features, self.label).withColumn("_w", F.lit(1.0)).persist()
-        trees, alphas = [], []
+        trees, alphas, spent = [], [], []
         for t in range(self.rounds):
             name = f"_vote{t}"
             tree = DecisionTreeClassifier(
@@ -84,11 +84,11 @@ class AdaBoostM1(Estimator):
             following = voted.select(self.features, self.label, raised.alias("_w"))
             if (t + 1) % self.checkpoint_every == 0:
                 following = materialize(following)
-            following = following.persist()
-            following.count()
-            work.unpersist()
-            work = following
-        work.unpersist()
+            work, spent = following.persist(), [*spent, work]
+            if len(spent) > 2:  # the next tree reads only the newest weights, which are stored by then
+                spent.pop(0).unpersist()
+        for done in [*spent, work]:
+            done.unpersist()
         return self._votes(trees, alphas)
 
     def _votes(self, trees: list, alphas: list[float]) -> PipelineModel:
@@ -116,7 +116,17 @@ class Candidate:
 
 
 def _with(cls, **settings) -> Callable[..., Estimator]:
-    return lambda **columns: cls(**settings, **columns)
+    """A builder that sets the given columns; not every classifier takes them when constructed."""
+
+    def build(**columns: str) -> Estimator:
+        if issubclass(cls, AdaBoostM1):
+            return cls(**settings, **columns)
+        estimator = cls(**settings)
+        for name, value in columns.items():
+            estimator.set(estimator.getParam(name), value)
+        return estimator
+
+    return build
 
 
 def default_candidates() -> list[Candidate]:
@@ -174,7 +184,7 @@ def evaluate_model(model: Transformer, df: DataFrame, label: str = "label") -> d
 
 def leaderboard(
     train: DataFrame, valid: DataFrame, candidates: Sequence[Candidate] | None = None, max_models: int = 10,
-    label: str = "label", features: str = "features", weight: str | None = None,
+    label: str = "label", features: str = "features", weight: str | None = None, threads: int = 4,
 ) -> Leaderboard:
     """Fit up to ``max_models`` settings on the same rows and rank them on the same validation rows.
 
@@ -183,17 +193,23 @@ def leaderboard(
     board = Leaderboard()
     extra = {"weightCol": weight} if weight else {}
     train, valid = train.persist(), valid.persist()
-    for c in list(candidates or default_candidates())[:max_models]:
+
+    def fit(c: Candidate) -> tuple[Transformer, dict]:
         model = c.build(featuresCol=features, labelCol=label, **extra).fit(train)
+        return model, {"name": c.name, "family": c.family, **evaluate_model(model, valid, label)}
+
+    chosen = list(candidates or default_candidates())[:max_models]
+    for c, (model, row) in zip(chosen, side_by_side(fit, chosen, threads)):
         board.models[c.name] = model
-        board.rows.append({"name": c.name, "family": c.family, **evaluate_model(model, valid, label)})
+        board.rows.append(row)
     train.unpersist()
     valid.unpersist()
     return board
 
 
 def stack(
-    df: DataFrame, bases: Sequence[Candidate], key: Column | str, k: int = 5, seed=1, label: str = "label", features: str = "features"
+    df: DataFrame, bases: Sequence[Candidate], key: Column | str, k: int = 5, seed=1, label: str = "label", features: str = "features",
+    threads: int = 4,
 ) -> PipelineModel:
     """Stacked ensemble: a non-negative logistic model over out-of-fold base scores.
 
@@ -210,16 +226,22 @@ def stack(
             stages += [m, VectorSlicer(inputCol=f"_prob{i}", outputCol=f"_base{i}", indices=[1])]
         return [*stages, VectorAssembler(inputCols=[f"_base{i}" for i in range(len(models))], outputCol="_stack")]
 
+    def fit(job: tuple[int | None, int]) -> Transformer:
+        f, i = job
+        rest = data if f is None else data.where(F.col("_fold") != f)
+        return bases[i].build(featuresCol=features, labelCol=label, **columns(i)).fit(rest)
+
+    jobs = list(itertools.product([*range(k), None], range(len(bases))))
+    fitted = dict(zip(jobs, side_by_side(fit, jobs, threads)))
     held_out = None
     for f in range(k):
-        rest = data.where(F.col("_fold") != f)
-        models = [b.build(featuresCol=features, labelCol=label, **columns(i)).fit(rest) for i, b in enumerate(bases)]
+        models = [fitted[f, i] for i in range(len(bases))]
         part = PipelineModel(scorers(models)).transform(data.where(F.col("_fold") == f)).select(label, "_stack")
         held_out = part if held_out is None else held_out.unionByName(part)
     held_out = materialize(held_out)
     bounds = DenseMatrix(1, len(bases), [0.0] * len(bases))
     meta = LogisticRegression(featuresCol="_stack", labelCol=label, lowerBoundsOnCoefficients=bounds).fit(held_out)
-    final = [b.build(featuresCol=features, labelCol=label, **columns(i)).fit(data) for i, b in enumerate(bases)]
+    final = [fitted[None, i] for i in range(len(bases))]
     data.unpersist()
     scored = PipelineModel(scorers(final)).transform(df.limit(0))
     temporary = [c for c in scored.columns if c not in df.columns]
@@ -243,7 +265,7 @@ def tune(
         ).fit(data)
         for i, (mean, sd) in enumerate(zip(cv.avgMetrics, cv.stdMetrics)):
             settings = ",".join(sorted(f"{p.name}={v}" for p, v in grid[i].items()))
-            rows.append({"setting": i, "params": settings, "repeat": r, "metric": mean, "sd": sd})
+            rows.append({"setting": i, "params": settings, "repeat": r, "metric": float(mean), "sd": float(sd)})
     data.unpersist()
     mean = {i: sum(x["metric"] for x in rows if x["setting"] == i) / repeats for i in range(len(grid))}
     best = max(mean, key=lambda i: (mean[i], -i))
@@ -298,12 +320,14 @@ class ProductSpec:
 def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[..., Estimator]) -> dict[str, PipelineModel]:
     """One fitted pipeline (assembly + classifier) per product from the same feature table."""
     df = df.persist()
-    models = {}
-    for spec in specs:
+
+    def fit(spec: ProductSpec) -> PipelineModel:
         rows = df.withColumn("label", label_index(spec.label, spec.positive)).where(F.col("label").isNotNull())
         assemble = assembler(spec.features)
         fitted = build(featuresCol="features", labelCol="label").fit(assemble.transform(rows).select("features", "label"))
-        models[spec.product] = PipelineModel([assemble, fitted])
+        return PipelineModel([assemble, fitted])
+
+    models = {spec.product: model for spec, model in zip(specs, side_by_side(fit, specs))}
     df.unpersist()
     return models
 

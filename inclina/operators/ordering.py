@@ -2,8 +2,8 @@
 
 A plain window puts a whole group into one task. Everything here first combines equal order values
 map-side, then either windows a result whose size was counted, or range-partitions it and carries
-one subtotal per range slice. Row numbers, exact quantiles, selections by rank and score curves are
-all read off the same prefix sums.
+one subtotal per range slice. Row numbers, exact quantiles, splits by rank and score curves are all
+read off the same prefix sums.
 """
 
 from __future__ import annotations
@@ -20,6 +20,17 @@ from inclina.session import materialize
 WINDOW_ROWS = 1 << 20
 
 
+def _totals(df: DataFrame, keys: list[str], order: list[str], measures: Mapping[str, Column], window_rows: int):
+    """Sums per distinct (keys, order), stored, and whether they are few enough for a window."""
+    totals = materialize(df.groupBy(*keys, *order).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
+    return totals, totals.count() <= window_rows
+
+
+def _before(totals: DataFrame, keys: list[str], by: list[Column], names: list[str]) -> DataFrame:
+    earlier = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names})
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,13 +42,16 @@ def prefix_sums(
     """Per distinct (keys, order): the sum of each measure and ``<measure>_before``, the sum of the
     rows that come earlier within the same keys. Nulls sort last."""
     keys, order, names = list(keys), list(order), list(measures)
-    totals = materialize(df.groupBy(*keys, *order).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
+    totals, small = _totals(df, keys, order, measures, window_rows)
     direction = "asc_nulls_last" if ascending else "desc_nulls_last"
     by = [getattr(F.col(c), direction)() for c in order]
-    earlier = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    if totals.count() <= window_rows:
-        return totals.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names})
+    if small:
+        return _before(totals, keys, by, names)
+    return _sliced_sums(totals, keys, order, by, names)
+
 
+def _sliced_sums(totals: DataFrame, keys: list[str], order: list[str], by: list[Column], names: list[str]) -> DataFrame:
+    """Prefix sums over range slices: within each slice by a window, across slices by carried sums."""
     # The checkpoint freezes which row lies in which slice: both uses below must see the same cut.
     sliced = materialize(
         totals.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], *by)
@@ -109,11 +123,14 @@ def exact_quantiles(
     data = df.select(*keys, F.col(column).cast("double").alias("_x"), copies.alias("_w"))
     if not keys:
         data = data.withColumn("_all", F.lit(0))
-    steps = prefix_sums(
-        data.where(F.col("_x").isNotNull() & ~F.isnan("_x")), group, ["_x"], {"n": F.col("_w")}, True, window_rows
-    )
-    sizes = materialize(steps.groupBy(*group).agg(F.sum("n").alias("_size")))
-    placed = attach_checked(steps, sizes, group)
+    data = data.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    totals, small = _totals(data, group, ["_x"], {"n": F.col("_w")}, window_rows)
+    by = [F.col("_x").asc()]
+    if small:
+        placed = _before(totals, group, by, ["n"]).withColumn("_size", F.sum("n").over(Window.partitionBy(*group)))
+    else:
+        sizes = materialize(totals.groupBy(*group).agg(F.sum("n").alias("_size")))
+        placed = attach_checked(_sliced_sums(totals, group, ["_x"], by, ["n"]), sizes, group)
     picks = []
     for i, p in enumerate(probs):
         place = (F.col("_size") - 1) * F.lit(float(p))
@@ -129,13 +146,6 @@ def exact_quantiles(
     return found.select(*keys, "n", *quantiles)
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, window_rows: int = WINDOW_ROWS):
-    """The ``rank``-th smallest value (1-based) of a column, found without a global sort task."""
-    steps = prefix_sums(df.select(column), [], [column], {"n": F.lit(1)}, True, window_rows)
-    hit = steps.where((F.col("n_before") < rank) & (F.col("n_before") + F.col("n") >= rank)).first()
-    return None if hit is None else hit[column]
-
-
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each map partition to ``k`` per group before it
     shuffles, so a task receives at most ``k`` rows per group and map partition."""

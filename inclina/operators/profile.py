@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from inclina.functions.aggregates import missing
 from inclina.operators.aggregates import numeric_columns, value_counts
-from inclina.operators.joins import left_join_ns
-from inclina.operators.ordering import exact_quantiles
+from inclina.operators.joins import attach_checked
+from inclina.operators.ordering import exact_quantiles, prefix_sums
 from inclina.session import materialize
 
 #: Columns aggregated together; wider projections would outgrow generated code.
@@ -126,12 +126,10 @@ def class_quantiles(df: DataFrame, by: str, column: str, probs: Sequence[float])
 
 def cumulative_distribution(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """ECDF points: share of values at or below each distinct value (per class)."""
-    from inclina.operators.ordering import prefix_sums
-
     steps = prefix_sums(df.where(F.col(column).isNotNull()), list(by), [column], {"n": F.lit(1)})
     sizes = materialize(df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("_size")))
     if by:
-        joined = left_join_ns(steps, sizes, list(by))
+        joined = attach_checked(steps, sizes, list(by))
     else:
         joined = steps.withColumn("_size", F.lit(sizes.first()["_size"]))
     return joined.select(*by, column, ((F.col("n_before") + F.col("n")) / F.col("_size")).alias("ecdf"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inclina.operators.aggregates import long_to_wide
 from inclina.operators.joins import BROADCAST_ROWS
-from inclina.operators.ordering import exact_quantiles, top_per_group
+from inclina.operators.ordering import exact_quantiles, number_rows, top_per_group
 from inclina.session import materialize
 
 #: Items per block of the co-rating products; a task holds four block x block matrices.
@@ -136,8 +136,6 @@ def co_rated_sums(df: DataFrame, user: str, item: str, value: str, block: int =
     user x item tiles. One (user, block pair) holds at most two blocks of ratings however active the
     user, and a task emits sums, not pairs. Up to ``block`` items there is exactly one block pair.
     """
-    from inclina.operators.ordering import number_rows
-
     items = materialize(number_rows(df.select(item).distinct(), [], [item], "item_no"))
     n_items = items.count()
     block = max(1, min(block, n_items))

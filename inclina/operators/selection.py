@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inclina.operators.evaluate import classification_metrics
 from inclina.operators.profile import beta_tail
 from inclina.operators.sampling import bootstrap_copies, class_sizes, fold
+from inclina.session import side_by_side
 
 
 def _vectors(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> DataFrame:
@@ -41,7 +42,7 @@ def size_grid(p: int, smallest: int = 3) -> list[int]:
 
 def rfe(
     df: DataFrame, label: str, features: Sequence[str], key: Column | str, sizes: Sequence[int] | None = None,
-    resamples: int = 3, trees: int = 500, depth: int = 5, seed: int = 1,
+    resamples: int = 3, trees: int = 500, depth: int = 5, seed: int = 1, threads: int = 4,
 ) -> dict:
     """Recursive elimination by forest importance over bootstrap resamples.
 
@@ -52,8 +53,9 @@ def rfe(
     sizes = list(sizes or size_grid(len(features)))
     drawn = [bootstrap_copies(key, r, seed).cast("double").alias(f"_copies{r}") for r in range(resamples)]
     data = _vectors(df, features, [F.col(label).cast("double").alias("label"), *drawn]).persist()
-    results, variables = [], []
-    for r in range(resamples):
+
+    def resample(r: int) -> tuple[list, list]:
+        results, variables = [], []
         w = f"_copies{r}"
         bag, out_of_bag = data.where(F.col(w) > 0), data.where(F.col(w) == 0)
         full, m = _forest_score(bag, out_of_bag, range(len(features)), trees, depth, seed + r, w)
@@ -69,6 +71,11 @@ def rfe(
             results.append((r, s, m_s["accuracy"], m_s["kappa"]))
             importance = forest.featureImportances.toArray()
             variables += [(r, s, features[i], float(importance[j])) for j, i in enumerate(subset)]
+        return results, variables
+
+    parts = side_by_side(resample, range(resamples), threads)
+    results = [row for part, _ in parts for row in part]
+    variables = [row for _, part in parts for row in part]
     data.unpersist()
     mean = {s: sum(a for _, z, a, _ in results if z == s) / resamples for s in sizes}
     best = max(sizes, key=lambda s: (mean[s], -s))
@@ -85,6 +92,7 @@ def random_masks(population: int, n: int, max_features: int, rng: random.Random)
 def genetic_select(
     df: DataFrame, label: str, features: Sequence[str], key: Column | str, generations: int = 10, population: int = 10,
     k: int = 5, trees: int = 100, depth: int = 5, max_features: int | None = None, mutation: float = 0.1, seed: int = 10,
+    threads: int = 4,
 ) -> dict:
     """Genetic search for the feature subset with the best cross-validated forest accuracy.
 
@@ -96,14 +104,17 @@ def genetic_select(
     data = _vectors(df, features, [F.col(label).cast("double").alias("label"), fold(key, k, seed).alias("_fold")]).persist()
     known: dict[tuple[int, ...], float] = {}
 
-    def fitness(mask: tuple[int, ...]) -> float:
-        if mask not in known:
-            scores = []
-            for f in range(k):
-                _, m = _forest_score(data.where(F.col("_fold") != f), data.where(F.col("_fold") == f), mask, trees, depth, seed)
-                scores.append(m["accuracy"])
-            known[mask] = sum(scores) / k
-        return known[mask]
+    def one(job: tuple[tuple[int, ...], int]) -> float:
+        mask, f = job
+        inside, outside = data.where(F.col("_fold") != f), data.where(F.col("_fold") == f)
+        return _forest_score(inside, outside, mask, trees, depth, seed)[1]["accuracy"]
+
+    def judge(masks: Sequence[tuple[int, ...]]) -> None:
+        jobs = [(m, f) for m in dict.fromkeys(masks) if m not in known for f in range(k)]
+        for (m, _), accuracy in zip(jobs, side_by_side(one, jobs, threads)):
+            known[m] = known.get(m, 0.0) + accuracy / k
+
+    fitness = known.__getitem__
 
     def child(pool: list[tuple[int, ...]]) -> tuple[int, ...]:
         parents = [max(rng.sample(pool, min(2, len(pool))), key=lambda m: (fitness(m), m)) for _ in range(2)]
@@ -114,6 +125,7 @@ def genetic_select(
     pool = random_masks(population, n, max_features or n, rng)
     history = []
     for g in range(generations):
+        judge(pool)
         best = max(pool, key=lambda m: (fitness(m), [-i for i in m]))
         history.append((g, sum(map(fitness, pool)) / len(pool), fitness(best), len(best)))
         if g < generations - 1:

@@ -21,7 +21,7 @@ from inclina.functions.columns import (
     year_month_label,
     zero_if_missing,
 )
-from inclina.operators.joins import attach_checked
+from inclina.operators.joins import left_join_ns
 from inclina.operators.ordering import exact_quantiles, number_rows
 from inclina.operators.score import score_customers
 from inclina.session import materialize
@@ -84,16 +84,16 @@ def _last_counters(days: DataFrame, credits: DataFrame) -> tuple[DataFrame, int
         .withColumn("_last", (F.col("_span") - 1) * F.col("_credits") + F.col("_credit"))
         .drop("id_cliente", "_span")
     )
-    unnamed = F.max(F.when(F.col("NO_CREDITO").isNull(), F.col("_last")))
-    seen = reached.agg(unnamed.alias("unnamed"), F.max("_credits").alias("widest")).first()
     holders = reached.select(F.col("ID_CLIENTE_N5").alias("id_cliente")).distinct()
-    lone = spans.join(holders, "id_cliente", "left_anti").agg(F.max("_span")).first()[0]
-    no_credit = max((x for x in (lone, seen["unnamed"]) if x is not None), default=None)
+    lone = spans.join(holders, "id_cliente", "left_anti").select(F.col("_span").alias("last"), F.lit(None).cast("bigint").alias("credits"))
+    unnamed = F.when(F.col("NO_CREDITO").isNull(), F.col("_last"))
+    seen = lone.unionByName(reached.select(unnamed.alias("last"), F.col("_credits").cast("bigint").alias("credits")))
+    no_credit, widest = seen.agg(F.max("last"), F.max("credits")).first()
     named = reached.where(F.col("NO_CREDITO").isNotNull())
     per_credit = named.groupBy("NO_CREDITO").agg(F.max("_last").alias("max_mes"))
     nameless = reached.where(F.col("NO_CREDITO").isNull()).withColumn("max_mes", F.lit(no_credit).cast("bigint"))
     out = named.join(per_credit, "NO_CREDITO").unionByName(nameless).drop("_last")
-    return out, no_credit, seen["widest"] or 0
+    return out, no_credit, widest or 0
 
 
 def join_panel(days: DataFrame, credits: DataFrame, widest: int, chunk: int = CREDITS_PER_CHUNK) -> DataFrame:
@@ -146,7 +146,8 @@ def duration_quantiles(panel: DataFrame) -> DataFrame:
 
 def duration_groups(panel: DataFrame) -> DataFrame:
     """Quartile group of the credit's longest counter within its product."""
-    cut = attach_checked(panel, materialize(duration_quantiles(panel)), ["producto"])
+    # one row per product class: at most the listed classes, the default and null
+    cut = left_join_ns(panel, F.broadcast(duration_quantiles(panel)), ["producto"])
     group = F
     for p, g in ((25, "g1"), (50, "g2"), (75, "g3")):
         group = group.when(F.col("max_mes") <= F.col(f"percentil_{p}"), F.lit(g))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,6 +17,8 @@ def get_session(app: str = "inclina", master: str | None = None, **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
     )
     if master:
         builder = builder.master(master)
@@ -45,3 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage at a reliable checkpoint."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(fn: Callable, items: Iterable, threads: int = 4) -> list:
+    """Submit independent Spark jobs from a few driver threads; results keep the order of ``items``."""
+    items = list(items)
+    if len(items) < 2 or threads < 2:
+        return [fn(i) for i in items]
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(inheritable_thread_target(fn), items, chunksize=1)
