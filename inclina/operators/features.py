@@ -210,7 +210,8 @@ class NearZeroVariance(_NumericStep):
 
 
 class VariancePCA(_NumericStep):
-    """Scaled principal components that reach a share of the variance, as one vector column.
+    """Scaled principal components that reach a share of the variance, as one vector column in place
+    of the columns they summarise.
 
     Each component's largest loading is positive.
     """
@@ -236,7 +237,7 @@ class VariancePCA(_NumericStep):
                 full,
                 ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol="_all", outputCol="_turned"),
                 VectorSlicer(inputCol="_turned", outputCol=self.out, indices=list(range(k))),
-                drop_columns(["_raw", "_scaled", "_all", "_turned"]),
+                drop_columns([*columns, "_raw", "_scaled", "_all", "_turned"]),
             ]
         )
 

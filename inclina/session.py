@@ -58,4 +58,4 @@ def side_by_side(fn: Callable, items: Iterable, threads: int = 4) -> list:
     if len(items) < 2 or threads < 2:
         return [fn(i) for i in items]
     with ThreadPool(min(threads, len(items))) as pool:
-        return pool.map(inheritable_thread_target(fn), items, chunksize=1)
+        return pool.map(inheritable_thread_target(SparkSession.active())(fn), items, chunksize=1)
