@@ -327,9 +327,9 @@ def _(t):
 
 @query("univariate_filter")
 def _(t):
-    """Features whose ANOVA is significant in at least half of the training folds."""
+    """Share of training folds in which each feature's ANOVA is significant; half keeps it."""
     kept = selection.univariate_filter(e.labelled_texts(t), "label", TEXT, "doc_id", k=5, repeats=2)
-    return t.spark.createDataFrame(kept, "variable string, share double")
+    return t.spark.createDataFrame(kept, "variable string, share double, kept boolean")
 
 
 @query("projected_variables", "SELECT doc_id, label, n_chars, n_words FROM labelled_texts", ["labelled_texts"])
@@ -436,6 +436,16 @@ def _(t):
     return rounded(out)
 
 
+@query("product_leaderboards")
+def _(t):
+    """Per product: candidates ranked on validation customers, the best measured on test customers."""
+    panel = daily.daily_panel(e.movements(t), e.openings(t))
+    kept = [c for c in models.default_candidates() if c.name in ("glm_plain", "drf_20")]
+    found = models.product_leaderboards(panel, _product_specs(), "id_cliente", kept)
+    rows = [(p, r.name, len(r.board.rows), r.test_auc, r.threshold, r.f1) for p, r in found.items()]
+    return rounded(t.spark.createDataFrame(rows, "product string, model string, ranked int, auc double, threshold double, f1 double"))
+
+
 @query("group_models")
 def _(t):
     """One logistic model per duration group; the score of every row by its own group's model."""

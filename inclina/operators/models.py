@@ -26,9 +26,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inclina.operators.evaluate import auc, classification_metrics, log_loss
+from inclina.operators.evaluate import auc, best_threshold, classification_metrics, log_loss
 from inclina.operators.features import drop_columns, label_index
-from inclina.operators.sampling import fold
+from inclina.operators.sampling import class_sizes, fold, hash_split
 from inclina.session import materialize, side_by_side
 
 
@@ -309,12 +309,18 @@ def importance_table(spark, model: Transformer, features: Sequence[str]) -> Data
 
 @dataclass(frozen=True)
 class ProductSpec:
-    """How one product's model is trained: its label column, positive value and features."""
+    """How one product's model is trained: its label column, positive value and features, and the SQL
+    condition of its training rows (such as customers whose market card is active)."""
 
     product: str
     label: str
     positive: object
     features: tuple[str, ...]
+    rows: str = "true"
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """Rows of the product with a known 0/1 ``label``."""
+        return df.where(self.rows).withColumn("label", label_index(self.label, self.positive)).where(F.col("label").isNotNull())
 
 
 def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[..., Estimator]) -> dict[str, PipelineModel]:
@@ -322,9 +328,9 @@ def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[
     df = df.persist()
 
     def fit(spec: ProductSpec) -> PipelineModel:
-        rows = df.withColumn("label", label_index(spec.label, spec.positive)).where(F.col("label").isNotNull())
         assemble = assembler(spec.features)
-        fitted = build(featuresCol="features", labelCol="label").fit(assemble.transform(rows).select("features", "label"))
+        rows = assemble.transform(spec.labelled(df)).select("features", "label")
+        fitted = build(featuresCol="features", labelCol="label").fit(rows)
         return PipelineModel([assemble, fitted])
 
     models = {spec.product: model for spec, model in zip(specs, side_by_side(fit, specs))}
@@ -334,5 +340,42 @@ def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[
 
 def train_groups(df: DataFrame, group: str, spec: ProductSpec, build: Callable[..., Estimator]) -> dict[str, PipelineModel]:
     """One model per value of a group column (such as the duration groups)."""
-    names = sorted(r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().limit(1000).collect())
+    names = sorted(g for g in class_sizes(df, group, 1000) if g is not None)
     return {g: train_products(df.where(F.col(group) == g), [spec], build)[spec.product] for g in names}
+
+
+@dataclass
+class ProductResult:
+    """A product's ranking on the validation customers, chosen pipeline and held-out measures."""
+
+    board: Leaderboard
+    name: str
+    model: PipelineModel
+    test_auc: float | None
+    threshold: float
+    f1: float
+
+
+def product_leaderboards(
+    df: DataFrame, specs: Sequence[ProductSpec], customer: str, candidates: Sequence[Candidate], families: dict[str, str] | None = None,
+    weights: Sequence[float] = (0.7, 0.1, 0.2), seed=1234,
+) -> dict[str, ProductResult]:
+    """Per product: rank candidates on validation customers, keep the best (of a named family), and
+    measure it on test customers. Whole customers fall on one side."""
+    sides = hash_split(df, customer, weights, seed, ["train", "valid", "test"]).persist()
+    out = {}
+    for spec in specs:
+        assemble = assembler(spec.features)
+        rows = assemble.transform(spec.labelled(sides)).select("split", "features", "label")
+        part = {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")}
+        board = leaderboard(part["train"], part["valid"], candidates)
+        name, best = board.best_of((families or {}).get(spec.product))
+        scored = best.transform(part["test"])
+        held_out = materialize(scored.select("label", positive_probability(scored).alias("p")))
+        cut = best_threshold(held_out, "label", "p", 1.0).first()
+        out[spec.product] = ProductResult(
+            board, name, PipelineModel([assemble, best]), auc(held_out, "label", "p", 1.0).first()["auc"],
+            cut["threshold"] if cut else 0.5, cut["f1"] if cut else 0.0,
+        )
+    sides.unpersist()
+    return out

@@ -146,6 +146,13 @@ def exact_quantiles(
     return found.select(*keys, "n", *quantiles)
 
 
+def approx_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Sketched, not interpolated quantiles per group in one aggregate: for exploring wide tables."""
+    found = F.percentile_approx(F.col(column).cast("double"), [float(p) for p in probs], accuracy)
+    wide = df.groupBy(*keys).agg(F.count(column).alias("n"), found.alias("_q"))
+    return wide.select(*keys, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each map partition to ``k`` per group before it
     shuffles, so a task receives at most ``k`` rows per group and map partition."""

@@ -180,8 +180,8 @@ def anova(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
 
 def univariate_filter(
     df: DataFrame, label: str, features: Sequence[str], key: Column | str, k: int = 10, repeats: int = 5, alpha: float = 0.05, seed: int = 1
-) -> list[tuple[str, float]]:
-    """(feature, share of training folds with ANOVA p <= alpha) for features kept in at least half.
+) -> list[tuple[str, float, bool]]:
+    """(feature, share of training folds with ANOVA p <= alpha, kept): kept when at least half.
 
     One aggregate per repeat yields the moments of every fold and class; the moments of a training
     set are those of its folds merged.
@@ -198,7 +198,7 @@ def univariate_filter(
                         merged[c] = _merge(merged.get(c, (0, 0.0, 0.0)), stats[i])
                 hits[f] += _f_test(list(merged.values()))[1] <= alpha
     share = {f: h / (k * repeats) for f, h in hits.items()}
-    return sorted(((f, s) for f, s in share.items() if s >= 0.5), key=lambda x: (-x[1], x[0]))
+    return sorted(((f, s, s >= 0.5) for f, s in share.items()), key=lambda x: (-x[1], x[0]))
 
 
 def project(df: DataFrame, label: str, chosen: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

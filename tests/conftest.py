@@ -14,7 +14,8 @@ def spark():
     from inclina.session import get_session
 
     session = get_session(
-        "inclina-tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g"
+        "inclina-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -93,6 +93,14 @@ def test_products_have_their_own_labels(data):
     assert set(groups) == {"x", "y"}
 
 
+def test_product_leaderboards_hold_out_customers(data):
+    specs = [M.ProductSpec("a", "label", 1.0, ("signal", "noise"), rows="weak > -5")]
+    kept = [c for c in M.default_candidates() if c.name in ("glm_plain", "drf_20")]
+    found = M.product_leaderboards(data, specs, "id", kept, {"a": "drf"})["a"]
+    assert found.name == "drf_20" and len(found.board.rows) == 2 and found.test_auc > 0.6
+    assert found.model.transform(data).count() == 300
+
+
 def test_long_predictions(vectors):
     fitted = {"lr": LogisticRegression().fit(vectors), "rf": RandomForestClassifier(numTrees=3, seed=1).fit(vectors)}
     got = predictions(vectors, fitted, ["id"])
@@ -142,8 +150,8 @@ def test_anova(data):
 
 
 def test_filter_merges_fold_moments(data):
-    kept = dict(X.univariate_filter(data, "label", FEATURES, "id", k=4, repeats=2))
-    assert kept["signal"] == 1.0 and "noise" not in kept
+    found = {f: (share, kept) for f, share, kept in X.univariate_filter(data, "label", FEATURES, "id", k=4, repeats=2)}
+    assert found["signal"] == (1.0, True) and not found["noise"][1]
 
 
 def test_known_p_values():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inclina.operators.aggregates import group_median, long_to_wide, quantile_rows
 from inclina.operators.joins import align_columns, attach_checked, left_join_ns, semi_join_ns
-from inclina.operators.ordering import exact_quantiles, number_rows, prefix_sums, top_per_group
+from inclina.operators.ordering import approx_quantiles, exact_quantiles, number_rows, prefix_sums, top_per_group
 from inclina.operators.profile import cumulative_distribution, table_profile
 
 EASY = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -102,6 +102,12 @@ def test_weighted_quantiles(spark):
     assert exact_quantiles(df, [], "v", [0.5], "w").first()["q0"] == 1.0
 
 
+def test_sketched_quantiles_are_close(spark):
+    df = spark.range(1, 1002).withColumn("k", F.col("id") % 2)
+    got = approx_quantiles(df, ["k"], "id", [0.5]).collect()
+    assert all(abs(r["q0"] - 501) <= 2 for r in got) and sum(r["n"] for r in got) == 1001
+
+
 def test_profile_against_pandas(spark):
     rows, df = skewed(spark)
     got = table_profile(df.withColumn("w", F.when(F.col("v") % 3 > 0, F.col("v") / 7)), ["v", "w"]).collect()

@@ -7,7 +7,10 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 # fits of many models: run by ``python tests/oracle.py`` rather than with every test run
-SLOW = {"leaderboard", "recursive_elimination", "genetic_search", "adaboost", "elimination_importance", "product_models"}
+SLOW = {
+    "leaderboard", "balanced_leaderboard", "product_leaderboards", "recursive_elimination", "elimination_importance", "genetic_search",
+    "adaboost", "product_models", "group_models", "tuned_forest", "stacked_scores", "customer_recipe", "monthly_scores",
+}
 
 
 @pytest.fixture(scope="module")
