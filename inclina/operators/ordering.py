@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inclina.operators.joins import attach_checked
+from inclina.operators.joins import BROADCAST_ROWS, attach_checked
 from inclina.session import materialize
 
 #: Up to this many combined rows an ordinary window is used; beyond it, range slices.
@@ -104,18 +104,73 @@ def number_rows(
     ).select(*df.columns, name)
 
 
+def _pick(placed: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from values with ``_size``, the group's count. ``_prob`` limits a row to one of the
+    probabilities (null: all of them)."""
+    picks = []
+    for i, p in enumerate(probs):
+        place = (F.col("_size") - 1) * F.lit(float(p))
+        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            inside = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
+            mine = F.col("_prob").isNull() | (F.col("_prob") == i)
+            picks.append(F.max(F.when(inside & mine, F.col("_x"))).alias(f"_{side}{i}"))
+    found = placed.groupBy(*group).agg(F.max("_size").alias("n"), *picks)
+    quantiles = []
+    for i, p in enumerate(probs):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        share = place - F.floor(place)
+        quantiles.append((F.col(f"_lo{i}") + share * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
+    return found.select(*group, "n", *quantiles)
+
+
+def _bracketed(data: DataFrame, brackets: DataFrame, group: list[str], probs: Sequence[float], window_rows: int) -> DataFrame | None:
+    """Quantiles from the few values near each of them; None when a bracket missed its rank.
+
+    A value below a bracket only counts, so all of them combine into one row per map partition; only
+    values inside a bracket travel, a share of about four times the sketch's rank error.
+    """
+    marks = F.array(
+        *[
+            F.when(
+                F.col("_x") <= F.col(f"_hi{i}"),
+                F.struct(F.lit(i).alias("_prob"), F.when(F.col("_x") >= F.col(f"_lo{i}"), F.col("_x")).alias("_x")),
+            )
+            for i in range(len(probs))
+        ]
+    )
+    near = (
+        attach_checked(data, brackets, group)
+        .select(*group, "_size", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("_m"))
+        .select(*group, "_size", F.col("_m._prob").alias("_prob"), F.col("_m._x").alias("_x"))
+    )
+    keys = [*group, "_size", "_prob"]
+    totals, small = _totals(near, keys, ["_x"], {"n": F.lit(1)}, window_rows)
+    by = [F.col("_x").asc_nulls_first()]
+    placed = _before(totals, keys, by, ["n"]) if small else _sliced_sums(totals, keys, ["_x"], by, ["n"])
+    found = materialize(_pick(placed, group, probs))
+    missed = found.where(" OR ".join(f"q{i} IS NULL" for i in range(len(probs)))).limit(1).count()
+    return None if missed else found
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     column: str,
     probs: Sequence[float],
     weight: str | None = None,
+    repeats: bool = False,
     window_rows: int = WINDOW_ROWS,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Linear-interpolated (type 7) quantiles per group as columns ``q0..``, with the count ``n``.
 
     Null and NaN values are left out; a group without a value is absent from the result. ``weight``
     names a column that says how often a row counts.
+
+    Large tables are read twice and hardly shuffled: a sketch brackets every wanted rank, then values
+    inside the brackets are counted exactly and those below only summed. Where ``repeats`` says that
+    values come from a small set (counters, codes), where rows are already combined, or where groups
+    are very many, values are counted per group right away.
     """
     keys = list(keys)
     group = keys or ["_all"]
@@ -124,6 +179,25 @@ def exact_quantiles(
     if not keys:
         data = data.withColumn("_all", F.lit(0))
     data = data.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if not (weight or repeats):
+        gap = 2.0 / accuracy
+        spots = [x for p in probs for x in (max(0.0, p - gap), min(1.0, p + gap))]
+        sketch = materialize(
+            data.groupBy(*group).agg(
+                F.count(F.lit(1)).alias("_size"), F.percentile_approx("_x", spots, accuracy).alias("_s"),
+                F.min("_x").alias("_low"), F.max("_x").alias("_high"),
+            )
+        )
+        total, groups = sketch.agg(F.sum("_size"), F.count(F.lit(1))).first()
+        if (total or 0) > window_rows and groups <= BROADCAST_ROWS:
+            ends = {}
+            for i, p in enumerate(probs):
+                ends[f"_lo{i}"] = F.col("_low") if p <= gap else F.col("_s")[2 * i]
+                ends[f"_hi{i}"] = F.col("_high") if p >= 1 - gap else F.col("_s")[2 * i + 1]
+            brackets = sketch.select(*group, "_size", *[e.alias(n) for n, e in ends.items()])
+            found = _bracketed(data, brackets, group, probs, window_rows)
+            if found is not None:
+                return found.select(*keys, "n", *[f"q{i}" for i in range(len(probs))])
     totals, small = _totals(data, group, ["_x"], {"n": F.col("_w")}, window_rows)
     by = [F.col("_x").asc()]
     if small:
@@ -131,19 +205,8 @@ def exact_quantiles(
     else:
         sizes = materialize(totals.groupBy(*group).agg(F.sum("n").alias("_size")))
         placed = attach_checked(_sliced_sums(totals, group, ["_x"], by, ["n"]), sizes, group)
-    picks = []
-    for i, p in enumerate(probs):
-        place = (F.col("_size") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            inside = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
-            picks.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{side}{i}"))
-    found = placed.groupBy(*group).agg(F.max("_size").alias("n"), *picks)
-    quantiles = []
-    for i, p in enumerate(probs):
-        place = (F.col("n") - 1) * F.lit(float(p))
-        share = place - F.floor(place)
-        quantiles.append((F.col(f"_lo{i}") + share * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
-    return found.select(*keys, "n", *quantiles)
+    found = _pick(placed.withColumn("_prob", F.lit(None).cast("int")), group, probs)
+    return found.select(*keys, "n", *[f"q{i}" for i in range(len(probs))])
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:

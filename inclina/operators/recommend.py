@@ -38,7 +38,7 @@ def rating_counts(df: DataFrame, side: str, rating: str) -> DataFrame:
 
 def count_quantile(df: DataFrame, side: str, rating: str, p: float = 0.95) -> DataFrame:
     """Quantile of the number of ratings per item (or user)."""
-    return exact_quantiles(rating_counts(df, side, rating), [], "n", [p]).select(F.col("q0").alias("q"))
+    return exact_quantiles(rating_counts(df, side, rating), [], "n", [p], repeats=True).select(F.col("q0").alias("q"))
 
 
 def user_means(df: DataFrame, user: str, rating: str) -> DataFrame:

@@ -62,12 +62,12 @@ def lowest_hashed(df: DataFrame, label: str, quota: dict, key: Column | str, see
     """
     if not quota:
         return df.limit(0)
-    hashed = df.withColumn("_h", hash_text(key, seed)).withColumn("_range", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    hashed = df.withColumn("_h", hash_text(key, seed)).withColumn("_range", F.substring("_h", 1, 4))
     per_range = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = reduce(
-        lambda e, item: e.when(F.col(label).eqNullSafe(F.lit(item[0])), F.lit(int(item[1]))), quota.items(), F
-    ).otherwise(F.lit(0))
+    same = lambda k: F.col(label).eqNullSafe(F.lit(k))
+    any_of = lambda parts: reduce(lambda a, b: a | b, parts)
+    wanted = reduce(lambda w, item: w.when(same(item[0]), F.lit(int(item[1]))), quota.items(), F).otherwise(F.lit(0))
     edge = (
         per_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_want", wanted)
@@ -76,22 +76,22 @@ def lowest_hashed(df: DataFrame, label: str, quota: dict, key: Column | str, see
     )
     if not edge:
         return df.limit(0)
-    same = lambda e: F.col(label).eqNullSafe(F.lit(e[label]))
-    any_of = lambda parts: reduce(lambda a, b: a | b, parts)
-    below = hashed.where(any_of([same(e) & (F.col("_range") < e["_range"]) for e in edge]))
-    at_edge = hashed.where(any_of([same(e) & (F.col("_range") == e["_range"]) for e in edge]))
+    at_edge = hashed.where(any_of([same(r[label]) & (F.col("_range") == r["_range"]) for r in edge]))
     steps = prefix_sums(at_edge, [label], ["_h"], {"_n": F.lit(1)})
-    left = reduce(lambda w, e: w.when(same(e), F.lit(e["_want"] - e["_before"])), edge, F)
+    left = reduce(lambda w, r: w.when(same(r[label]), F.lit(r["_want"] - r["_before"])), edge, F)
     last = steps.withColumn("_left", left).where(
         (F.col("_n_before") < F.col("_left")) & (F.col("_n_before") + F.col("_n") >= F.col("_left"))
     ).collect()  # one row per class
-    inside = at_edge.where(any_of([same(e) & (F.col("_h") < e["_h"]) for e in last]))
+    split = [r for r in last if r["_n_before"] + r["_n"] > r["_left"]]  # copies of this key are only partly wanted
+    whole = [same(r[label]) & ((F.col("_h") < r["_h"]) if r in split else (F.col("_h") <= r["_h"])) for r in last]
+    kept = hashed.where(any_of(whole)).select(*df.columns)
+    if not split:
+        return kept
     ties = number_rows(
-        at_edge.where(any_of([same(e) & (F.col("_h") == e["_h"]) for e in last])), [label, "_h"], [], "_copy"
+        at_edge.where(any_of([same(r[label]) & (F.col("_h") == r["_h"]) for r in split])), [label, "_h"], [], "_copy"
     )
-    room = reduce(lambda w, e: w.when(same(e), F.lit(e["_left"] - e["_n_before"])), last, F)
-    ties = ties.where(F.col("_copy") <= room)
-    return reduce(DataFrame.unionByName, [part.select(*df.columns) for part in (below, inside, ties)])
+    room = reduce(lambda w, r: w.when(same(r[label]), F.lit(r["_left"] - r["_n_before"])), split, F)
+    return kept.unionByName(ties.where(F.col("_copy") <= room).select(*df.columns))
 
 
 def class_sizes(df: DataFrame, label: str, limit: int = 10_000) -> dict:

@@ -140,7 +140,7 @@ def counted_panel(movements: DataFrame, openings: DataFrame, chunk: int = CREDIT
 
 def duration_quantiles(panel: DataFrame) -> DataFrame:
     """Quartiles of the counter per product (no product is a group of its own)."""
-    found = exact_quantiles(panel, ["producto"], "meses", [0.25, 0.5, 0.75])
+    found = exact_quantiles(panel, ["producto"], "meses", [0.25, 0.5, 0.75], repeats=True)
     return found.select("producto", *[F.col(f"q{i}").alias(f"percentil_{p}") for i, p in enumerate((25, 50, 75))])
 
 

@@ -73,6 +73,29 @@ def test_quantiles_are_linear_interpolated(spark, limit):
         assert np.allclose([r[f"q{i}"] for i in range(6)], np.quantile(values, probs))
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+@pytest.mark.parametrize("limit", [200, 3])
+def test_bracketed_quantiles_are_exact(spark, limit, accuracy):
+    """Wide brackets (few distinct ranks), values shared by a third of the rows, and both count paths."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "a", None]), 3.25 if rng.random() < 0.33 else rng.gauss(0, 50)) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for r in exact_quantiles(df, ["k"], "v", probs, window_rows=limit, accuracy=accuracy).collect():
+        values = [v for k, v in rows if k == r["k"]]
+        assert r["n"] == len(values) and np.allclose([r[f"q{i}"] for i in range(6)], np.quantile(values, probs))
+
+
+def test_missed_bracket_falls_back_to_full_counts(spark):
+    from inclina.operators import ordering
+
+    data = spark.range(100).select(F.lit(0).alias("_all"), F.col("id").cast("double").alias("_x"))
+    off = spark.createDataFrame([(0, 100, 90.0, 99.0)], "_all int, _size bigint, _lo0 double, _hi0 double")
+    assert ordering._bracketed(data, off, ["_all"], [0.5], 10) is None
+    good = spark.createDataFrame([(0, 100, 40.0, 60.0)], "_all int, _size bigint, _lo0 double, _hi0 double")
+    assert ordering._bracketed(data, good, ["_all"], [0.5], 10).first()["q0"] == 49.5
+
+
 @EASY
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6)), min_size=1, max_size=9), st.sampled_from([0, 1 << 20]))
 def test_quantiles_property(spark, values, limit):
