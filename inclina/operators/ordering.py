@@ -9,6 +9,7 @@ read off the same prefix sums.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,25 +127,23 @@ def _pick(placed: DataFrame, group: list[str], probs: Sequence[float]) -> DataFr
 def _bracketed(data: DataFrame, brackets: DataFrame, group: list[str], probs: Sequence[float], window_rows: int) -> DataFrame | None:
     """Quantiles from the few values near each of them; None when a bracket missed its rank.
 
-    A value below a bracket only counts, so all of them combine into one row per map partition; only
-    values inside a bracket travel, a share of about four times the sketch's rank error.
+    Values below a bracket are only counted, in generated code; values inside one, a share of about
+    four times the sketch's rank error, are the only rows that travel.
     """
-    marks = F.array(
-        *[
-            F.when(
-                F.col("_x") <= F.col(f"_hi{i}"),
-                F.struct(F.lit(i).alias("_prob"), F.when(F.col("_x") >= F.col(f"_lo{i}"), F.col("_x")).alias("_x")),
-            )
-            for i in range(len(probs))
-        ]
-    )
+    ranks = range(len(probs))
+    inside = [(F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")) for i in ranks]
+    placed_in = attach_checked(data, brackets, group)
+    below = placed_in.groupBy(*group, "_size").agg(*[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in ranks])
+    marks = [F.struct(F.lit(i).alias("_prob"), F.lit(None).cast("double").alias("_x"), F.col(f"_b{i}").alias("n")) for i in ranks]
+    hits = [F.when(inside[i], F.struct(F.lit(i).alias("_prob"), F.col("_x"), F.lit(1).cast("bigint").alias("n"))) for i in ranks]
     near = (
-        attach_checked(data, brackets, group)
-        .select(*group, "_size", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("_m"))
-        .select(*group, "_size", F.col("_m._prob").alias("_prob"), F.col("_m._x").alias("_x"))
+        placed_in.where(reduce(lambda p, q: p | q, inside))
+        .select(*group, "_size", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+        .select(*group, "_size", "_m.*")
+        .unionByName(below.select(*group, "_size", F.inline(F.array(*marks))))
     )
     keys = [*group, "_size", "_prob"]
-    totals, small = _totals(near, keys, ["_x"], {"n": F.lit(1)}, window_rows)
+    totals, small = _totals(near, keys, ["_x"], {"n": F.col("n")}, window_rows)
     by = [F.col("_x").asc_nulls_first()]
     placed = _before(totals, keys, by, ["n"]) if small else _sliced_sums(totals, keys, ["_x"], by, ["n"])
     found = materialize(_pick(placed, group, probs))
