@@ -456,5 +456,5 @@ def _(t):
     ["movements"],
 )
 def _(t):
-    """First ten rows in date order, the reference table glance."""
+    """First ten rows in date order."""
     return first_rows(e.movements(t).select("id_cliente", "fecha", "saldo"), ["fecha", "id_cliente", "saldo"], 10)
