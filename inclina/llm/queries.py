@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inclina.llm import line_dedup, mixing, secrets, token_files
+from inclina.llm import line_dedup, mixing, preferences, secrets, token_files, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,44 @@ def op1_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+@query(
+    "op3_preference_pairs",
+    """
+    WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM t),
+    f AS (SELECT conv_id, max(p) FILTER (role = 'assistant') AS fp, count(*) AS n FROM c GROUP BY conv_id),
+    v AS (SELECT conv_id, arg_max(text, p) AS prev FROM c JOIN f USING (conv_id) WHERE role = 'assistant' AND p < fp GROUP BY conv_id),
+    r AS (SELECT conv_id, p, role, text FROM c JOIN f USING (conv_id) WHERE fp IS NULL OR p < fp
+          UNION ALL SELECT conv_id, fp, 'assistant', prev FROM f JOIN v USING (conv_id)),
+    b AS (SELECT c.conv_id, min(c.p) AS p FROM c LEFT JOIN r ON c.conv_id = r.conv_id AND c.p = r.p AND c.role = r.role AND c.text = r.text
+          WHERE r.p IS NULL GROUP BY c.conv_id),
+    l AS (SELECT f.conv_id, coalesce(b.p - 1, n) AS same FROM f LEFT JOIN b ON f.conv_id = b.conv_id),
+    s AS (SELECT 'c' AS side, conv_id, p, role, text FROM c UNION ALL SELECT 'r', conv_id, p, role, text FROM r),
+    d AS (SELECT side, s.conv_id, p, p <= same AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS x,
+                 CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || (length(text) + 8) || ':1'
+                      ELSE (length(role) + length(text) + 13) || ':0' END AS m
+          FROM s JOIN l ON s.conv_id = l.conv_id)
+    SELECT l.conv_id, any_value(same) AS n_prompt_turns,
+           coalesce(string_agg(x, '' ORDER BY p) FILTER (shared AND side = 'c'), '') AS prompt,
+           coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT shared AND side = 'c'), '') AS chosen,
+           coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT shared AND side = 'r'), '') AS rejected,
+           coalesce(string_agg(m, ',' ORDER BY p) FILTER (NOT shared AND side = 'c'), '') AS chosen_mask,
+           coalesce(string_agg(m, ',' ORDER BY p) FILTER (NOT shared AND side = 'r'), '') AS rejected_mask
+    FROM l JOIN d ON l.conv_id = d.conv_id GROUP BY l.conv_id
+    """,
+)
+def op3_preference_pairs(spark, folder):
+    """Every conversation against itself with its last reply gone stale: one pair each."""
+    chosen = preferences.transcripts(table(spark, folder, "conversations"), "conv_id", "chosen")
+    pairs = preferences.format_pairs(chosen.withColumn("rejected", preferences.stale_reply(F.col("chosen"))))
+    good, bad = F.col("chosen_completion"), F.col("rejected_completion")
+    return pairs.select(
+        "conv_id", "n_prompt_turns", "prompt", preferences.text_of(good).alias("chosen"), preferences.text_of(bad).alias("rejected"),
+        preferences.mask_of(good).alias("chosen_mask"), preferences.mask_of(bad).alias("rejected_mask"),
+    )
+
+
 @query("op4_mix_sources")
 def op4_mix_sources(spark, folder):
     plan = mixing.plan_mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
@@ -64,3 +102,8 @@ def op7_token_files(spark, folder):
 @query("op9_secret_scan")
 def op9_secret_scan(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query("op10_vector_search")
+def op10_vector_search(spark, folder):
+    return vector_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
