@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inclina.llm import line_dedup, mixing, preferences, secrets, token_files, vector_search
+from inclina.llm import line_dedup, mixing, preferences, quality, secrets, token_files, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,15 @@ def op1_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+@query("op2_quality")
+def op2_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    scored = quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.GOOD).cast("int").alias("predicted")
+    )
+
+
 @query(
     "op3_preference_pairs",
     """
