@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inclina.llm import line_dedup, mixing, preferences, quality, secrets, token_files, vector_search
+from inclina.llm import decontaminate, line_dedup, mixing, preferences, quality, secrets, simhash, token_files, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,6 +101,17 @@ def op4_mix_sources(spark, folder):
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join("shards", ",").alias("shards"))
 
 
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op7_token_files")
 def op7_token_files(spark, folder):
     import public_tokenizers
