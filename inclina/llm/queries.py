@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inclina.llm import decontaminate, line_dedup, mixing, preferences, quality, secrets, simhash, token_files, vector_search
+from inclina.llm import decontaminate, line_dedup, mixing, preferences, quality, recompression, secrets, simhash, token_files, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,6 +119,25 @@ def op7_token_files(spark, folder):
     return token_files.token_output(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+    g AS (SELECT doc_id, p, word, string_agg(word, ' ') OVER w AS k, count(*) OVER w AS c FROM u
+          WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    f AS (SELECT k, min(doc_id) AS low FROM g WHERE c = 50 GROUP BY k),
+    x AS (SELECT g.doc_id, g.p, g.word, CASE WHEN c = 50 AND low < g.doc_id THEN 1 ELSE 0 END AS hit FROM g LEFT JOIN f USING (k)),
+    y AS (SELECT doc_id, p, word, max(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM x)
+    SELECT d.doc_id, len(d.ws) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone = 0), '')) AS kept_sha256
+    FROM d LEFT JOIN y ON d.doc_id = y.doc_id GROUP BY d.doc_id, d.ws
+    """,
+)
+def op8_substring_dedup(spark, folder):
+    return recompression.drop_repeats(table(spark, folder, "documents"))
+
+
 @query("op9_secret_scan")
 def op9_secret_scan(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
