@@ -26,8 +26,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,16 +112,17 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
         self.seed, self.vocabulary = seed, {}
-        self.items: dict[int, list[int]] = {}
+        self.items: list[tuple[int, list[int]]] = []
         self.seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             if not ids:
                 continue
-            self.items[item_id] = ids
+            at = len(self.items)
+            self.items.append((item_id, ids))
             size = min(seed, len(ids))
             for i in range(len(ids) - size + 1):
-                self.seeds[tuple(ids[i : i + size])].add(item_id)
+                self.seeds[tuple(ids[i : i + size])].add(at)
         self.sizes = sorted({len(s) for s in self.seeds})
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -132,8 +135,8 @@ class Items:
                 if seed in self.seeds:
                     found |= self.seeds[seed]
         out = []
-        for item in sorted(found):
-            words = self.items[item]
+        for at in sorted(found):
+            item, words = self.items[at]
             tiles = tile(words, self._near(ids, set(words)), min(self.seed, len(words)))
             out.append((item, len(words), sum(n for _, _, n in tiles), len(tiles)))
         return out
@@ -150,28 +153,33 @@ class Items:
         return out
 
 
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+    """The items in blocks of about ``block_words`` words, each sent to the executors once."""
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("body"))
+    items = stored(rows.distinct().withColumn("size", F.length("body")), "items")
+    # A word and its space take about five characters or more, so a block's characters bound its words.
+    blocks = max(1, -(-(items.agg(F.sum("size")).first()[0] or 0) // (5 * block_words)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)))
+    for block in range(blocks):
+        held = [(r["item_id"], r["body"]) for r in dealt.where(F.col("block") == block).orderBy("item_id", "body").collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(held)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every (document, item) whose tiles cover at least ``coverage`` of the item."""
-    items = stored(
-        benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("body"))
-        .withColumn("n", F.length("body")).distinct(),
-        "items",
-    )
-    # Text length bounds the words; a block is what one pass over the documents carries along.
-    total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // (5 * block_words)))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("body"))
-    passes = None
-    for block in range(blocks):
-        rows = [(r["item_id"], r["body"]) for r in dealt.where(F.col("block") == block).orderBy("item_id", "body").collect()]
-        held = docs.sparkSession.sparkContext.broadcast(rows)
-        found = texts.mapInArrow(_scan(held, coverage), LEAKS)
-        passes = found if passes is None else passes.unionByName(found)
-    return passes
+    passes = [texts.mapInArrow(_report(held, coverage), LEAKS) for held in item_blocks(benchmark, block_words)]
+    return reduce(DataFrame.unionByName, passes)
 
 
-def _scan(held, coverage: float):
+def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no item; nothing is joined or shuffled."""
+    for held in item_blocks(benchmark, block_words):
+        docs = docs.mapInArrow(_drop(held, coverage, docs.columns.index("text")), docs.schema)
+    return docs
+
+
+def _report(held: Broadcast, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(held.value)
         for batch in batches:
@@ -185,4 +193,14 @@ def _scan(held, coverage: float):
     return run
 
 
+def _drop(held: Broadcast, coverage: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(held.value)
+        for batch in batches:
+            clean = [not any(covered >= coverage * n for _, n, covered, _ in index.leaks(text.as_py())) for text in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 _SCHEMA = pa.schema([(c.split()[0], pa.float64() if c.split()[1] == "double" else pa.int64()) for c in LEAKS.split(", ")])

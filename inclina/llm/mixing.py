@@ -23,6 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -79,10 +80,11 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def plan_mix(
-    docs: DataFrame, boost: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, block_words: int = 50_000, levels: int = 4, seed: int = 7
+    docs: DataFrame, boost: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, block_words: int = 50_000, shard_words: int = 4_000_000, seed: int = 7
 ) -> DataFrame:
     """Per row of ``docs``: its id as stored, ``doc`` and ``body`` (identity), source, size, source_size, target,
-    and ``shards``: the shard of each copy the mix takes."""
+    and ``shards``: the shard of each copy the mix takes. There are enough shards (a power of two) for about
+    ``shard_words`` words each."""
     text = F.coalesce(docs["text"], F.lit(""))
     items = stored(
         docs.select(
@@ -134,6 +136,8 @@ def plan_mix(
     root = quotas.agg(F.array_sort(F.collect_list(F.struct("place", "quota"))).alias("q")).select(
         F.lit(1).cast("long").alias("node"), F.transform("q", lambda s: s["quota"].cast("long")).alias("quotas"), F.transform("q", lambda s: s["place"]).alias("places")
     ).where(F.size("quotas") > 0)
+    total = sources.agg(F.sum("target")).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(max(1.0, total / shard_words))))
     leaves = stored(split_quotas(root.select("node", "quotas"), levels, seed), "mix-leaves")
     order = root.select(F.posexplode("places").alias("at", "place"))
     shares = leaves.select("shard", F.posexplode("quotas").alias("at", "count")).join(F.broadcast(order), "at")
@@ -154,15 +158,22 @@ def plan_mix(
     return out.select("doc_id", "doc", "body", "source", "size", "source_size", "target", shards.alias("shards"))
 
 
-def mix(docs: DataFrame, seed: int = 7, levels: int = 4, **options) -> DataFrame:
-    """The rows of the mix, with repeats: the columns of ``docs`` and ``shard``; each shard is one range of
-    partitions in its own shuffled order."""
-    plan = plan_mix(docs, levels=levels, seed=seed, **options)
-    decided = plan.groupBy(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("source").alias("_source")).agg(F.first("shards").alias("_shards"))
-    keyed = docs.withColumns({"_doc": identity(docs), "_body": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
-    same = (keyed["_doc"] == decided["_doc"]) & (keyed["_body"] == decided["_body"]) & keyed["source"].cast("string").eqNullSafe(decided["_source"])
-    rows = keyed.join(decided, same).select(*[docs[c] for c in docs.columns], keyed["_doc"], keyed["_body"], F.posexplode("_shards").alias("_copy", "_shard"))
-    placed = rows.withColumn("_turn", F.xxhash64(F.lit(seed + 2), "_shard", "_doc", "_body", "_copy"))
-    return placed.repartitionByRange("_shard", "_turn").sortWithinPartitions("_shard", "_turn").select(
-        *docs.columns, *([] if "shard" in docs.columns else [F.col("_shard").alias("shard")])
+def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The rows of the mix, with repeats: the columns of ``docs``, then ``shard`` unless it is one of them. Each
+    shard is one partition, in its own shuffled order."""
+    plan = plan_mix(docs, seed=seed, **options)
+    decided = stored(
+        plan.groupBy(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("source").alias("_source")).agg(F.first("shards").alias("_shards")).where(F.size("_shards") > 0),
+        "mix-decided",
+    )
+    shards = (decided.select(F.max(F.array_max("_shards"))).first()[0] or 0) + 1
+    columns = [f"_c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(
+        *[docs[c].alias(n) for c, n in zip(docs.columns, columns)], identity(docs).alias("_doc"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_body"),
+        F.coalesce(docs["source"].cast("string"), F.lit("")).alias("_name"), docs["source"].isNull().alias("_none"),
     )
+    decided = decided.select("_doc", "_body", F.coalesce("_source", F.lit("")).alias("_name"), F.col("_source").isNull().alias("_none"), "_shards")
+    rows = keyed.join(decided, ["_doc", "_body", "_name", "_none"]).select(*columns, "_doc", "_body", F.posexplode("_shards").alias("_copy", "_shard"))
+    placed = rows.withColumn("_turn", F.xxhash64(F.lit(seed + 2), "_shard", "_doc", "_body", "_copy"))
+    dealt = placed.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "_turn")
+    return dealt.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, columns)], *([] if "shard" in docs.columns else [F.col("_shard").alias("shard")]))
