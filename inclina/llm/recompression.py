@@ -96,9 +96,11 @@ def names(symbols: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.ndarr
         heads = np.flatnonzero(begins)
         length = np.diff(np.append(heads, len(symbols))).astype(np.uint64)
         symbols = np.where(length > 1, _mix(symbols[heads], length, 4 * level + 1), symbols[heads])
-        lo, hi, doc = np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), doc[heads]
+        # A run ends where the next symbol, before it joins a run of its own, is another: its reach belongs to the run's.
+        same = doc[1:] == doc[:-1]
+        before, after = _side(lo, same, -1, first[doc] - 1)[heads], _side(hi, same, 1, end[doc] + 1)[np.append(heads[1:] - 1, len(hi) - 1)]
+        lo, hi, doc = np.minimum(np.minimum.reduceat(lo, heads), before), np.maximum(np.maximum.reduceat(hi, heads), after), doc[heads]
         same = doc[1:] == doc[:-1]
-        lo, hi = np.minimum(lo, _side(lo, same, -1, first[doc] - 1)), np.maximum(hi, _side(hi, same, 1, end[doc] + 1))
         # pairs
         right = (_mix(symbols, symbols, 4 * level + 2) >> _U(40)) & _U(1) == 1
         merges = np.append(~right[:-1] & right[1:] & same, False)
@@ -268,18 +270,21 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(docs["text"], F.lit(""))
     texts = docs.select(identity(docs).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
     parsed = stored(texts.mapInArrow(_parse, PARSED), "parsed")
-    firsts = parsed.groupBy("r1", "r2").agg(F.min("doc").alias("first"))
+    firsts = stored(parsed.groupBy("r1", "r2").agg(F.min("doc").alias("first")), "firsts")
     rooted = stored(parsed.join(firsts, ["r1", "r2"]), "rooted")
     # One row per document and text that is not a copy of a smaller one and holds a window.
     own = rooted.where((F.col("doc") == F.col("first")) & (F.col("n_words") >= WINDOW)).dropDuplicates(["doc", "body"])
     listed = stored(own.select("doc", "body", F.explode("names").alias("name")), "names")
-    shared = listed.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name", "low")
+    # Stored before it is joined: adaptive execution can then split the rows of a name that many documents hold.
+    spread = listed.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    shared = stored(spread.select("name", "low"), "shared")
     held = listed.join(shared, "name").select("doc", "body", "name", "low")
     bare = own.where("bare").select("doc", "body", F.lit(None).cast("long").alias("name"), F.lit(None).cast("long").alias("low"))
     mine = F.when(F.col("low") == F.col("doc"), F.col("name"))
     marked = stored(held.unionByName(bare).groupBy("doc", "body").agg(F.collect_set("name").alias("shared"), F.collect_set(mine).alias("own")), "marked")
     windows = stored(_with_texts(marked, texts).mapInArrow(_windows, FOUND), "windows")
-    seen = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
+    spread = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    seen = stored(spread.select("h1", "h2", "low"), "seen")
     again = windows.where("asks").join(seen, ["h1", "h2"]).where("low < doc")
     places = stored(again.groupBy("doc", "body").agg(F.collect_set("place").alias("places")), "repeats")
     cut = _with_texts(places, texts).mapInArrow(_cut, KEPT)
