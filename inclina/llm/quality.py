@@ -95,7 +95,7 @@ class Machine:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> Machine:
+def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, least_steps: int = 500, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> Machine:
     """Fit by Adam on the logistic loss; rows are (places, statistics, label)."""
     dims = WORD_DIMS + len(STATS) * BINS
     rng = np.random.default_rng(seed)
@@ -109,7 +109,9 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, batch
     bias, w, v = math.log(rate0 / (1 - rate0)), np.zeros(dims), rng.normal(0, 0.02, (dims, RANK))
     p = np.column_stack([w, v])
     m1, m2, step = np.zeros_like(p), np.zeros_like(p), 0
-    for epoch in range(epochs):
+    per_epoch = -(-len(rows) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
@@ -130,9 +132,9 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, batch
             step += 1
             m1 = 0.9 * m1 + 0.1 * g
             m2 = 0.999 * m2 + 0.001 * g * g
-            p -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-            bias -= rate * error.mean()
-        rate *= 0.85
+            now = rate * max(0.02, 1 - step / (epochs * per_epoch))
+            p -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+            bias -= now * error.mean()
     return Machine(edges, bias, p[:, 0].copy(), p[:, 1:].copy())
 
 

@@ -18,13 +18,17 @@ def _distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, to: np.n
     return np.maximum(d, 0, out=d)
 
 
+#: Edges per point kept free for reconnecting points that pruning has cut off.
+SPARE = 4
+
+
 class Graph:
     def __init__(self, vectors: np.ndarray, degree: int = 32, edges: np.ndarray | None = None, start: int | None = None):
         self.x = np.ascontiguousarray(vectors, dtype=np.float32)
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
         self.degree = degree
         n = len(self.x)
-        self.edges = np.full((n, degree), -1, dtype=np.int32) if edges is None else edges
+        self.edges = np.full((n, degree + SPARE), -1, dtype=np.int32) if edges is None else edges
         if start is None:
             start = int(np.argmin(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1)))
         self.start = start
@@ -114,13 +118,14 @@ class Graph:
             at += len(points)
             size *= 2
             near, _, reached = self.search(self.x[points], beam)
-            self.edges[points] = self.prune(points, np.concatenate([near, reached], axis=1), alpha)
+            self.edges[points, : self.degree] = self.prune(points, np.concatenate([near, reached], axis=1), alpha)
             self._reverse(points, alpha)
+        self._reconnect(beam)
         return self
 
     def _reverse(self, points: np.ndarray, alpha: float) -> None:
         """Edges back to ``points`` from the neighbours they chose."""
-        new = self.edges[points]
+        new = self.edges[points, : self.degree]
         source = np.repeat(points, self.degree)[(new >= 0).ravel()]
         target = new[new >= 0]
         order = np.argsort(target, kind="stable")
@@ -133,9 +138,35 @@ class Graph:
             place = np.arange(len(target))[first[part][0] : first[part][-1] + count[part][-1]]
             row = np.repeat(np.arange(len(nodes[part])), count[part])
             add[row, place - np.repeat(first[part], count[part])] = source[place]
-            both = np.concatenate([self.edges[nodes[part]], add], axis=1)
+            both = np.concatenate([self.edges[nodes[part], : self.degree], add], axis=1)
             both = -np.sort(-both, axis=1)
             fits = (both >= 0).sum(axis=1) <= self.degree
-            self.edges[nodes[part][fits]] = both[fits][:, : self.degree]
+            self.edges[nodes[part][fits], : self.degree] = both[fits][:, : self.degree]
             if (~fits).any():
-                self.edges[nodes[part][~fits]] = self.prune(nodes[part][~fits], both[~fits], alpha)
+                self.edges[nodes[part][~fits], : self.degree] = self.prune(nodes[part][~fits], both[~fits], alpha)
+
+    def _reached(self) -> np.ndarray:
+        seen = np.zeros(len(self.x), dtype=bool)
+        seen[self.start] = True
+        front = np.array([self.start])
+        while len(front):
+            near = np.unique(self.edges[front])
+            front = near[near >= 0]
+            front = front[~seen[front]]
+            seen[front] = True
+        return seen
+
+    def _reconnect(self, beam: int) -> None:
+        """Give every point that cannot be reached an edge from a near one that can."""
+        while len(lost := np.flatnonzero(~self._reached())):
+            near, _, _ = self.search(self.x[lost[:512]], beam)
+            linked = 0
+            for point, found in zip(lost[:512].tolist(), near.tolist()):
+                for host in found:
+                    free = np.flatnonzero(self.edges[host, self.degree :] < 0) if host >= 0 else []
+                    if len(free):
+                        self.edges[host, self.degree + free[0]] = point
+                        linked += 1
+                        break
+            if not linked:
+                return

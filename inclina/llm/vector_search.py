@@ -96,7 +96,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = 100, block:
                 r = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 x = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"])
                 spare = np.sqrt(np.maximum(r["reach"] - (x * x).sum(axis=1), 0))
-                edges = np.frombuffer(r["edges"], "<i4").reshape(len(x), r["degree"])
+                edges = np.frombuffer(r["edges"], "<i4").reshape(len(x), -1)
                 graph = Graph(np.column_stack([x, spare]), r["degree"], edges, r["start"])
                 ids, asked = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["asked"], "<i8")
                 q = np.frombuffer(r["questions"], "<f8").reshape(-1, r["dim"])
