@@ -9,9 +9,9 @@ fingerprints within ``2 r`` bits have one within ``r`` bits of both, so each suc
 under every fingerprint within ``r`` bits; those who meet there are within ``2 r`` bits of each other, and
 linking them to the smallest keeps every connection. Both ways are exact.
 
-:func:`near_copies` finds copies by similarity instead: words as a set give fingerprints that barely move
-when a few words of a text are replaced, keys propose candidates, and a candidate is linked when five-word
-shingles are similar enough (bottom-k sketches, exact for texts up to ``SKETCH`` shingles). Within a key,
+:func:`near_copies` finds copies by similarity instead: a text's distinct words, and its distinct word
+pairs, give two fingerprints that move by a few bits when a few words are replaced, the keys of both propose candidates,
+and a candidate is linked when five-word shingles are similar enough (bottom-k sketches, exact for texts up to ``SKETCH`` shingles). Within a key,
 members are compared with leaders: the smallest member leads, members similar to no leader yet elect
 further ones, twice as many each round, until every member is similar to a leader or is one. Work is
 members times leaders, never members squared.
@@ -91,9 +91,10 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def keyed(points: DataFrame, masks: list[int]) -> DataFrame:
-    """``points`` under each key: columns ``t`` (table) and ``key`` besides their own."""
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+def keyed(points: DataFrame, masks: list[int], prints: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """``points`` under each key of each of their fingerprints: columns ``t`` (table) and ``key`` besides their own."""
+    tables = enumerate((p, m) for p in prints for m in masks)
+    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.col(p).bitwiseAND(F.lit(m)).alias("key")) for i, (p, m) in tables])
     return points.withColumn("_k", F.explode(keys)).select("*", "_k.*").drop("_k")
 
 
@@ -166,18 +167,20 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, blocks: int
             prints, sketches = [], []
             for t in batch.column(1):
                 own = _words(t.as_py())
-                prints.append(fingerprint(shingle_hashes(list(dict.fromkeys(own)), 1)))
+                prints.append((fingerprint(shingle_hashes(list(dict.fromkeys(own)), 1)), fingerprint(np.unique(shingle_hashes(own, 2)))))
                 sketches.append(_sketch(own, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=["doc", "fp", "sketch"])
+            singles, pairs = (pa.array([p[i] for p in prints], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), singles, pairs, pa.array(sketches, pa.binary())], names=["doc", "fp", "fp2", "sketch"])
 
     rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("body"))
-    prints = stored(rows.mapInArrow(run, "doc long, fp long, sketch binary"), "sketches")
-    # Equal fingerprint and sketch: one class, named by its smallest id.
-    classes = stored(prints.groupBy("fp", "sketch").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "sketch-classes")
-    many = classes.where("n > 1").select("fp", "sketch", "node")
-    copies = prints.join(many, ["fp", "sketch"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    placed = keyed(classes.select("fp", "node"), block_masks(blocks, agree)).select("t", "key", "node")
-    sizes = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
+    prints = stored(rows.mapInArrow(run, "doc long, fp long, fp2 long, sketch binary"), "sketches")
+    # Equal fingerprints and sketch: one class, named by its smallest id.
+    same = ["fp", "fp2", "sketch"]
+    classes = stored(prints.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "sketch-classes")
+    many = classes.where("n > 1").select(*same, "node")
+    copies = prints.join(many, same).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    placed = keyed(classes.select("fp", "fp2", "node"), block_masks(blocks, agree), ("fp", "fp2")).select("t", "key", "node")
+    sizes = stored(placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key"), "shared-keys")
     members = stored(placed.join(sizes, ["t", "key"]), "members")
     sketches = classes.select("node", "sketch")
     found = copies
