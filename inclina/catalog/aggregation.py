@@ -89,7 +89,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return daily.customer_labels(daily.daily_panel(e.movements(t), e.openings(t)))
+    return daily.labels_of(e.movements(t), e.openings(t))
 
 
 @query(

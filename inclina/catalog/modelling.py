@@ -147,11 +147,8 @@ def _(t):
     """Components of the document embeddings that reach 95 % of the variance."""
     names = [f"d{i}" for i in range(64)]
     wide = t("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return rounded(
-        features.expand_vector(
-            features.VariancePCA(names).fit(wide).transform(wide).select("vec_id", "pca"), "pca", ["PC1", "PC2", "PC3"]
-        )
-    )
+    model = features.VariancePCA(names).fit(wide)
+    return rounded(features.expand_vector(model.transform(wide).select("vec_id", "pca"), "pca", features.component_names(model)))
 
 
 @query("customer_recipe")
@@ -159,9 +156,10 @@ def _(t):
     """The whole fitted recipe of the customer table, learned on 70 % and applied to every row."""
     rows = customer.prepare_customers(e.customers(t))
     train = sampling.hash_split(rows, "ID_CLIENTE", [0.7, 0.3], 1, ["train", "test"]).where("split = 'train'").drop("split")
-    remove = ["ID_CLIENTE", "JUBILADO", "COD_PROFESION", "DESC_PROFESION", "RESIDENCIA_CORREGIMIENTO"]
-    model = customer.fit_recipe(train, "N_TC", remove, ["SALDOS_VISTA_1SEM", "SALDOS_VISTA_6M", "INGRESO_ESTIMADO"])
-    return rounded(features.expand_vector(model.transform(rows).select("N_TC", "pca"), "pca", ["PC1", "PC2", "PC3"]))
+    remove = ["JUBILADO", "COD_PROFESION", "DESC_PROFESION", "RESIDENCIA_CORREGIMIENTO"]
+    model = customer.fit_recipe(train, "N_TC", remove, ["SALDOS_VISTA_1SEM", "SALDOS_VISTA_6M", "INGRESO_ESTIMADO"], keep=["ID_CLIENTE"])
+    names = features.component_names(model)
+    return rounded(features.expand_vector(model.transform(rows).select("ID_CLIENTE", "N_TC", "pca"), "pca", names))
 
 
 # ---- sampling --------------------------------------------------------------------------------
@@ -171,7 +169,7 @@ _BUCKET = "('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % {n}"
 
 @query(
     "split_70_30",
-    f"SELECT o_orderkey, CASE WHEN {_BUCKET.format(seed=1, key='o_orderkey', n=1000)} < 700 THEN 'train' ELSE 'test' END AS split FROM orders",
+    f"SELECT o_orderkey, CASE WHEN {_BUCKET.format(seed=1, key='o_orderkey', n=1 << 32)} < {round(0.7 * 2**32)} THEN 'train' ELSE 'test' END AS split FROM orders",
 )
 def _(t):
     return sampling.hash_split(t("orders").select("o_orderkey"), "o_orderkey", [0.7, 0.3], 1, ["train", "test"])
@@ -179,8 +177,8 @@ def _(t):
 
 @query(
     "hash_split",
-    f"""SELECT id_cliente, fecha, CASE WHEN b < 700 THEN 'train' WHEN b < 800 THEN 'valid' ELSE 'test' END AS split FROM
-    (SELECT *, {_BUCKET.format(seed=1234, key='id_cliente', n=1000)} AS b FROM movements)""",
+    f"""SELECT id_cliente, fecha, CASE WHEN b < {round(0.7 * 2**32)} THEN 'train' WHEN b < {round(0.8 * 2**32)} THEN 'valid' ELSE 'test' END AS split FROM
+    (SELECT *, {_BUCKET.format(seed=1234, key='id_cliente', n=1 << 32)} AS b FROM movements)""",
     ["movements"],
 )
 def _(t):
@@ -200,7 +198,7 @@ def _(t):
     return sampling.ordered_split(e.movements(t).select("id_cliente", "fecha"), "id_cliente", 0.3)
 
 
-@query("row_sample", f"SELECT o_orderkey FROM orders WHERE {_BUCKET.format(seed=5, key='o_orderkey', n=1000)} < 100")
+@query("row_sample", f"SELECT o_orderkey FROM orders WHERE {_BUCKET.format(seed=5, key='o_orderkey', n=1 << 32)} < {round(0.1 * 2**32)}")
 def _(t):
     return sampling.hash_sample(t("orders").select("o_orderkey"), "o_orderkey", 0.1, 5)
 
@@ -238,7 +236,7 @@ def _(t):
 
 @query(
     "user_sample",
-    f"SELECT DISTINCT identificacion, {_BUCKET.format(seed=3, key='identificacion', n=1000)} < 800 AS entrenar FROM ratings",
+    f"SELECT DISTINCT identificacion, {_BUCKET.format(seed=3, key='identificacion', n=1 << 32)} < {round(0.8 * 2**32)} AS entrenar FROM ratings",
     ["ratings"],
 )
 def _(t):
@@ -381,8 +379,8 @@ def _(t):
 def _(t):
     """Settings fitted with class-balancing weights."""
     train, valid, _ = _text_split(t)
-    kept = [c for c in models.default_candidates() if c.family != "ada"][:4]
-    return rounded(models.leaderboard(sampling.balance_weights(train, "label"), valid, kept, weight="weight").table(t.spark))
+    balanced = sampling.balance_weights(train, "label")
+    return rounded(models.leaderboard(balanced, valid, models.default_candidates(), weight="weight").table(t.spark))
 
 
 @query("stacked_scores")

@@ -54,7 +54,7 @@ def _(t):
     """Headerless text with decimal commas, named by position (written by Spark from the orders)."""
     path = _scratch(t, "movements")
     rows = e.movements(t).withColumn("cuenta", F.lit("1")).select(*MOVEMENT_COLUMNS)
-    write_table(rows, path, "csv", sep="~", header=False, mark=",")
+    write_table(rows, path, "csv", sep="~", header=False, mark=",", quoted=False)
     types = {"fecha": "date", **{c: "double" for c in daily.MEASURES}}
     back = read_delimited(t.spark, path, MOVEMENT_COLUMNS, types, header=False, mark=",")
     return rounded(back.drop("cuenta"))
@@ -70,7 +70,7 @@ def _(t):
         F.coalesce(F.concat(F.lit("  "), F.col("GENERO"), F.lit(" ")), F.lit("NA")).alias("GENERO"),
         "EDAD",
     )
-    write_table(padded, path, "csv", sep="~")
+    write_table(padded, path, "csv", sep="~", quoted=False)
     return read_delimited(
         t.spark, path, ["ID_CLIENTE", "SALARIO", "GENERO", "EDAD"], {"SALARIO": "double", "EDAD": "double"}
     )
@@ -80,10 +80,19 @@ def _(t):
 def _(t):
     """Text whose header is replaced by position."""
     path = _scratch(t, "ratings")
-    write_table(e.ratings(t).toDF("a", "b", "c"), path, "csv", sep="~")
+    write_table(e.ratings(t).toDF("a", "b", "c"), path, "csv", sep="~", quoted=False)
     return read_delimited(t.spark, path, ["identificacion", "producto1", "rating"], {"rating": "double"})
 
 
+@query("text_round_trip", "SELECT doc_id, text, lang, source FROM documents")
+def _(t):
+    """Texts with separators, quotes and line breaks through quoted CSV."""
+    path = _scratch(t, "texts")
+    columns = ["doc_id", "text", "lang", "source"]
+    write_table(t("documents").select(*columns), path, "csv")
+    return read_delimited(t.spark, path, columns, {"doc_id": "bigint"}, sep=",", quoted=True)
+
+
 @query(
     "stored_intermediate",
     "SELECT id_cliente, fecha, round(saldo, 6) AS saldo FROM rollup",
@@ -440,7 +449,7 @@ def _(t):
 
 @query(
     "semi_join_sample",
-    """SELECT m.id_cliente, m.fecha, m.saldo FROM movements m WHERE ('0x' || substr(md5('7:' || m.id_cliente), 1, 8))::BIGINT % 1000 < 300""",
+    f"""SELECT m.id_cliente, m.fecha, m.saldo FROM movements m WHERE ('0x' || substr(md5('7:' || m.id_cliente), 1, 8))::BIGINT < {round(0.3 * 2**32)}""",
     ["movements"],
 )
 def _(t):

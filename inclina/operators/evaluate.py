@@ -148,9 +148,10 @@ def best_threshold(df: DataFrame, label: str, score: str, positive=1, **kw) -> D
 
 
 def log_loss(df: DataFrame, label: str, score: str, positive=1, floor: float = 1e-15) -> DataFrame:
+    """Mean log loss of the rows whose label and score are known."""
     p = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.col(score)))
     loss = F.when(F.col(label) == F.lit(positive), -F.log(p)).otherwise(-F.log(1 - p))
-    return df.agg(F.avg(loss).alias("log_loss"))
+    return df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).agg(F.avg(loss).alias("log_loss"))
 
 
 def resample_summary(metrics: DataFrame, model: str = "model", metric: str = "metric", value: str = "value") -> DataFrame:

@@ -11,14 +11,16 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
-    PCA,
     Bucketizer,
     ElementwiseProduct,
     Imputer,
+    OneHotEncoder,
+    PCA,
     SQLTransformer,
     StandardScaler,
+    StringIndexer,
     VectorAssembler,
     VectorSlicer,
 )
@@ -141,6 +143,7 @@ class Dummies(Estimator):
     """Indicator columns ``<column>_<level>`` for every level but the first in sorted order.
 
     Signs other than letters and digits read ``_`` in the column name. Levels unseen while fitting, and null, give 0 in every indicator.
+    A column of more than ``MAX_LEVELS`` levels becomes one sparse vector ``<column>_levels`` instead.
     """
 
     def __init__(self, columns: Sequence[str]):
@@ -153,11 +156,11 @@ class Dummies(Estimator):
         text = df.select(*[F.col(c).cast("string").alias(c) for c in self.columns])
         seen = text.unpivot([], self.columns, "variable", "value").where(F.col("value").isNotNull()).distinct()
         found: dict[str, list[str]] = {c: [] for c in self.columns}
-        for row in seen.limit(MAX_LEVELS * len(self.columns) + 1).collect():
+        sizes = {r["variable"]: r["n"] for r in seen.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wide = [c for c in self.columns if sizes.get(c, 0) > MAX_LEVELS]
+        for row in seen.where(~F.col("variable").isin(wide)).collect():  # at most MAX_LEVELS per column
             found[row["variable"]].append(row["value"])
-        wide = [c for c, levels in found.items() if len(levels) > MAX_LEVELS]
-        if wide:
-            raise ValueError(f"{wide} have more than {MAX_LEVELS} levels")
+        coded = [self._sparse(c).fit(df) for c in wide]
         new = []
         for c, levels in found.items():
             taken: set[str] = set()
@@ -167,7 +170,14 @@ class Dummies(Estimator):
                 taken.add(name)
                 new.append(f"CAST(coalesce(CAST({_q(c)} AS STRING) = {_text(level)}, false) AS INT) AS {_q(name)}")
         gone = ", ".join(map(_q, self.columns))
-        return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}){''.join(', ' + e for e in new)} FROM __THIS__")
+        narrow = SQLTransformer(statement=f"SELECT * EXCEPT ({gone}){''.join(', ' + e for e in new)} FROM __THIS__")
+        return PipelineModel([*coded, narrow]) if coded else narrow
+
+    @staticmethod
+    def _sparse(column: str) -> Pipeline:
+        at = f"_{column}_at"
+        index = StringIndexer(inputCol=column, outputCol=at, handleInvalid="keep", stringOrderType="alphabetAsc")
+        return Pipeline(stages=[index, OneHotEncoder(inputCol=at, outputCol=f"{column}_levels", dropLast=True), drop_columns([at])])
 
 
 def mean_impute(columns: Sequence[str]) -> Imputer:
@@ -242,6 +252,16 @@ class VariancePCA(_NumericStep):
         )
 
 
+def component_names(model) -> list[str]:
+    """PC1..PCk of a fitted pipeline that ends in, or holds, a :class:`VariancePCA`."""
+    for stage in getattr(model, "stages", []):
+        if isinstance(stage, VectorSlicer):
+            return [f"PC{i + 1}" for i in range(len(stage.getIndices()))]
+        if found := component_names(stage):
+            return found
+    return []
+
+
 def expand_vector(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
     """Vector elements as ordinary columns."""
     values = vector_to_array(vector)

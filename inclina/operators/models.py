@@ -37,7 +37,7 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 class AdaBoostM1(Estimator):
-    """AdaBoost.M1 over weighted decision trees.
+    """AdaBoost.M1 over weighted decision trees; ``weightCol`` gives the weights of the first round.
 
     Each round is a distributed tree fit and one aggregate. The fitted model is a pipeline of the
     trees and two projections that add up their votes.
@@ -54,13 +54,16 @@ class AdaBoostM1(Estimator):
         maxDepth: int = 4,
         seed: int = 1,
         checkpoint_every: int = 5,
+        weightCol: str | None = None,
     ):
         super().__init__()
         self.features, self.label, self.prediction, self.probability = featuresCol, labelCol, predictionCol, probabilityCol
         self.rounds, self.depth, self.seed, self.checkpoint_every = rounds, maxDepth, seed, checkpoint_every
+        self.weight = weightCol
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        work = df.select(self.features, self.label).withColumn("_w", F.lit(1.0)).persist()
+        start = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        work = df.select(self.features, self.label, start.alias("_w")).persist()
         trees, alphas, spent = [], [], []
         for t in range(self.rounds):
             name = f"_vote{t}"
@@ -340,7 +343,7 @@ def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[
 
 def train_groups(df: DataFrame, group: str, spec: ProductSpec, build: Callable[..., Estimator]) -> dict[str, PipelineModel]:
     """One model per value of a group column (such as the duration groups)."""
-    names = sorted(g for g in class_sizes(df, group, 1000) if g is not None)
+    names = sorted(r[group] for r in class_sizes(df, group).where(F.col(group).isNotNull()).collect())  # one model each
     return {g: train_products(df.where(F.col(group) == g), [spec], build)[spec.product] for g in names}
 
 

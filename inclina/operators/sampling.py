@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inclina.functions.columns import hash_bucket, hash_text
-from inclina.operators.joins import attach_checked
+from inclina.operators.joins import attach_checked, left_join_ns
 from inclina.operators.ordering import number_rows, prefix_sums
 from inclina.session import materialize
 
 
+#: Buckets of splits and samples: all 32 bits of the hash, so that the smallest shares still draw rows.
+BUCKETS = 1 << 32
+
+
 def hash_split(
     df: DataFrame, key: Column | str, weights: Sequence[float], seed=1, names: Sequence[str] | None = None, out: str = "split"
 ) -> DataFrame:
@@ -26,17 +29,17 @@ def hash_split(
     names = list(names or [str(i) for i in range(len(weights))])
     if not math.isclose(sum(weights), 1.0) or len(names) != len(weights):
         raise ValueError("weights must sum to 1 and match the names")
-    bucket = hash_bucket(key, 1000, seed)
+    bucket = hash_bucket(key, BUCKETS, seed)
     side, upto = F, 0.0
     for name, weight in zip(names[:-1], weights[:-1]):
         upto += weight
-        side = side.when(bucket < round(1000 * upto), F.lit(name))
+        side = side.when(bucket < round(BUCKETS * upto), F.lit(name))
     return df.withColumn(out, side.otherwise(F.lit(names[-1])))
 
 
 def hash_sample(df: DataFrame, key: Column | str, fraction: float, seed=1) -> DataFrame:
     """Keep about ``fraction`` of the keys."""
-    return df.where(hash_bucket(key, 1000, seed) < round(1000 * fraction))
+    return df.where(hash_bucket(key, BUCKETS, seed) < round(BUCKETS * fraction))
 
 
 def ordered_split(df: DataFrame, key: str, prop: float, out: str = "split") -> DataFrame:
@@ -54,71 +57,56 @@ def ordered_split(df: DataFrame, key: str, prop: float, out: str = "split") -> D
     return df.withColumn(out, F.when(F.col(key) <= F.lit(boundary), "train").otherwise("test"))
 
 
-def lowest_hashed(df: DataFrame, label: str, quota: dict, key: Column | str, seed=1) -> DataFrame:
-    """Per class exactly ``quota[class]`` rows: those whose key hashes lowest.
+def lowest_hashed(df: DataFrame, label: str, quota: DataFrame, key: Column | str, seed=1) -> DataFrame:
+    """Per class exactly the number of rows that ``quota`` (label, want) gives: those whose key hashes lowest.
 
     A histogram over 65,536 hash ranges finds the range in which the quota is reached. Ranges below
-    are kept whole, only that one range is ordered, and copies of the boundary key are numbered.
+    are kept whole, only that one range is ordered, and copies of the boundary key are numbered. What is
+    known of a class travels in a table of one row per class, whatever their number.
     """
-    if not quota:
-        return df.limit(0)
     hashed = df.withColumn("_h", hash_text(key, seed)).withColumn("_range", F.substring("_h", 1, 4))
     per_range = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    same = lambda k: F.col(label).eqNullSafe(F.lit(k))
-    any_of = lambda parts: reduce(lambda a, b: a | b, parts)
-    wanted = reduce(lambda w, item: w.when(same(item[0]), F.lit(int(item[1]))), quota.items(), F).otherwise(F.lit(0))
-    edge = (
-        per_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_want", wanted)
-        .where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want")))
-        .collect()  # one row per class
+    reached = left_join_ns(per_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), quota.select(label, "want"), [label])
+    edge = materialize(
+        reached.where((F.col("_before") < F.col("want")) & (F.col("_before") + F.col("_n") >= F.col("want"))).select(
+            label, F.col("_range").alias("_edge"), (F.col("want") - F.col("_before")).alias("_left")
+        )
     )
-    if not edge:
-        return df.limit(0)
-    at_edge = hashed.where(any_of([same(r[label]) & (F.col("_range") == r["_range"]) for r in edge]))
-    steps = prefix_sums(at_edge, [label], ["_h"], {"_n": F.lit(1)})
-    left = reduce(lambda w, r: w.when(same(r[label]), F.lit(r["_want"] - r["_before"])), edge, F)
-    last = steps.withColumn("_left", left).where(
-        (F.col("_n_before") < F.col("_left")) & (F.col("_n_before") + F.col("_n") >= F.col("_left"))
-    ).collect()  # one row per class
-    split = [r for r in last if r["_n_before"] + r["_n"] > r["_left"]]  # copies of this key are only partly wanted
-    whole = [same(r[label]) & ((F.col("_h") < r["_h"]) if r in split else (F.col("_h") <= r["_h"])) for r in last]
-    kept = hashed.where(any_of(whole)).select(*df.columns)
-    if not split:
-        return kept
-    ties = number_rows(
-        at_edge.where(any_of([same(r[label]) & (F.col("_h") == r["_h"]) for r in split])), [label, "_h"], [], "_copy"
+    at_edge = attach_checked(hashed, edge, [label]).where(F.col("_range") == F.col("_edge"))
+    steps = attach_checked(prefix_sums(at_edge, [label], ["_h"], {"_n": F.lit(1)}), edge.select(label, "_left"), [label])
+    room = F.col("_left") - F.col("_n_before")
+    last = materialize(
+        steps.where((room > 0) & (room <= F.col("_n"))).select(label, F.col("_h").alias("_last"), room.alias("_room"), (room < F.col("_n")).alias("_part"))
     )
-    room = reduce(lambda w, r: w.when(same(r[label]), F.lit(r["_left"] - r["_n_before"])), split, F)
-    return kept.unionByName(ties.where(F.col("_copy") <= room).select(*df.columns))
+    marked = attach_checked(hashed, last, [label])
+    kept = marked.where((F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & ~F.col("_part"))).select(*df.columns)
+    # copies of the boundary key that are only partly wanted
+    split = marked.where((F.col("_h") == F.col("_last")) & F.col("_part")).select(*df.columns, "_room")
+    ties = number_rows(split, [label], [], "_copy")
+    return kept.unionByName(ties.where(F.col("_copy") <= F.col("_room")).select(*df.columns))
 
 
-def class_sizes(df: DataFrame, label: str, limit: int = 10_000) -> dict:
-    """Rows per class; refuses a column that is not a class label."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{label} has more than {limit} classes")
-    return {r[label]: r["n"] for r in rows}
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    """Rows per class, stored: (label, n)."""
+    return materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
 
 
 def downsample(df: DataFrame, label: str, key: Column | str, seed=1) -> DataFrame:
     """Exactly the smallest class's number of rows from every class."""
     sizes = class_sizes(df, label)
-    smallest = min(sizes.values(), default=0)
-    return lowest_hashed(df, label, {k: smallest for k in sizes}, key, seed)
+    smallest = sizes.agg(F.min("n")).first()[0] or 0
+    return lowest_hashed(df, label, sizes.select(label, F.lit(smallest).alias("want")), key, seed)
 
 
 def upsample(df: DataFrame, label: str, key: Column | str, seed=1) -> DataFrame:
     """Repeat rows until every class has exactly as many as the largest."""
     sizes = class_sizes(df, label)
-    largest = max(sizes.values(), default=0)
-    whole = reduce(
-        lambda e, item: e.when(F.col(label).eqNullSafe(F.lit(item[0])), F.lit(largest // item[1])), sizes.items(), F
-    )
-    repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole))).drop("_copy")
-    extra = {k: largest % n for k, n in sizes.items() if largest % n}
-    return repeated.unionByName(lowest_hashed(df, label, extra, key, seed)) if extra else repeated
+    largest = F.lit(sizes.agg(F.max("n")).first()[0] or 0)
+    whole = attach_checked(df, sizes.select(label, F.floor(largest / F.col("n")).cast("int").alias("_whole")), [label])
+    repeated = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*df.columns)
+    extra = sizes.select(label, (largest % F.col("n")).alias("want")).where("want > 0")
+    return repeated.unionByName(lowest_hashed(df, label, extra, key, seed))
 
 
 def balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -31,8 +31,10 @@ def _forest_score(train: DataFrame, test: DataFrame, subset: Sequence[int], tree
     return forest, metrics
 
 
-def size_grid(p: int, smallest: int = 3) -> list[int]:
-    """Subset sizes growing by half from ``smallest`` up to all ``p`` features."""
+def size_grid(p: int, smallest: int = 3, geometric: bool = False) -> list[int]:
+    """Every subset size from ``smallest`` to all ``p`` features; ``geometric`` sizes grow by half instead."""
+    if not geometric:
+        return list(range(min(smallest, p), p + 1))
     sizes, s = [], smallest
     while s < p:
         sizes.append(s)

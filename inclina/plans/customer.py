@@ -77,13 +77,14 @@ def prepare_customers(customers: DataFrame) -> DataFrame:
 
 
 def fit_recipe(
-    train: DataFrame, label: str, remove: Sequence[str], log_columns: Sequence[str], log_mode: str = "log1p", threshold: float = 0.95
+    train: DataFrame, label: str, remove: Sequence[str], log_columns: Sequence[str], log_mode: str = "log1p", threshold: float = 0.95,
+    keep: Sequence[str] = (),
 ) -> PipelineModel:
     """Remove, unknown level, complete rows (fit only), log, dummies, standardise, drop near-constant, PCA.
 
-    The fitted pipeline leaves the label and the ``pca`` vector (plus what it did not use).
+    The fitted pipeline leaves the label, the columns to ``keep`` as they are, and the ``pca`` vector.
     """
-    kept = [c for c in train.columns if c not in remove and c != label]
+    kept = [c for c in train.columns if c not in remove and c != label and c not in keep]
     nominal = [c for c in kept if train.schema[c].dataType.typeName() == "string"]
     logged = [c for c in log_columns if c in kept and c not in nominal]
     return fit_steps(
@@ -95,8 +96,8 @@ def fit_recipe(
             log_features(logged, log_mode),
             FitOnly(complete_rows(logged)),
             Dummies(nominal),
-            Standardise(exclude=[label]),
-            NearZeroVariance(exclude=[label]),
-            VariancePCA(exclude=[label], threshold=threshold),
+            Standardise(exclude=[label, *keep]),
+            NearZeroVariance(exclude=[label, *keep]),
+            VariancePCA(exclude=[label, *keep], threshold=threshold),
         ],
     )

@@ -115,6 +115,13 @@ def join_panel(days: DataFrame, credits: DataFrame, widest: int, chunk: int = CR
     return spread.join(numbered, same, "left").drop("ID_CLIENTE_N5", "_part", "_chunk")
 
 
+def _sides(movements: DataFrame, openings: DataFrame) -> tuple[DataFrame, DataFrame, int | None, int]:
+    """Days with their positions, and credits as :func:`_last_counters` gives them: what the fan-out joins."""
+    days = materialize(day_positions(daily_rollup(movements)))
+    credits, no_credit, widest = _last_counters(days, credit_positions(openings))
+    return days, materialize(credits), no_credit, widest
+
+
 def counted_panel(movements: DataFrame, openings: DataFrame, chunk: int = CREDITS_PER_CHUNK) -> DataFrame:
     """The fanned-out panel with ``meses`` (row counter per customer) and ``max_mes`` (its maximum per
     credit), holding flags and month labels.
@@ -122,8 +129,10 @@ def counted_panel(movements: DataFrame, openings: DataFrame, chunk: int = CREDIT
     ``meses`` numbers a customer's rows by day, then credit: every earlier day brought one row per
     credit, hence (day - 1) * credits + credit.
     """
-    days = materialize(day_positions(daily_rollup(movements)))
-    credits, no_credit, widest = _last_counters(days, credit_positions(openings))
+    return _fan_out(*_sides(movements, openings), chunk)
+
+
+def _fan_out(days: DataFrame, credits: DataFrame, no_credit: int | None, widest: int, chunk: int) -> DataFrame:
     panel = join_panel(days, credits, widest, chunk)
     flag = holding_flag("fecha_apertura", "fecha")
     return panel.withColumns(
@@ -144,10 +153,26 @@ def duration_quantiles(panel: DataFrame) -> DataFrame:
     return found.select("producto", *[F.col(f"q{i}").alias(f"percentil_{p}") for i, p in enumerate((25, 50, 75))])
 
 
-def duration_groups(panel: DataFrame) -> DataFrame:
+def counter_quantiles(days: DataFrame, credits: DataFrame) -> DataFrame:
+    """:func:`duration_quantiles` of the panel of these sides, without the fan-out.
+
+    A credit's counters are ``(day - 1) * credits + credit`` over the customer's days, so credits alike in
+    product, place, number of credits and days are counted first, and only the counts meet the days."""
+    spans = days.groupBy("id_cliente").agg(F.max("_days").alias("_span"))
+    held = credits.select(F.col("ID_CLIENTE_N5").alias("_holder"), "producto", "_credits", "_credit")
+    alike = spans.join(held, F.col("id_cliente") == F.col("_holder"), "left").groupBy("producto", "_credits", "_credit", "_span").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    day = alike.withColumn("_day", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_span").cast("bigint"))))
+    counter = (F.col("_day") - 1) * F.coalesce("_credits", F.lit(1)) + F.coalesce("_credit", F.lit(1))
+    found = exact_quantiles(day.withColumn("meses", counter), ["producto"], "meses", [0.25, 0.5, 0.75], weight="_n", repeats=True)
+    return found.select("producto", *[F.col(f"q{i}").alias(f"percentil_{p}") for i, p in enumerate((25, 50, 75))])
+
+
+def duration_groups(panel: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """Quartile group of the credit's longest counter within its product."""
     # one row per product class: at most the listed classes, the default and null
-    cut = left_join_ns(panel, F.broadcast(duration_quantiles(panel)), ["producto"])
+    cut = left_join_ns(panel, F.broadcast(quantiles if quantiles is not None else duration_quantiles(panel)), ["producto"])
     group = F
     for p, g in ((25, "g1"), (50, "g2"), (75, "g3")):
         group = group.when(F.col("max_mes") <= F.col(f"percentil_{p}"), F.lit(g))
@@ -156,7 +181,8 @@ def duration_groups(panel: DataFrame) -> DataFrame:
 
 def daily_panel(movements: DataFrame, openings: DataFrame, chunk: int = CREDITS_PER_CHUNK) -> DataFrame:
     """The modelling table: measures zero-filled, labels, counters and duration group."""
-    panel = duration_groups(counted_panel(movements, openings, chunk))
+    days, credits, no_credit, widest = _sides(movements, openings)
+    panel = duration_groups(_fan_out(days, credits, no_credit, widest, chunk), counter_quantiles(days, credits))
     return panel.withColumns({m: zero_if_missing(m) for m in MEASURES}).select(
         "NO_CREDITO", "id_cliente", "saldo", "saldo_promedio", "creditos_monto", "creditos_tx", "debitos_monto", "debitos_tx",
         "tenencia", *PRODUCT_LABELS.values(), "max_mes", "grupo", "anomes_producto",
@@ -174,6 +200,24 @@ def customer_labels(panel: DataFrame) -> DataFrame:
     )
 
 
+def labels_of(movements: DataFrame, openings: DataFrame) -> DataFrame:
+    """:func:`customer_labels` of the panel of these tables, without the panel.
+
+    Every row's flag is 1 and known when the customer has openings, all dated, all after the last day; a
+    product's flag is 1 on some row when an opening of it lies after the first day."""
+    days = movements.groupBy("id_cliente").agg(F.min("fecha").alias("_first"), F.max("fecha").alias("_last"), (F.count("fecha") == F.count(F.lit(1))).alias("_dated"))
+    opened = classify_openings(openings).where(F.col("ID_CLIENTE_N5").isNotNull()).groupBy("ID_CLIENTE_N5").agg(
+        strict_min("fecha_apertura").alias("_least"),
+        *[F.max(F.when(F.col("producto") == p, F.col("fecha_apertura"))).alias(f"_{p}") for p in PRODUCT_LABELS],
+    )
+    both = days.join(opened, F.col("id_cliente") == F.col("ID_CLIENTE_N5"), "left")
+    flag = lambda condition: F.when(condition, "1").otherwise("2")
+    return both.select(
+        "id_cliente", flag(F.col("_dated") & (F.col("_least") > F.col("_last"))).alias("tenencia_min"),
+        *[flag(F.col(f"_{p}") > F.col("_first")).alias(f"{c}_min") for p, c in PRODUCT_LABELS.items()],
+    )
+
+
 def scoring_rows(movements: DataFrame, history: str = "max_mes") -> DataFrame:
     """Already aggregated customer-days in the shape the models were trained on.
 

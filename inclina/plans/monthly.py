@@ -52,6 +52,7 @@ def life_medians(customers: DataFrame) -> DataFrame:
 def impute_salary(customers: DataFrame, occupations: DataFrame) -> DataFrame:
     """``SALARIO1``: the salary, or the median of the occupation group when unknown."""
     medians = occupation_medians(customers, occupations).select("ID_CLIENTE", "OCUPACIONES", "mediana")
+    medians = medians.where(F.col("ID_CLIENTE").isNotNull())  # rows without a customer take no part in the result
     return left_join_ns(customers, medians, ["ID_CLIENTE"]).withColumn("SALARIO1", F.coalesce("SALARIO", "mediana"))
 
 

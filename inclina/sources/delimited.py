@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from inclina.functions.columns import apply_types, nullify
 
 
+#: How a null is written in quoted text, where an empty field is an empty text.
+_NULL = "\\N"
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -20,8 +24,12 @@ def read_delimited(
     header: bool = True,
     mark: str = ".",
     tokens: Sequence[str] = ("NULL", "NA", ""),
+    quoted: bool = False,
 ) -> DataFrame:
-    """Delimited text without quoting, fields trimmed, null tokens nulled, then typed.
+    """Delimited text, null tokens nulled, then typed.
+
+    Fields are trimmed and quotes are ordinary characters; ``quoted`` reads what :func:`write_table` writes:
+    quoted fields as they are, with separators, quotes and line breaks inside, and null where nothing stands.
 
     Every field is read as text under the declared column names (which also name a headerless file,
     or rename one by position) and converted with ``try_cast``: a bad number becomes null instead of
@@ -33,16 +41,27 @@ def read_delimited(
         schema=schema,
         sep=sep,
         header=header,
-        quote="",
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
+        quote='"' if quoted else "",
+        escape='"' if quoted else "\\",
+        multiLine=quoted,
+        ignoreLeadingWhiteSpace=not quoted,
+        ignoreTrailingWhiteSpace=not quoted,
+        lineSep="\n" if quoted else None,
+        nullValue=_NULL if quoted else None,
         enforceSchema=True,
         mode="PERMISSIVE",
     )
-    clean = raw.select(*[nullify(c, tokens).alias(c) for c in columns])
+    clean = raw if quoted else raw.select(*[nullify(c, tokens).alias(c) for c in columns])
     return apply_types(clean, types or {}, mark)
 
 
+def _unquotable(name: str, sep: str):
+    """The column, failing the job on a value that cannot stand without quotes."""
+    c = F.col(name)
+    bad = c.contains(sep) | c.rlike("[\\r\\n\\x00]")
+    return F.when(bad, F.raise_error(F.lit(f"{name} holds a separator or line break: write it quoted"))).otherwise(c)
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table, or a column subset of it."""
     df = spark.read.parquet(path)
@@ -56,16 +75,28 @@ def read_lookup(spark: SparkSession, path: str, columns: Sequence[str], fmt: str
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sep: str = ",", header: bool = True, mark: str = "."
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sep: str = ",", header: bool = True, mark: str = ".",
+    quoted: bool = True,
 ) -> None:
-    """Replace a table on disk. No row-number column is added; CSV can use a decimal comma."""
+    """Replace a table on disk. No row-number column is added; CSV can use a decimal comma.
+
+    CSV fields are quoted and a quote inside is doubled, so any text reads back as it was. Unquoted output
+    (``quoted=False``, for files in the bank's own format) fails on a field that holds the separator or a line break,
+    which could not be told apart when read."""
     writer_input = df
     options: dict = {}
     if fmt == "csv":
         if mark != ".":
             doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
             writer_input = df.withColumns({c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(mark)) for c in doubles})
-        options = {"sep": sep, "header": header, "quote": "", "emptyValue": "", "nullValue": ""}
+        plain = {"sep": sep, "header": header, "quote": "", "emptyValue": "", "nullValue": ""}
+        texts = [f.name for f in writer_input.schema if isinstance(f.dataType, T.StringType)]
+        if not quoted:
+            writer_input = writer_input.withColumns({c: _unquotable(c, sep) for c in texts})
+        options = plain if not quoted else {
+            "sep": sep, "header": header, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": _NULL, "lineSep": "\n",
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+        }
     writer = writer_input.write.mode("overwrite").format(fmt).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

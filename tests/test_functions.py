@@ -117,10 +117,27 @@ def test_headerless_text(spark, tmp_path):
 
 
 def test_written_text_has_no_row_numbers(spark, tmp_path):
-    write_table(spark.createDataFrame([(1, 2.5)], "a int, b double"), str(tmp_path / "o"), "csv", sep="~", mark=",")
+    write_table(spark.createDataFrame([(1, 2.5)], "a int, b double"), str(tmp_path / "o"), "csv", sep="~", mark=",", quoted=False)
     part = next((tmp_path / "o").glob("part-*.csv"))
     assert part.read_text().split() == ["a~b", "1~2,5"]
 
 
 def test_glance(spark):
     assert [tuple(r) for r in glance(spark.createDataFrame([(1, "x")], "a int, b string")).collect()] == [(1, "a", "int"), (2, "b", "string")]
+
+
+def test_any_text_survives_quoted_csv(spark, tmp_path):
+    texts = ["a,b", 'say "hi"', "two\nlines", "\r\n", "", None, " padded ", "~", "\\", '\\"', "NULL", "NA", '"', ",", "é\t"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for sep in (",", "~"):
+        path = str(tmp_path / f"t{ord(sep)}")
+        write_table(spark.createDataFrame(rows, "i int, t string").repartition(2), path, "csv", sep=sep)
+        back = read_delimited(spark, path, ["i", "t"], {"i": "int"}, sep=sep, quoted=True)
+        assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_unquoted_csv_refuses_separators(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(Exception, match="separator"):
+        write_table(spark.createDataFrame([("a~b",)], "t string"), str(tmp_path / "x"), "csv", sep="~", quoted=False)

@@ -127,7 +127,7 @@ def test_elimination_finds_the_signal(data):
     found = X.rfe(data, "label", FEATURES, "id", sizes=[1, 3], resamples=2, trees=5)
     assert found["features"][0] == "signal" and len(found["results"]) == 4
     assert {s for _, s, _, _ in found["results"]} == {1, 3}
-    assert X.size_grid(20) == [3, 4, 6, 9, 13, 19, 20]
+    assert X.size_grid(6) == [3, 4, 5, 6] and X.size_grid(20, geometric=True) == [3, 4, 6, 9, 13, 19, 20]
 
 
 def test_genetic_search(data):

@@ -88,6 +88,15 @@ def test_panel_sums_are_zero_filled_after_the_strict_rollup(spark):
     assert np.allclose(list(got), want)
 
 
+def test_labels_and_quantiles_without_the_fan_out(spark):
+    _, _, m, o = bank(spark)
+    panel = daily.counted_panel(m, o)
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(daily.labels_of(m, o)) == key(daily.customer_labels(panel))
+    days, credits, _, _ = daily._sides(m, o)
+    assert key(daily.counter_quantiles(days, credits)) == key(daily.duration_quantiles(panel))
+
+
 def test_labels_need_every_flag_known(spark):
     rows = [("a", 1, "1", "2", "2"), ("a", 1, "2", "2", "2"), ("b", 1, "2", "2", "2"), ("b", None, "2", "1", "2"), ("c", 0, "2", "2", "2"), (None, 1, "2", "2", "1")]
     panel = spark.createDataFrame(rows, "id_cliente string, tenencia int, tenencia_tdc string, tenencia_pp string, tenencia_dpf string")

@@ -33,8 +33,8 @@ def test_split_is_the_stated_hash(spark):
     keys = [str(i) for i in range(200)]
     got = {r["k"]: r["split"] for r in S.hash_split(keyed(spark, keys), "k", [0.7, 0.3], 9, ["a", "b"]).collect()}
     for k in keys:
-        bucket = int(hashlib.md5(f"9:{k}".encode()).hexdigest()[:8], 16) % 1000
-        assert got[k] == ("a" if bucket < 700 else "b")
+        bucket = int(hashlib.md5(f"9:{k}".encode()).hexdigest()[:8], 16)
+        assert got[k] == ("a" if bucket < round(0.7 * 2**32) else "b")
     with pytest.raises(ValueError):
         S.hash_split(keyed(spark, keys), "k", [0.7, 0.2])
 
@@ -86,9 +86,18 @@ def test_weights_balance_classes(spark):
     assert {r["c"]: round(r["w"], 6) for r in total} == {"no": 900.0, "yes": 900.0}
 
 
-def test_class_label_is_refused_when_it_is_an_id(spark):
-    with pytest.raises(ValueError):
-        S.class_sizes(spark.range(50), "id", limit=10)
+def test_thousands_of_classes(spark):
+    df = spark.range(9000).selectExpr("CAST(id % 3000 AS STRING) AS c", "id AS k").unionByName(spark.range(3000).selectExpr("CAST(id AS STRING) AS c", "id + 9000 AS k").where("c % 2 = 0"))
+    kept = S.downsample(df, "c", "k").groupBy("c").count()
+    assert kept.count() == 3000 and kept.where("count <> 3").count() == 0
+    grown = S.upsample(df, "c", "k").groupBy("c").count()
+    assert grown.count() == 3000 and grown.where("count <> 4").count() == 0
+
+
+def test_small_fractions_draw_rows(spark):
+    n = S.hash_sample(spark.range(400_000), "id", 0.0001).count()
+    assert 15 <= n <= 75
+    assert S.hash_split(spark.range(400_000), "id", [0.9999, 0.0001], 1, ["a", "b"]).where("split = 'b'").count() > 0
 
 
 def test_folds_cover_every_row_once(spark):
