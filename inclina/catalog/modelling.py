@@ -127,6 +127,36 @@ def _(t):
     return rounded(features.fit_steps(rows, steps).transform(rows))
 
 
+DAILY_NUMBERS = [*daily.MEASURES, "max_mes"]
+
+
+@query(
+    "daily_training_rows",
+    f"""SELECT * FROM (WITH b AS (SELECT p.*, CAST(saldo AS DOUBLE) - avg(saldo) OVER () AS dx, debitos_tx - avg(debitos_tx) OVER () AS dy, var_samp(saldo) OVER () AS sa,
+    var_samp(debitos_tx) OVER () AS sb, covar_samp(saldo, debitos_tx) OVER () AS sab FROM panel p),
+    m AS (SELECT *, (sb * dx * dx - 2 * sab * dx * dy + sa * dy * dy) / (sa * sb - sab * sab) AS outlier FROM b),
+    k AS (SELECT id_cliente, row_number() OVER (ORDER BY id_cliente) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT id_cliente FROM panel)),
+    s AS (SELECT m.*, place <= floor(0.3 * n) AS train FROM m JOIN k ON m.id_cliente = k.id_cliente),
+    c AS (SELECT quantile_cont(outlier, 0.01) AS low, quantile_cont(outlier, 0.99) AS high FROM s WHERE train),
+    r AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in DAILY_NUMBERS)} FROM s, c WHERE train AND outlier > low AND outlier < high),
+    g AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in DAILY_NUMBERS)} FROM r),
+    f AS (SELECT variable, value, count(*) AS n FROM r UNPIVOT (value FOR variable IN ({', '.join(DAILY_NUMBERS)})) GROUP BY variable, value),
+    z AS (SELECT variable, count(*) AS kinds, sum(n) AS total, list(n ORDER BY n DESC) AS tops FROM f GROUP BY variable),
+    v AS (SELECT variable FROM z WHERE kinds > 1 AND NOT (tops[1] / tops[2] > 19 AND 100.0 * kinds / total <= 10)),
+    o AS (SELECT id_cliente, tenencia_dpf, CASE WHEN tenencia_tdc = '1' THEN 'yes' ELSE 'no' END AS tenencia_tdc,
+    {', '.join(f'round(({c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1), 4) AS {c}' for c in DAILY_NUMBERS)} FROM s, g WHERE NOT train)
+    SELECT * FROM (FROM o UNPIVOT (value FOR variable IN ({', '.join(DAILY_NUMBERS)}))) WHERE variable IN (FROM v))""",
+    ["panel"],
+)
+def _(t):
+    """Prepared rows of the test customers, one per row and number that is left: standardised as learned on the
+    trimmed rows of the training customers."""
+    panel = materialize(daily.daily_panel(e.movements(t), e.openings(t)))
+    rows = daily.training_rows(panel)[1]
+    ids = ["id_cliente", "tenencia_dpf", "tenencia_tdc"]
+    return rounded(rows.unpivot(ids, [c for c in rows.columns if c not in ids], "variable", "value"), 4)
+
+
 @query(
     "quantile_bins",
     """SELECT o_orderkey, CASE WHEN o_totalprice < a THEN 0.0 WHEN o_totalprice < b THEN 1.0 WHEN o_totalprice < c THEN 2.0 ELSE 3.0 END AS bin

@@ -7,9 +7,9 @@ which are known before the fan-out, so the large side is never sorted or shuffle
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +21,19 @@ from inclina.functions.columns import (
     year_month_label,
     zero_if_missing,
 )
+from inclina.operators.features import (
+    FitOnly,
+    Mahalanobis,
+    NearZeroVariance,
+    Standardise,
+    TrimOutliers,
+    complete_rows,
+    drop_columns,
+    fit_steps,
+)
 from inclina.operators.joins import left_join_ns
 from inclina.operators.ordering import exact_quantiles, number_rows
+from inclina.operators.sampling import downsample, ordered_split
 from inclina.operators.score import score_customers
 from inclina.session import materialize
 
@@ -218,6 +229,44 @@ def labels_of(movements: DataFrame, openings: DataFrame) -> DataFrame:
     )
 
 
+# The measures of the outlier distance and the columns that are no predictors of a product.
+DISTANCE = ["saldo", "debitos_tx"]
+NOT_PREDICTORS = ["NO_CREDITO", "tenencia", "tenencia_pp", "anomes_producto", "grupo", "outlier"]
+
+
+def with_distance(panel: DataFrame, label: str, positive: str = "1") -> DataFrame:
+    """The panel with each row's squared Mahalanobis distance and the label as yes / no."""
+    measured = Mahalanobis(DISTANCE).fit(panel).transform(panel)
+    return measured.withColumn(label, F.when(F.col(label) == positive, "yes").otherwise("no"))
+
+
+def fit_recipe(train: DataFrame, label: str, keep: Sequence[str] = ("id_cliente",)) -> PipelineModel:
+    """Trim 1 % of the distances at either end and drop incomplete rows (fit only), drop what is no predictor, centre, scale, drop
+    near-constant numbers. ``keep`` names columns that are passed on as they are."""
+    used = [c for c in train.columns if c not in NOT_PREDICTORS and c not in keep]
+    left_alone = [label, *keep]
+    return fit_steps(
+        train,
+        [
+            FitOnly(TrimOutliers("outlier")),
+            drop_columns([c for c in NOT_PREDICTORS if c in train.columns]),
+            FitOnly(complete_rows(used)),
+            Standardise(exclude=left_alone),
+            NearZeroVariance(exclude=left_alone),
+        ],
+    )
+
+
+def training_rows(panel: DataFrame, label: str = "tenencia_tdc", share: float = 0.3, seed: int = 9560) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the first ``share`` of the customers train, down-sampled to the rarer class; the recipe learned on all their rows
+    is applied to both sides."""
+    rows = ordered_split(with_distance(panel, label), "id_cliente", share, "_side")
+    train, test = (rows.where(F.col("_side") == s).drop("_side") for s in ("train", "test"))
+    recipe = fit_recipe(train, label)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(train.columns)])
+    return recipe.transform(downsample(train, label, key, seed)), recipe.transform(test)
+
+
 def scoring_rows(movements: DataFrame, history: str = "max_mes") -> DataFrame:
     """Already aggregated customer-days in the shape the models were trained on.
 
