@@ -4,6 +4,7 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as entry
+from inclina.catalog import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # fits of many models: run by ``python tests/oracle.py`` rather than with every test run
@@ -18,16 +19,20 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, con, name):
-    assert difference(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_runs(spark, name):
-    assert len(entry.queries()[name](spark, FOLDER).collect()) > 0
+    assert len(QUERIES[name](spark, FOLDER).collect()) > 0
 
 
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["NO_CREDITO", "id_cliente"]
+
+
+def test_entry_lists_the_catalog():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.items() <= entry.oracle_sql().items()
