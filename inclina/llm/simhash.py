@@ -11,10 +11,8 @@ linking them to the smallest keeps every connection. Both ways are exact.
 
 :func:`near_copies` finds copies by similarity instead: a text's distinct words, and its distinct word
 pairs, give two fingerprints that move by a few bits when a few words are replaced, the keys of both propose candidates,
-and a candidate is linked when five-word shingles are similar enough (bottom-k sketches, exact for texts up to ``SKETCH`` shingles). Within a key,
-members are compared with leaders: the smallest member leads, members similar to no leader yet elect
-further ones, twice as many each round, until every member is similar to a leader or is one. Work is
-members times leaders, never members squared.
+and a candidate is linked when five-word shingles are similar enough (bottom-k sketches, exact for texts up to ``SKETCH`` shingles). Members of a
+key meet its smallest member, and each other while they are few; crowded keys are cut finer.
 
 Defined results: null or empty text has fingerprint 0, linked like any other; a text shorter than a shingle
 is one shingle. Rows without an id share the components of their fingerprints but never name one (the id
@@ -30,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inclina.llm.components import components
@@ -39,6 +37,8 @@ from inclina.llm.store import stored
 #: Keys with at most this many fingerprints are compared pair by pair.
 PAIRED = 64
 SKETCH = 256
+#: Near copies' word and word-pair fingerprints lie within this many bits (texts 0.8 similar: 10 at most as measured).
+NEAR = 16
 #: Hash seed that the fingerprints are defined with.
 SEED = 42
 _PIECE = 1 << 16
@@ -91,10 +91,9 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def keyed(points: DataFrame, masks: list[int], prints: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """``points`` under each key of each of their fingerprints: columns ``t`` (table) and ``key`` besides their own."""
-    tables = enumerate((p, m) for p in prints for m in masks)
-    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.col(p).bitwiseAND(F.lit(m)).alias("key")) for i, (p, m) in tables])
+def keyed(points: DataFrame, masks: list[int]) -> DataFrame:
+    """``points`` under each key: columns ``t`` (table) and ``key`` besides their own."""
+    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     return points.withColumn("_k", F.explode(keys)).select("*", "_k.*").drop("_k")
 
 
@@ -179,24 +178,41 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, blocks: int
     classes = stored(prints.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "sketch-classes")
     many = classes.where("n > 1").select(*same, "node")
     copies = prints.join(many, same).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    placed = keyed(classes.select("fp", "fp2", "node"), block_masks(blocks, agree), ("fp", "fp2")).select("t", "key", "node")
-    sizes = stored(placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key"), "shared-keys")
-    members = stored(placed.join(sizes, ["t", "key"]), "members")
+    pairs = stored(_candidates(classes.select("fp", "fp2", "node"), blocks, agree), "candidates")
     sketches = classes.select("node", "sketch")
-    found = copies
-    open_, leaders = members, 1
-    while True:
-        by = Window.partitionBy("t", "key").orderBy("node")
-        lead = stored(open_.withColumn("at", F.row_number().over(by)).where(F.col("at") <= leaders).select("t", "key", F.col("node").alias("leader")), "leaders")
-        if not lead.limit(1).count():
-            break
-        pairs = lead.join(members, ["t", "key"]).where("leader <> node").select(F.greatest("leader", "node").alias("a"), F.least("leader", "node").alias("b")).distinct()
-        with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        both = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        good = stored(_similar(both, least), "similar")
-        found = found.unionByName(good)
-        linked = good.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(good.select(F.col("b").alias("node"), F.col("a").alias("leader")))
-        done = lead.join(linked, "leader").select("t", "key", "node").unionByName(lead.select("t", "key", F.col("leader").alias("node")))
-        open_ = stored(open_.join(done, ["t", "key", "node"], "left_anti"), "open")
-        leaders *= 2
+    with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    found = copies.unionByName(_similar(both, least))
     return components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def _candidates(points: DataFrame, blocks: int, agree: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints ``fp`` or ``fp2`` meet under a key and both lie within ``NEAR`` bits.
+
+    Under a key all members meet the smallest; up to ``PAIRED`` members also meet each other. A key with more is cut
+    into keys of one more block, and so on until whole fingerprints agree: what close pairs share stays together
+    while the rest parts, so no group is paired off as a whole."""
+    pieces = block_masks(blocks, 1)
+    family = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).alias("own")) for f, c in enumerate(("fp", "fp2"))]))
+    own = points.withColumn("_o", family).select("node", "fp", "fp2", "_o.*")
+    masks = F.array(*[F.lit(m) for m in block_masks(blocks, agree)])
+    now = own.withColumn("mask", F.explode(masks)).withColumn("key", F.col("own").bitwiseAND(F.col("mask")))
+    where, close, found = ["f", "mask", "key"], lambda x, y: distance(F.col(f"a.{x}"), F.col(f"b.{y}")) <= NEAR, None
+    while True:
+        first = F.min(F.struct("node", "fp", "fp2")).alias("lead")
+        sizes = stored(now.groupBy(*where).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1"), "shared-keys")
+        inside = stored(now.join(sizes, where), "members")
+        a, b = F.struct("node", "fp", "fp2").alias("a"), F.struct("node", "fp", "fp2").alias("b")
+        stars = inside.select(a, F.col("lead").alias("b"))
+        few = inside.where(F.col("n") <= PAIRED)
+        met = few.select(*where, a).join(few.select(*where, b), where).select("a", "b")
+        near = stars.unionByName(met).where((F.col("a.node") > F.col("b.node")) & close("fp", "fp") & close("fp2", "fp2"))
+        near = near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        found = near if found is None else found.unionByName(near)
+        crowded = inside.where(F.col("n") > PAIRED)
+        agree += 1
+        if agree > blocks or not crowded.limit(1).count():
+            return found.distinct()
+        more = F.explode(F.filter(F.array(*[F.lit(m) for m in pieces]), lambda m: m.bitwiseAND(F.col("mask")) == 0))
+        finer = crowded.select("node", "fp", "fp2", "f", "own", "mask", more.alias("piece")).withColumn("mask", F.col("mask").bitwiseOR(F.col("piece")))
+        now = finer.select("node", "fp", "fp2", "f", "own", "mask", F.col("own").bitwiseAND(F.col("mask")).alias("key")).distinct()
