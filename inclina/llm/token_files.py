@@ -8,9 +8,9 @@ a table of 64-bit offsets. A block closes at ``BLOCK_IDS`` ids or ``BLOCK_DOCS``
 is never split, so memory is bounded by one block and one document. Where a block starts within the
 whole array is a prefix sum over the block headers, which are few and are never collected.
 
-White-space separated words are encoded one by one and memoised: the tokenizer drops white space and
-splits at it, so a text's ids are its words' ids in order (tests hold this against whole texts). The
-memo is bounded; what does not fit is encoded again.
+A text's ids are the ids of its pieces in order, for the tokenizer drops white space and never merges over a
+piece's end; so pieces are memoised per Python worker (tests hold this against whole texts). The memos are
+bounded; what does not fit is encoded again.
 
 Defined results: null text is empty and has the end id only. Rows without a doc_id come last. Rows
 that share a doc_id each keep their own ids, in an order fixed by their text. Ids and offsets of
@@ -20,7 +20,10 @@ and text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,38 +37,73 @@ from inclina.operators.ordering import prefix_sums
 
 BLOCK_IDS = 1 << 20
 BLOCK_DOCS = 1 << 14
-#: Words remembered per Python worker.
-MEMO = 1 << 18
+#: Pieces remembered per Python worker.
+MEMO = 1 << 19
 BLOCK = (
     "shard int, block int, n_docs long, n_ids long, id_bytes int, ids binary, doc_ids binary, "
     "low_width int, low binary, high binary, samples binary"
 )
 
 
+#: Texts of code points below U+0300, where nothing composes and each letter lower-cases on its own.
+_SIMPLE = re.compile("[^\u0130\u0300-\U0010ffff]*")
+
+
+def _of_kind(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c)).startswith(kind))
+
+
+#: What the tokenizer's pre-tokenizer keeps of a lower-cased simple text: its pattern, with letters, numbers
+#: and white space spelled out.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^\x09-\x0d\x20\x85\xa0{_of_kind('L')}{_of_kind('N')}]+")
+#: Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for what follows U+00FF, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
+
 class WordEncoder:
-    """Ids of texts by memoised words. ``file``: a tokenizers file whose pre-tokenizer drops white space."""
+    """Ids of texts by memoised pieces. ``file``: a tokenizers file of lower-casing, byte-level BPE words.
+
+    A simple text is cut into the tokenizer's pieces, and each new piece goes through its BPE model. Other
+    texts are cut at white space alone, and each new word goes through the whole tokenizer."""
 
-    def __init__(self, file: str, dtype: str):
+    def __init__(self, file: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.dtype, self.memo = dtype, {}
+        self.model = self.tokenizer.model
+        self.code, self.words, self.pieces = {2: "H", 4: "I"}[width], {}, {}
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        memo, words = self.memo, text.encode().split()  # splits at ASCII white space only
-        missing = list({w for w in words if w not in memo})
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo = self.memo = {}
-                missing = list(set(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    memo[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join([memo[w] for w in words])
+        if text.isascii() or _SIMPLE.fullmatch(text):
+            memo, parts, encode_one = self.pieces, _PIECES.findall(text.lower()), self._piece
+        else:  # at ASCII white space only: the tokenizer itself deals with any other
+            memo, parts, encode_one = self.words, [w.decode() for w in text.encode().split()], self._word
+        if len(memo) >= MEMO:
+            memo.clear()
+        for part in set(parts).difference(memo):
+            memo[part] = encode_one(part)
+        return b"".join([memo[part] for part in parts])
+
+
+#: One encoder per Python worker: its memo outlives a task.
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def _encoder(file: str, width: int) -> WordEncoder:
+    if (file, width) not in _ENCODERS:
+        _ENCODERS[file, width] = WordEncoder(file, width)
+    return _ENCODERS[file, width]
 
 
 def _close(shard: int, block: int, ids: list[bytes], docs: list[int], width: int) -> dict:
@@ -88,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordEncoder(tokenizer_file, f"<u{width}")
+        words = _encoder(tokenizer_file, width)
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         shard, block, size, ids, at = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
