@@ -9,10 +9,10 @@ fingerprints within ``2 r`` bits have one within ``r`` bits of both, so each suc
 under every fingerprint within ``r`` bits; those who meet there are within ``2 r`` bits of each other, and
 linking them to the smallest keeps every connection. Both ways are exact.
 
-:func:`near_copies` finds copies by similarity instead: a text's distinct words, and its distinct word
-pairs, give two fingerprints that move by a few bits when a few words are replaced, the keys of both propose candidates,
-and a candidate is linked when five-word shingles are similar enough (bottom-k sketches, exact for texts up to ``SKETCH`` shingles). Members of a
-key meet its smallest member, and each other while they are few; crowded keys are cut finer.
+:func:`near_copies` finds copies by the similarity of five-word shingles instead: ``BANDS`` keys of ``HELD`` smallest
+shingle hashes each propose candidates, and a candidate is linked when the whole shingle sets are similar enough.
+Every node first meets the smallest node of its keys. Keys that still hold more than one group are compared whole:
+up to ``PAIRED`` members as pairs, more of them all with all inside tasks, in salted blocks.
 
 Defined results: null or empty text has fingerprint 0, linked like any other; a text shorter than a shingle
 is one shingle. Rows without an id share the components of their fingerprints but never name one (the id
@@ -36,12 +36,15 @@ from inclina.llm.store import stored
 
 #: Keys with at most this many fingerprints are compared pair by pair.
 PAIRED = 64
-SKETCH = 256
-#: Near copies' word and word-pair fingerprints lie within this many bits (texts 0.8 similar: 10 at most as measured).
-NEAR = 16
+#: Keys of a text, and smallest hashes in a key: texts 0.8 similar share none with probability (1 - 0.8 ^ 6) ^ 48 = 5e-7.
+BANDS, HELD = 48, 6
+#: A block of a crowded family holds about this many shingle sets, and bytes of them, at most.
+CROWD, CROWD_BYTES = 1024, 16 << 20
 #: Hash seed that the fingerprints are defined with.
 SEED = 42
 _PIECE = 1 << 16
+#: Odd factors that put 32 bits of a shingle's hash in another order.
+_FACTORS = np.array([xxhash.xxh32_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(BANDS * HELD)], np.uint32)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -133,86 +136,154 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int
 
 
 def _sketch(words: list[bytes], size: int) -> bytes:
-    return np.unique(shingle_hashes(words, size))[:SKETCH].astype("<u8").tobytes()
+    """The whole shingle set: its distinct hashes, ascending."""
+    return np.unique(shingle_hashes(words, size)).astype("<u8").tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their bottom-k sketches; exact if both are whole."""
+    """Jaccard similarity of two whole shingle sets."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    union = np.union1d(x, y)[:SKETCH]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, union, assume_unique=True).sum()) / len(union)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` with sketches ``sa``, ``sb`` at least ``least`` similar."""
+def band_keys(sketch: bytes) -> list[int]:
+    """``BANDS`` keys of a shingle set, each of the smallest hashes in ``HELD`` orders; none for an empty set."""
+    hashes = np.frombuffer(sketch, "<u8")
+    if not len(hashes):
+        return []
+    half, least = len(_FACTORS) // 2, np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashes), 512):
+        part = hashes[at : at + 512]
+        for place, bits in ((slice(0, half), part >> np.uint64(32)), (slice(half, None), part)):
+            least[place] = np.minimum(least[place], (_FACTORS[place, None] * bits.astype(np.uint32)).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, HELD))]
+    return [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ``sets`` (node, sketch) are at least ``least`` similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 8, agree: int = 3) -> DataFrame:
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def block_links(sketches: list[bytes], groups: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Positions of sets that connect all pairs at least ``least`` similar, given that equal ``groups`` are connected.
+
+    With two ``sides`` only pairs across them are compared. Exact: intersections are counted for one set with all
+    sets whose size allows the similarity."""
+    order = np.argsort([len(s) for s in sketches], kind="stable")
+    sizes = np.array([len(sketches[i]) // 8 for i in order], np.int64)
+    ids, times = np.unique(np.frombuffer(b"".join(sketches[i] for i in order), "<u8"), return_inverse=True, return_counts=True)[1:]
+    shared = times[ids] > 1
+    ends = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(sizes)])]
+    ids, mark = ids[shared], np.zeros(len(times), np.bool_)
+    label, side = np.unique(groups, return_inverse=True)[1][order], np.asarray(sides)[order]
+    reach = np.searchsorted(sizes, np.floor(sizes / least + 1e-6), "right")
+    across, found = len(np.unique(side)) > 1, []
+    for p in range(len(order)):
+        low, high = p + 1, int(reach[p])
+        wanted = label[low:high] != label[p]
+        if across:
+            wanted &= side[low:high] != side[p]
+        others = low + np.flatnonzero(wanted)
+        own = ids[ends[p] : ends[p + 1]]
+        if not len(others) or not len(own):
+            continue
+        mark[own] = True
+        if 8 * len(others) < high - low:
+            both = np.array([np.count_nonzero(mark[ids[ends[q] : ends[q + 1]]]) for q in others])
+        else:
+            sums = np.concatenate([[0], np.cumsum(mark[ids[ends[low] : ends[high]]])])
+            both = sums[ends[others + 1] - ends[low]] - sums[ends[others] - ends[low]]
+        mark[own] = False
+        for q in others[both / (sizes[p] + sizes[others] - both) >= least].tolist():
+            if label[q] != label[p]:
+                label[label == label[q]] = label[p]
+                found.append((int(order[p]), int(order[q])))
+    return found
+
+
+def _crowded(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect all similar nodes of the crowded keys of ``rest`` (node, root, lead).
+
+    Nodes that share such keys, directly or over others, are one family. A family is dealt to salted blocks; every two
+    blocks meet in one task with whole shingle sets, so its pairs are compared but never rows of a table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        met = block_links(table["sketch"].to_pylist(), table["root"].to_numpy(), table["salt"].to_numpy(), least)
+        return pa.table({"a": node[[p for p, _ in met]].astype(np.int64), "b": node[[q for _, q in met]].astype(np.int64)})
+
+    family = components(rest.select(F.col("node").alias("a"), F.col("lead").alias("b"))).select("node", F.col("root").alias("family"))
+    own = rest.select("node", "root").distinct().join(family, "node")
+    bulk = own.join(sets.select("node", F.length("sketch").alias("bytes")), "node").groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / CROWD), F.ceil(F.sum("bytes") / CROWD_BYTES)).cast("int").alias("blocks")
+    )
+    salted = own.join(stored(bulk, "families"), "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "root", "family", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
+    return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that have near copies: shingles of ``words`` words at least
     ``least`` similar. Rows without an id are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sketches = [], []
+            found = []
             for t in batch.column(1):
-                own = _words(t.as_py())
-                prints.append((fingerprint(shingle_hashes(list(dict.fromkeys(own)), 1)), fingerprint(np.unique(shingle_hashes(own, 2)))))
-                sketches.append(_sketch(own, words))
-            singles, pairs = (pa.array([p[i] for p in prints], pa.int64()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), singles, pairs, pa.array(sketches, pa.binary())], names=["doc", "fp", "fp2", "sketch"])
+                own = _sketch(_words(t.as_py()), words)
+                found.append((xxhash.xxh3_128_digest(own, SEED), len(own) // 8, band_keys(own)))
+            kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "same", "n", "bands"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sketches = pa.array([_sketch(_words(t.as_py()), words) for t in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sketches], names=["node", "sketch"])
 
     rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("body"))
-    prints = stored(rows.mapInArrow(run, "doc long, fp long, fp2 long, sketch binary"), "sketches")
-    # Equal fingerprints and sketch: one class, named by its smallest id.
-    same = ["fp", "fp2", "sketch"]
-    classes = stored(prints.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "sketch-classes")
-    many = classes.where("n > 1").select(*same, "node")
-    copies = prints.join(many, same).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(_candidates(classes.select("fp", "fp2", "node"), blocks, agree), "candidates")
-    sketches = classes.select("node", "sketch")
-    with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-    both = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    found = copies.unionByName(_similar(both, least))
+    prints = stored(rows.mapInArrow(keys, "doc long, same binary, n int, bands array<long>"), "shingle-keys")
+    # Equal shingle sets: one class, named by its smallest id.
+    classes = stored(
+        prints.groupBy("same").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("docs"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")),
+        "shingle-classes",
+    )
+    many = classes.where("docs > 1").select("same", "node")
+    copies = prints.select("doc", "same").join(many, "same").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    placed = classes.select("node", "n", F.explode("bands").alias("key"))
+    sizes = stored(placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("lead")).where("held > 1"), "key-sizes")
+    inside = stored(placed.join(sizes, "key"), "shared-keys")
+    nodes = inside.select(F.col("node").alias("doc")).distinct()
+    sets = stored(rows.join(nodes, "doc", "left_semi").dropDuplicates(["doc", "body"]).mapInArrow(whole, "node long, sketch binary"), "shingle-sets")
+    # Most nodes are similar to the smallest node they meet; what that connects need not be compared again.
+    leads = inside.where("node <> lead").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b")
+    found = stored(_similar(leads, sets, least), "links")
+    roots = stored(components(found), "roots")
+    rooted = inside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = rooted.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r <> _s").select("key")
+    rest = stored(rooted.join(parted, "key"), "open-keys")
+    few = rest.where(F.col("held") <= PAIRED)
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n")]) for x in "ab")
+    fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
+    pairs = a.join(b, "key").where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    found = copies.unionByName(found).unionByName(_similar(pairs, sets, least))
+    crowded = rest.where(F.col("held") > PAIRED)
+    if crowded.limit(1).count():
+        found = found.unionByName(_crowded(crowded, sets, least))
     return components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-
-
-def _candidates(points: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints ``fp`` or ``fp2`` meet under a key and both lie within ``NEAR`` bits.
-
-    Under a key all members meet the smallest; up to ``PAIRED`` members also meet each other. A key with more is cut
-    into keys of one more block, and so on until whole fingerprints agree: what close pairs share stays together
-    while the rest parts, so no group is paired off as a whole."""
-    pieces = block_masks(blocks, 1)
-    family = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).alias("own")) for f, c in enumerate(("fp", "fp2"))]))
-    own = points.withColumn("_o", family).select("node", "fp", "fp2", "_o.*")
-    masks = F.array(*[F.lit(m) for m in block_masks(blocks, agree)])
-    now = own.withColumn("mask", F.explode(masks)).withColumn("key", F.col("own").bitwiseAND(F.col("mask")))
-    where, close, found = ["f", "mask", "key"], lambda x, y: distance(F.col(f"a.{x}"), F.col(f"b.{y}")) <= NEAR, None
-    while True:
-        first = F.min(F.struct("node", "fp", "fp2")).alias("lead")
-        sizes = stored(now.groupBy(*where).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1"), "shared-keys")
-        inside = stored(now.join(sizes, where), "members")
-        a, b = F.struct("node", "fp", "fp2").alias("a"), F.struct("node", "fp", "fp2").alias("b")
-        stars = inside.select(a, F.col("lead").alias("b"))
-        few = inside.where(F.col("n") <= PAIRED)
-        met = few.select(*where, a).join(few.select(*where, b), where).select("a", "b")
-        near = stars.unionByName(met).where((F.col("a.node") > F.col("b.node")) & close("fp", "fp") & close("fp2", "fp2"))
-        near = near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        found = near if found is None else found.unionByName(near)
-        crowded = inside.where(F.col("n") > PAIRED)
-        agree += 1
-        if agree > blocks or not crowded.limit(1).count():
-            return found.distinct()
-        more = F.explode(F.filter(F.array(*[F.lit(m) for m in pieces]), lambda m: m.bitwiseAND(F.col("mask")) == 0))
-        finer = crowded.select("node", "fp", "fp2", "f", "own", "mask", more.alias("piece")).withColumn("mask", F.col("mask").bitwiseOR(F.col("piece")))
-        now = finer.select("node", "fp", "fp2", "f", "own", "mask", F.col("own").bitwiseAND(F.col("mask")).alias("key")).distinct()

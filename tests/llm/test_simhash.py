@@ -107,6 +107,37 @@ def test_sketches_are_exact_when_whole():
         assert simhash.similarity(simhash._sketch(a, 2), simhash._sketch(b, 2)) == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_crowded_keys_lose_no_copy(spark):
+    """Thousands of copies similar to one text with the largest id and not to each other: all are one component."""
+    rng = random.Random(5)
+    hub = [f"v{rng.randrange(5000)}" for _ in range(400)]
+    data = [(10**6, " ".join(hub), None, None, None)]
+    for k in range(2000):
+        words = list(hub)
+        for spot in rng.sample(range(80), 5):
+            words[5 * spot : 5 * spot + 4] = [f"x{k}_{spot}_{i}" for i in range(4)]
+        data.append((k, " ".join(words), None, None, None))
+    sets = [shingles(t) for _, t, *_ in data]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    assert not any(alike(*rng.sample(sets[1:], 2)) for _ in range(300))
+    want = {d for (d, *_), s in zip(data, sets) if alike(s, sets[0])}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, data)).collect()}
+    assert len(want) > 1500 and {d for d in want if found.get(d) == min(want)} == want
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_blocks_connect_all_similar_sets(sides):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    sets = [sorted({*rng.sample(base, rng.randint(30, 60)), *(rng.getrandbits(64) for _ in range(rng.randint(0, 6)))}) for _ in range(150)] + [[]]
+    side = [rng.randrange(sides) for _ in sets]
+    alike = lambda i, j: (side[i] != side[j] or sides == 1) and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) > 0
+    met = simhash.block_links([np.array(s, "<u8").tobytes() for s in sets], np.arange(len(sets)), np.array(side), 0.8)
+    assert all(alike(i, j) for i, j in met)
+    pairs = {frozenset(p) for p in met}
+    assert groups(len(sets), lambda i, j: frozenset((i, j)) in pairs) == groups(len(sets), alike)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.near_copies(documents(spark, [])).count() == 0
