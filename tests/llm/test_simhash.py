@@ -125,6 +125,26 @@ def test_crowded_keys_lose_no_copy(spark):
     assert len(want) > 1500 and {d for d in want if found.get(d) == min(want)} == want
 
 
+def pairs_found(spark, pairs):
+    """The numbers of the (a, b) texts that near_copies puts into one component."""
+    data = [(2 * k + i, " ".join(t), None, None, None) for k, pair in enumerate(pairs) for i, t in enumerate(pair)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, data)).collect()}
+    assert all(d // 2 == r // 2 for d, r in found.items())
+    return {d // 2 for d in found}
+
+
+def test_appended_cut_and_replaced_parts_are_found(spark):
+    rng, pairs = random.Random(9), []
+    weights = [1 / k for k in range(1, 20001)]
+    prose = lambda n: [f"v{w}" for w in rng.choices(range(20000), weights, k=n)]
+    for n in [30] * 40 + [300] * 40 + [2000] * 10:
+        for add, cut in ((round(0.18 * n), 0), (round(0.08 * n), round(0.08 * n)), (0, round(0.15 * n))):
+            text = prose(n)
+            pairs.append((text, text[: n - cut] + prose(add)))
+    want = {k for k, (a, b) in enumerate(pairs) if len({*shingles(" ".join(a))} & {*shingles(" ".join(b))}) >= 0.8 * len({*shingles(" ".join(a))} | {*shingles(" ".join(b))})}
+    assert len(want) > 200 and pairs_found(spark, pairs) == want
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_blocks_connect_all_similar_sets(sides):
     rng = random.Random(6)
