@@ -145,6 +145,15 @@ def test_appended_cut_and_replaced_parts_are_found(spark):
     assert len(want) > 200 and pairs_found(spark, pairs) == want
 
 
+def test_long_texts_at_the_threshold_are_decided_exactly(spark):
+    rng, pairs = random.Random(10), []
+    for k in range(24):
+        text = [f"v{rng.randrange(50000)}" for _ in range(3000)]
+        size, at = 328 + 2 * (k % 2), rng.randrange(10, 2600)  # 0.8005 or 0.7994 similar
+        pairs.append((text, text[:at] + [f"x{k}_{i}" for i in range(size)] + text[at + size :]))
+    assert pairs_found(spark, pairs) == set(range(0, 24, 2))
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_blocks_connect_all_similar_sets(sides):
     rng = random.Random(6)
