@@ -1,7 +1,8 @@
 """Secrets in text: fixed patterns plus credential values that would be hard to guess.
 
 Fixed patterns give the base spans. Beyond them, a value that stands in a credential context (a wider
-set of names than the base pattern knows, or words such as "password is") is scored by the guesses an
+set of names than the base pattern knows, with any name parts before and between its words, words such as "password is",
+or a bearer header) is scored by the guesses an
 attacker would need: the cheapest segmentation of the value into known words, dates, repeats, keyboard
 or alphabet walks and brute-force spans, found by dynamic programming over its positions. Values of at
 least ``LEAST_GUESSES`` (as a power of ten) are added as spans of kind ``guess``; base spans stay.
@@ -34,11 +35,12 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|private_?key|access_?key|api_?key|client_?secret|pin)"""
-    r"""["']?(?:\x20*(?:[:=]|:=|=>)\x20*|\x20+(?:is|was)\x20+)["']?([^\s"'<>,;]{6,})""",
-    re.I | re.A,
-)
+#: A whole name with what stands between it and its value; "bearer" needs a space alone.
+_NAME = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)(?=(["']?(?:\x20*(?:[:=]|:=|=>)\x20*|\x20+(?:is|was)\x20+)|(?<=bearer)\x20+))""", re.I | re.A)
+_VALUE = re.compile(r"""["']?(?:bearer\x20+)?([^\s"'<>,;]{6,})""", re.I | re.A)
+#: Last words of a credential's name, and those that make one of a name that ends with "key".
+_LAST = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|pin)$")
+_BEFORE_KEY = ("private", "access", "api", "secret", "client", "auth", "token", "credential")
 #: Frequent parts of passwords, most frequent first.
 WORDS = (
     "password pass love admin welcome login master hello secret monkey dragon sunshine princess football baseball shadow "
@@ -107,6 +109,25 @@ def guesses(value: str) -> float:
     return best[n] + len(tail) * brute
 
 
+def _credential(name: str, said: bool) -> bool:
+    """A name that ends with a credential word; in a sentence (``said``) no letter may stand before that word."""
+    low = name.lower()
+    if low.endswith("key"):
+        at = min((i for w in _BEFORE_KEY if 0 <= (i := low.find(w)) <= len(low) - 3 - len(w)), default=-1)
+    else:
+        at = m.start() if (m := _LAST.search(low)) else -1
+    return at >= 0 and not (said and at and low[at - 1].isalpha())
+
+
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values after credential names, none inside another."""
+    done = 0
+    for m in _NAME.finditer(text):
+        if m.start() >= done and _credential(m[1], not set(m[2]) & set(":=")) and (v := _VALUE.match(text, m.end(2))):
+            yield v.start(1), v.start(1) + len(v[1].rstrip("."))
+            done = v.end()
+
+
 def spans(text: str, least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then kind."""
     found = []
@@ -116,9 +137,7 @@ def spans(text: str, least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    for m in _CONTEXT.finditer(text):
-        if guesses(m[1].rstrip(".")) >= least:
-            found.append((m.start(1), m.start(1) + len(m[1].rstrip(".")), 3))
+    found += [(a, b, 3) for a, b in _values(text) if guesses(text[a:b]) >= least]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2], s[1]))]
 
 

@@ -51,6 +51,31 @@ def test_context_values_are_added():
     assert [k for _, _, k in found] == ["guess"]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"),
+        ("aws.secret-access-key: wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"),
+        ("DB_PASS=zX9!kQ2-pLm7", "zX9!kQ2-pLm7"),
+        ("db_pwd: zX9!kQ2-pLm7.", "zX9!kQ2-pLm7"),
+        ("DB_PASSWORD=x$9!kQ2-pLm7", "x$9!kQ2-pLm7"),
+        ('{"spring.datasource.password": "x$9!kQ2-pLm7"}', "x$9!kQ2-pLm7"),
+        ("mysqlpwd=zX9!kQ2-pLm7", "zX9!kQ2-pLm7"),
+        ("this is app.api_key = zX9!kQ2-pLm7", "zX9!kQ2-pLm7"),
+        ("Authorization: Bearer eyJhbGciOi.J9x-_", "eyJhbGciOi.J9x-_"),
+        ("auth: Bearer eyJhbGciOi.J9x-_", "eyJhbGciOi.J9x-_"),
+        ("bearer = eyJhbGciOi.J9x-_", "eyJhbGciOi.J9x-_"),
+    ],
+)
+def test_prefixed_names_and_bearer_headers(text, value):
+    assert [text[a:b] for a, b, k in secrets.spans(text) if k == "guess"] == [value]
+
+
+def test_other_names_give_no_value():
+    for text in ("monkey = zX9!kQ2-pLm7", "The compass is zX9!kQ2-pLm7", "api = zX9!kQ2-pLm7", "bearer zX9!k"):
+        assert secrets.spans(text) == []
+
+
 def test_segmentation_is_cheapest():
     """The program's table against every segmentation of short values into single characters and words."""
     import math
