@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 
 #: A guessed value needs at least ten to this power guesses to be reported.
 LEAST_GUESSES = 10.0
-#: Values are scored to this many characters by dynamic programming; the rest counts as brute force.
-SCORED = 128
 #: Kinds of the base patterns in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -64,21 +62,35 @@ def _alphabet(value: str) -> int:
     return max(2, sum(n for test, n in sizes if any(test(c) for c in value)))
 
 
+def _lower(value: str) -> str:
+    """Lower case, one character for each."""
+    return value.lower() if value.isascii() else "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
+
+
 @lru_cache(maxsize=65_536)
 def guesses(value: str) -> float:
     """Decimal logarithm of the guesses for ``value``: the cheapest way to cover it by segments.
 
-    Every segment after the first doubles the work (its kind has to be guessed too)."""
-    head, tail = value[:SCORED], value[SCORED:]
-    low, n = head.lower(), len(head)
+    Every segment after the first doubles the work (its kind has to be guessed too). The whole value is
+    covered, in time that grows with its length."""
+    return _cheapest(value, math.log10(_alphabet(value)))
+
+
+@lru_cache(maxsize=65_536)
+def _block(value: str, brute: float) -> float:
+    return _cheapest(value, brute)
+
+
+def _cheapest(head: str, brute: float) -> float:
+    low, n = _lower(head), len(head)
     plain = low.translate(_LEET)
-    brute = math.log10(_alphabet(head))
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
     for at in range(n):
         if low[at].isdigit() and (m := _DATE.match(low, at)):
             dates.setdefault(m.end(), []).append(at)
     run = walk = 0
+    same = [0] * 9  # by period: how many characters up to here equal those a period before
     for end in range(1, n + 1):
         i = end - 1
         best[end] = best[i] + brute
@@ -100,13 +112,13 @@ def guesses(value: str) -> float:
                 best[end] = min(best[end], best[start] + math.log10(rank + 1) + 0.3 * (1 + twist))
         for start in dates.get(end, ()):
             best[end] = min(best[end], best[start] + _DATES[end - start > 4] + 0.3)
-        for period in range(2, min(8, end // 2) + 1):  # a repeated block costs the block and its count
-            if low[end - period : end] == low[end - 2 * period : end - period]:
-                first = end - 2 * period
-                while first >= period and low[first - period : first] == low[end - period : end]:
-                    first -= period
-                best[end] = min(best[end], best[first] + period * brute + math.log10((end - first) / period) + 0.3)
-    return best[n] + len(tail) * brute
+        for period in range(2, min(8, i) + 1):  # a repeated block costs the block and its count
+            same[period] = same[period] + 1 if low[i] == low[i - period] else 0
+            if same[period] >= period:
+                first = end - period * (1 + same[period] // period)
+                block = _block(head[end - period : end], brute)
+                best[end] = min(best[end], best[first] + block + math.log10((end - first) / period) + 0.3)
+    return best[n]
 
 
 def _credential(name: str, said: bool) -> bool:

@@ -46,6 +46,17 @@ def test_guess_cost_orders_values():
     assert secrets.guesses("hunter2" * 500) < secrets.guesses("zX9!kQ2-pLm7" * 500)
 
 
+@pytest.mark.parametrize("value", ["a" * 500, "password" * 40, "=" * 400, "-" * 5000, "abc" * 200, "a" * 300 + "19991231"])
+def test_long_easy_values_are_no_secrets(value):
+    assert secrets.guesses(value) < secrets.LEAST_GUESSES
+    assert not any(k == "guess" for _, _, k in secrets.spans("my pwd is " + value))
+
+
+def test_long_values_are_scored_to_their_end():
+    assert secrets.guesses("zX9!kQ2-pLm7" + "a" * 400) < secrets.guesses("zX9!kQ2-pLm7" + "a" * 400 + "zX9!kQ2-pLm7") < 60
+    assert secrets.guesses("x" * 400 + "İpassword") < 20  # a character whose lower case is longer
+
+
 def test_context_values_are_added():
     found = secrets.spans('my pwd is zX9!kQ2-pLm7 and pass: aaaaaaaa')
     assert [k for _, _, k in found] == ["guess"]
