@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inclina.llm import decontaminate, line_dedup, mixing, preferences, quality, recompression, secrets, simhash, token_files, vector_search
+from inclina.llm import (
+    alignment, decontaminate, hard_negatives, line_dedup, mixing, preferences, quality, recompression, secrets, simhash, token_files, vector_search, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +148,50 @@ def op9_secret_scan(spark, folder):
 @query("op10_vector_search")
 def op10_vector_search(spark, folder):
     return vector_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3
+    """,
+)
+def op11_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    own, label = vectors["vec_id"], vectors["label"].cast("long")
+    return hard_negatives.mine(vectors, F.when(own % 7 == 0, (label + 1) % 10).otherwise(label), own % 50 == 0)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, folder):
+    import public_tokenizers as files
+
+    return alignment.cross_align(table(spark, folder, "documents"), files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op13_warc_round_trip",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+    t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+    SELECT page_id, octet_length(h::BLOB)::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM t
+    """,
+)
+def op13_warc_round_trip(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages")).drop("payload")

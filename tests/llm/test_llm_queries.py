@@ -16,6 +16,7 @@ COLUMNS = {
     "op7_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_vector_search": ["query_id", "rank", "vec_id", "score"],
+    "op12_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -37,4 +38,4 @@ def test_columns(spark, name):
 def test_all_are_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and COLUMNS.keys() | ORACLE.keys() == QUERIES.keys()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
