@@ -185,7 +185,7 @@ def op12_token_alignment(spark, folder):
     """
     WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
     t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
-    SELECT page_id, octet_length(h::BLOB)::BIGINT AS payload_bytes,
+    SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                (1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
