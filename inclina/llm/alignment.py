@@ -37,9 +37,11 @@ from inclina.llm.store import stored
 from inclina.operators.joins import attach_checked
 
 #: Bytes of text that are encoded and joined at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A pair of ids is ``a << SHIFT | b``.
 SHIFT = 20
+#: A document-end key is ``document << PLACE`` plus the offset.
+PLACE = 40
 #: Pairs of ids (two longs and a flag) that may be broadcast.
 PAIRS = 1_000_000
 #: Partial counts that a task keeps before it hands them on.
@@ -117,23 +119,24 @@ def sides(a_file: str, b_file: str) -> Sides:
 
 
 def token_ends(tokens: pa.ListArray, lengths: pa.Array, side: str) -> pa.Table:
-    """(doc, end, place) per token: its document's place, the byte offset in it where the token ends, and the
+    """Per token: the document-end key (its document's place and the byte offset in it where the token ends) and the
     token's own place in the flattened list."""
     doc = pc.list_parent_indices(tokens)
     sums = pc.cumulative_sum(lengths.take(pc.list_flatten(tokens)))
     # segmented: what the documents before have summed up to is taken off
-    before = pa.array(np.concatenate([[0], sums.to_numpy()])[tokens.offsets.to_numpy()[:-1]])
-    return pa.table({"doc": doc, "end": pc.subtract(sums, before.take(doc)), side: pa.array(np.arange(len(doc)))})
+    before = np.concatenate([[0], sums.to_numpy()])[tokens.offsets.to_numpy()[:-1]]
+    base = pa.array((np.arange(len(before)) << PLACE) - before)
+    return pa.table({"key": pc.add(sums, base.take(doc)), side: pa.array(np.arange(len(doc)))})
 
 
 def link_rows(tokens: dict[str, pa.ListArray], lengths: dict[str, pa.Array]) -> pa.Table:
-    """One row per link of documents that both sides spell: ``doc``, ``end``, places ``a`` and ``b``, and ``both``, whether both
-    tokens end here."""
+    """One row per link of documents that both sides spell: ``doc``, places ``a`` and ``b``, and ``both``, whether both
+    tokens end here. In byte order."""
     a, b = (token_ends(tokens[s], lengths[s], s) for s in "ab")
-    ends = a.join(b, keys=["doc", "end"], join_type="full outer", use_threads=False).sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
+    ends = a.join(b, keys="key", join_type="full outer", use_threads=False).sort_by("key").combine_chunks()
     # An end of one side alone lies inside the other side's next token; a document's last end is always shared.
     both = pc.and_(pc.is_valid(ends["a"]), pc.is_valid(ends["b"]))
-    return pa.table({"doc": ends["doc"], "end": ends["end"], "a": pc.fill_null_backward(ends["a"]), "b": pc.fill_null_backward(ends["b"]), "both": both})
+    return pa.table({"doc": pc.shift_right(ends["key"], PLACE), "a": pc.fill_null_backward(ends["a"]), "b": pc.fill_null_backward(ends["b"]), "both": both})
 
 
 def _groups_of(links: pa.Table) -> dict[str, np.ndarray]:
@@ -176,9 +179,9 @@ def align_texts(known: Sides, ids: list, texts: list[str | None], lists: bool =
         groups = _groups_of(links)
         for name, s in (("n_a", "a"), ("n_b", "b")):
             out[name][asked] = np.diff(tokens[s].offsets.to_numpy())
-        sums = links.group_by("doc", use_threads=False).aggregate([("both", "sum"), ("end", "count")])
+        sums = links.group_by("doc", use_threads=False).aggregate([("both", "sum"), ([], "count_all")])
         at = asked[sums["doc"].to_numpy()]
-        out["n_groups"][at], out["n_links"][at] = sums["both_sum"].to_numpy(), sums["end_count"].to_numpy()
+        out["n_groups"][at], out["n_links"][at] = sums["both_sum"].to_numpy(), sums["count_all"].to_numpy()
         for i, digest in zip(asked.tolist(), _spelled_groups(known, tokens, groups)):
             digests[i] = digest
         flat = {s: pc.list_flatten(tokens[s]).cast(pa.int64()) for s in "ab"}
