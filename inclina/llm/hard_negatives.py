@@ -10,7 +10,7 @@ exact integer products.
 Two searches are made this way. Positives (the best rows of the anchor's label) start from the bound that the anchor's own bucket
 gives. Negatives (rows of other labels in a band below each positive's score) start from the lowest band. Every bucket meets every block
 of anchors that its longest vector can serve; blocks are broadcast while their bytes are few (counted), else buckets and
-blocks are joined. A task holds one bucket and one block; it keeps at most the wanted number of rows per anchor.
+blocks are joined. A task holds one bucket and one block; what it has found for an anchor raises the bound for its next buckets.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite component, take no part. Components are taken as
 ``floor(scale * x)``, cut to 64-bit integers; scores beyond 64 bits are cut too. Vectors of other lengths have no product with
@@ -21,6 +21,7 @@ negatives in its band (any below 0), gives no row. Empty tables give empty resul
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,13 +77,14 @@ def unit(q: np.ndarray) -> np.ndarray:
 
 
 def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer ``rows`` with ``q``, cut to 64 bits."""
-    if not rows.size:
-        return np.zeros(len(rows), np.int64)
-    most = np.abs(rows.astype(np.float64)).max() * np.abs(q.astype(np.float64)).max() * len(q)
-    if most < 2.0**53:
-        return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return np.array([max(-_LONG - 1, min(_LONG, p)) for p in rows.astype(object) @ q.astype(object)], np.int64)
+    """Exact inner products of integer ``rows`` with ``q`` (a vector, or vectors as rows: one line each), cut to 64 bits."""
+    a, b = rows.astype(np.float64), q.astype(np.float64)
+    if not rows.size or not q.size:
+        return np.zeros((*q.shape[:-1], len(rows)), np.int64)
+    if np.abs(a).max() * np.abs(b).max() * q.shape[-1] < 2.0**53:
+        return (b @ a.T).astype(np.int64)
+    cut = np.frompyfunc(lambda p: max(-_LONG - 1, min(_LONG, p)), 1, 1)
+    return cut(q.astype(object) @ rows.astype(object).T).astype(np.int64)
 
 
 def feasible(x: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
@@ -205,16 +207,16 @@ def pack_anchors(anchors: DataFrame) -> DataFrame:
     return stored(anchors.sortWithinPartitions("dim").mapInArrow(pack, "dim int, block long, reach double, least double, anchors binary"), "anchor-blocks")
 
 
-def meet(index: DataFrame, blocks: DataFrame, look: Callable[[Bucket, pa.RecordBatch], pa.RecordBatch], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def meet(index: DataFrame, blocks: DataFrame, look: Callable[[Bucket, int, pa.RecordBatch, Bounds], pa.RecordBatch], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``look`` at every bucket with every block of anchors that its longest vector can serve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: Bucket | None = None
+        bucket, bounds = None, Bounds()
         for batch in batches:
             for i in range(batch.num_rows):
                 if bucket is None or bucket.number != batch["bucket"][i].as_py():
                     bucket = Bucket(*(batch[c][i].as_py() for c in ("dim", "bucket", "longest", "rows", "lists")))
-                yield look(bucket, _read(batch["anchors"][i].as_py()))
+                yield look(bucket, batch["block"][i].as_py(), _read(batch["anchors"][i].as_py()), bounds)
 
     serves = F.col("least") <= F.col("longest") * F.col("reach") * (1 + SLACK)
     size = blocks.agg(F.sum(F.length("anchors"))).first()[0] or 0
@@ -227,24 +229,57 @@ def meet(index: DataFrame, blocks: DataFrame, look: Callable[[Bucket, pa.RecordB
         served = heads.join(asks, ["dim", "salt"]).where(serves).select("bucket", "block")
         sent = served.join(blocks.select("block", "anchors"), "block")
         pairs = index.join(sent, "bucket")
-    return pairs.select("dim", "bucket", "longest", "rows", "lists", "anchors").mapInArrow(run, schema)
+    return pairs.select("dim", "bucket", "longest", "rows", "lists", "block", "anchors").mapInArrow(run, schema)
+
+
+class Bounds:
+    """What a task has found so far: per block of anchors the scores that new rows have to reach. Forgotten blocks only
+    cost work, so a few are kept."""
+
+    def __init__(self, kept: int = 64):
+        self.kept, self.held = kept, OrderedDict()
+
+    def of(self, block: int, start: Callable[[], np.ndarray]) -> np.ndarray:
+        if block not in self.held:
+            self.held[block] = start()
+            if len(self.held) > self.kept:
+                self.held.popitem(last=False)
+        self.held.move_to_end(block)
+        return self.held[block]
+
+
+def verified(b: Bucket, asked: pa.RecordBatch, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the anchor, candidates, their scores), candidates by focus coordinates for products of ``least``. Anchors
+    that keep much of the bucket are verified together, in one matrix product."""
+    q = _matrix(asked["q"], b.dim)
+    near = [b.candidates(u, length, low) for u, length, low in zip(unit(q), asked["length"].to_pylist(), least.tolist())]
+    many = [i for i, c in enumerate(near) if c is None or 4 * len(c) > len(b.ids)]
+    whole = dict(zip(many, products(b.q, q[many]))) if many else {}
+    for i, c in enumerate(near):
+        if i in whole:
+            c = np.arange(len(b.ids)) if c is None else c
+            yield i, c, whole[i][c]
+        elif len(c):
+            yield i, c, products(b.q[c], q[i])
 
 
 def find_positives(index: DataFrame, anchors: DataFrame, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(uid, place, positive_id, positive_score): the first ``k`` other rows of each anchor's label."""
 
-    def look(b: Bucket, asked: pa.RecordBatch) -> pa.RecordBatch:
-        q = _matrix(asked["q"], b.dim)
+    def look(b: Bucket, block: int, asked: pa.RecordBatch, bounds: Bounds) -> pa.RecordBatch:
+        # the k best scores so far; the last is the bound
+        best = bounds.of(block, lambda: np.repeat(asked["least"].to_numpy()[:, None], k, axis=1))
+        uids, labels = asked["uid"].to_pylist(), asked["label"].to_pylist()
         found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-        same = {x: np.flatnonzero(b.labels == x) for x in set(asked["label"].to_pylist())}
-        for uid, label, v, u, length, least in zip(*(asked[c].to_pylist() for c in ("uid", "label")), q, unit(q), asked["length"].to_pylist(), asked["least"].to_pylist()):
-            near = b.candidates(u, length, least)
-            near = same[label] if near is None else near[b.labels[near] == label]
-            if uid >> 11 == b.number:
-                near = near[near != uid & 2047]
-            scores = products(b.q[near], v)
+        for i, near, scores in verified(b, asked, best[:, -1]):
+            fits = (b.labels[near] == labels[i]) & (scores >= best[i, -1])
+            if uids[i] >> 11 == b.number:
+                fits &= near != uids[i] & 2047
+            near, scores = near[fits], scores[fits]
             top = _best(scores, b.ids[near], k)
-            found.append((np.full(len(top), uid), b.ids[near[top]], scores[top]))
+            if len(top):
+                best[i] = -np.sort(-np.concatenate([best[i], scores[top]]))[:k] if uids[i] >> 11 != b.number else best[i]
+                found.append((np.full(len(top), uids[i]), b.ids[near[top]], scores[top]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["uid", "positive_id", "positive_score"])
 
     hits = meet(index, pack_anchors(anchors), look, "uid long, positive_id long, positive_score long", block_bytes)
@@ -269,20 +304,29 @@ def mine(
     wanted = anchors.drop("least").join(lists, "uid").withColumn("least", F.ceil(F.col("lowest").cast("decimal(38,0)") * low / 100).cast("double"))
     wanted = wanted.select("dim", "uid", "vec_id", "label", "q", "length", "least", "liked")
 
-    def look(b: Bucket, asked: pa.RecordBatch) -> pa.RecordBatch:
-        q, rows = _matrix(asked["q"], b.dim), []
-        other = {x: np.flatnonzero(b.labels != x) for x in set(asked["label"].to_pylist())}
-        for anchor, uid, label, v, u, length, least, likes in zip(
-            *(asked[c].to_pylist() for c in ("vec_id", "uid", "label")), q, unit(q), *(asked[c].to_pylist() for c in ("length", "least", "liked"))
-        ):
-            near = b.candidates(u, length, least)
-            near = other[label] if near is None else near[b.labels[near] != label]
-            scores = products(b.q[near], v)
-            for like in likes:
+    def look(b: Bucket, block: int, asked: pa.RecordBatch, bounds: Bounds) -> pa.RecordBatch:
+        likes, labels, rows = asked["liked"].to_pylist(), asked["label"].to_pylist(), []
+
+        def start() -> np.ndarray:
+            """Per anchor and positive the best scores in its band so far, first its lower end."""
+            best = np.full((len(likes), positives, negatives), _LONG, np.int64)
+            for i, own in enumerate(likes):
+                for j, like in enumerate(own):
+                    best[i, j] = -(-low * like["positive_score"] // 100)
+            return best
+
+        best = bounds.of(block, start)
+        for i, near, scores in verified(b, asked, best[:, :, -1].min(axis=1).astype(np.float64)):
+            other = b.labels[near] != labels[i]
+            near, scores = near[other], scores[other]
+            for j, like in enumerate(likes[i]):
                 score = like["positive_score"]
-                fits = np.flatnonzero((scores >= -(-low * score // 100)) & (scores <= high * score // 100))
-                for p in fits[_best(scores[fits], b.ids[near[fits]], negatives)].tolist():
-                    rows.append((uid, like["place"], anchor, like["positive_id"], score, int(b.ids[near[p]]), int(scores[p])))
+                fits = np.flatnonzero((scores >= best[i, j, -1]) & (scores <= high * score // 100))
+                if not len(fits):
+                    continue
+                top = fits[_best(scores[fits], b.ids[near[fits]], negatives)]
+                best[i, j] = -np.sort(-np.concatenate([best[i, j], scores[top]]))[:negatives]
+                rows += [(asked["uid"][i].as_py(), like["place"], asked["vec_id"][i].as_py(), like["positive_id"], score, int(b.ids[near[p]]), int(scores[p])) for p in top.tolist()]
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
         names = ["uid", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inclina.llm.store import scratch, stored
-from inclina.operators.joins import attach_checked
+from inclina.operators.joins import attach_checked, left_join_ns
 from inclina.operators.ordering import prefix_sums
 
 MAGIC = "WARC/1.1\r\n"
@@ -52,33 +52,48 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), _HEX, _BASE32)
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, row (its own number), url, payload (binary), digest (base 32 SHA-1), and ``first_id`` and ``first_row`` of
-    the response with the same payload (null: the page is one itself). Stored once, so numbers stay as they are."""
-    html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), html.cast("binary").alias("payload"))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    same = F.struct(F.length("payload").alias("n"), F.sha1("payload").alias("s"), F.xxhash64("payload").alias("x"))
-    kept = stored(numbered.withColumns({"same": same, "digest": base32_sha1(F.col("payload"))}), "pages")
-    # the largest id, nulls below all; of its rows the first
-    order = F.struct(F.col("page_id").isNotNull(), "page_id", (-F.col("row")).alias("row"))
-    groups = kept.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("top")).where("n > 1")
-    firsts = stored(groups.select("same", F.col("top.page_id").alias("first_id"), (-F.col("top.row")).alias("first_row")), "responses")
-    joined = attach_checked(kept, firsts, ["same"])
-    other = F.col("first_row") != F.col("row")
-    return joined.select(
-        "page_id", "row", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("first_id"), F.when(other, F.col("first_row")).alias("first_row")
-    )
+def _payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, digest, same): payloads with equal ``same`` (length and two hashes) are equal."""
+    html, url = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary"), F.coalesce(pages["url"].cast("string"), F.lit(""))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), url.alias("url"), html.alias("payload"))
+    same = F.struct(F.length("payload").alias("n"), F.col("digest"), F.xxhash64("payload").alias("x"))
+    return rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("same", same)
 
 
-def _record_id(page_id: Column, row: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
+def page_records(pages: DataFrame) -> DataFrame:
+    """The records to write: page_id, url, payload, digest, revisit, and ``first_id``, the page_id of the response that a revisit refers to.
+
+    Only ids and hashes are grouped. Rows that share the largest id of their payload (repeated rows) are the one case in
+    which a payload travels: they are counted per url, and the smallest url's first row is the response."""
+    rows = _payloads(pages)
+    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id")  # the largest id, nulls below all
+    ids = rows.groupBy("same", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = ids.groupBy("same").agg(F.sum("n").alias("n"), F.max(F.struct(order.alias("id"), "n")).alias("top")).where("n > 1")
+    firsts = stored(groups.select("same", F.lit(True).alias("shared"), F.col("top.id.page_id").alias("first_id"), F.col("top.n").alias("tied")), "responses")
+    joined = attach_checked(rows, firsts, ["same"])
+    is_first = F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
+    tied = F.coalesce(is_first & (F.col("tied") > 1), F.lit(False))
+    out = ["page_id", "url", "payload", "digest", "revisit", "first_id"]
+    records = joined.where(~tied).withColumn("revisit", ~is_first).select(*out)
+    if not firsts.where("tied > 1").limit(1).count():
+        return records
+    per_url = joined.where(tied).groupBy("same", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"))
+    least = per_url.groupBy("same").agg(F.min("url").alias("least"))
+    repeated = left_join_ns(per_url, least, ["same"]).withColumns({"digest": F.col("same.digest"), "first_id": F.col("page_id")})
+    response = repeated.where("url = least").withColumn("revisit", F.lit(False))
+    rest = F.col("n") - F.when(F.col("url") == F.col("least"), 1).otherwise(0)
+    revisits = repeated.withColumn("rest", rest).where("rest > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rest")))).withColumn("revisit", F.lit(True))
+    return records.unionByName(response.select(*out)).unionByName(revisits.select(*out))
+
+
+def _record_id(page_id: Column, last: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), last, F.lit(">"))
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """One WARC record per row of ``pages`` (page_id, url, html) into files of ``folder``, one per partition."""
-    rows = page_records(pages)
-    revisit = F.col("first_row").isNotNull()
+    """One WARC record per row of ``pages`` (page_id, url, html) into files of ``folder``, one per partition. A response's id ends
+    in its digest, a revisit's in a random part."""
+    revisit, digest = F.col("revisit"), F.col("digest")
     # white space, control characters and the version line cannot stand in a field
     uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), "WARC/", "WARC%2F")
     http = F.concat(
@@ -87,11 +102,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     block = F.concat(http, F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")))
     fields = [
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("row"))),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.when(revisit, F.uuid()).otherwise(digest))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first_id"), F.col("first_row")))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first_id"), digest))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.length("block").cast("string")),
@@ -99,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     head = F.concat(F.lit(MAGIC), F.concat_ws(_LINE, *fields), F.lit(_GAP)).cast("binary")
     # the writer ends every value with one more line end
     value = F.concat(head, F.col("block"), F.lit(_LINE).cast("binary")).cast("string")
-    rows.withColumn("block", block).select(value.alias("value")).write.option("lineSep", _LINE).text(folder)
+    page_records(pages).withColumn("block", block).select(value.alias("value")).write.option("lineSep", _LINE).text(folder)
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,16 +295,25 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     after = Window.partitionBy("file").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     entry = F.min(F.when(F.col("kind") == 0, F.col("at"))).over(after)
     entries = stored(marks.withColumn("entry", entry).where("kind = 1").select("file", "range", F.col("at").alias("base"), "entry"), "warc-entries")
-    pieces = _pieces(spark, folder)
-    if entries.limit(RANGES + 1).count() <= RANGES:
-        placed = pieces.join(F.broadcast(entries), ["file", "range"])
-    else:  # too many ranges to broadcast: pieces move, in order
-        numbered = pieces.withColumn("turn", F.monotonically_increasing_id())
-        placed = numbered.join(entries, ["file", "range"]).repartition("file", "range").sortWithinPartitions("file", "range", "turn")
-    narrow = placed.select("file", "range", F.col("body").cast("binary").alias("body"), "base", "entry")
-    cut = stored(narrow.mapInArrow(_cut, "file string, at long, to long, type string, headers map<string,string>, block binary, piece binary"), "warc-records")
-    crossing = cut.where("piece IS NOT NULL").groupBy("file", "to").agg(F.collect_list(F.struct("at", "piece")).alias("pieces"))
-    return cut.where("piece IS NULL").select("file", "at", "type", "headers", "block").unionByName(crossing.mapInArrow(_whole, RECORD))
+    few = entries.limit(RANGES + 1).count() <= RANGES
+
+    def cut(own: DataFrame) -> DataFrame:
+        if few:
+            placed = _pieces(spark, folder).join(F.broadcast(own), ["file", "range"])
+        else:  # too many ranges to broadcast: pieces move, in order
+            numbered = _pieces(spark, folder).withColumn("turn", F.monotonically_increasing_id())
+            placed = numbered.join(own, ["file", "range"]).repartition("file", "range").sortWithinPartitions("file", "range", "turn")
+        narrow = placed.select("file", "range", F.col("body").cast("binary").alias("body"), "base", "entry")
+        return narrow.mapInArrow(_cut, "file string, at long, to long, type string, headers map<string,string>, block binary, piece binary")
+
+    records = cut(entries).where("piece IS NULL").select("file", "at", "type", "headers", "block")
+    # A record crosses into a range whose chain begins after its start; only files with such ranges are read for pieces.
+    crossed = entries.where("entry > base").select("file").distinct()
+    if not crossed.limit(1).count():
+        return records
+    pieces = cut(entries.join(crossed, "file", "left_semi")).where("piece IS NOT NULL")
+    crossing = pieces.groupBy("file", "to").agg(F.collect_list(F.struct("at", "piece")).alias("pieces"))
+    return records.unionByName(crossing.mapInArrow(_whole, RECORD))
 
 
 def page_table(records: DataFrame) -> DataFrame:
