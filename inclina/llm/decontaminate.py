@@ -173,9 +173,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no item; nothing is joined or shuffled."""
+    """The rows of ``docs`` that hold no item; nothing is joined or shuffled, and only texts go to Python."""
     for held in item_blocks(benchmark, block_words):
-        docs = docs.mapInArrow(_drop(held, coverage, docs.columns.index("text")), docs.schema)
+        docs = docs.where(~_leaks(held, coverage)(docs["text"]))
     return docs
 
 
@@ -193,12 +193,12 @@ def _report(held: Broadcast, coverage: float):
     return run
 
 
-def _drop(held: Broadcast, coverage: float, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaks(held: Broadcast, coverage: float):
+    @F.arrow_udf("boolean")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Items(held.value)
-        for batch in batches:
-            clean = [not any(covered >= coverage * n for _, n, covered, _ in index.leaks(text.as_py())) for text in batch.column(at)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for texts in parts:
+            yield pa.array([any(covered >= coverage * n for _, n, covered, _ in index.leaks(t.as_py())) for t in texts], pa.bool_())
 
     return run
 

@@ -60,22 +60,38 @@ def source_targets(sizes: DataFrame, boost: float, weights: Sequence[float], mos
     return levelled.select("source", "size", "place", F.when(F.col("_is_full"), F.col("_full")).otherwise(last * F.col("_w")).alias("target"))
 
 
-def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
-    """Leaves of the tree: ``shard`` and ``quotas``. ``root`` holds node 0 with the quotas of all sources."""
+#: Levels of the tree that one task draws from the root; the subtrees below are dealt to tasks.
+TOP_LEVELS = 8
+
+
+def _draws(levels: int, seed: int):
+    """Nodes ``levels`` below each given node; a task holds one path of the tree at a time."""
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts = [], []
-            for node, quotas in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                have = np.array(quotas, dtype=np.int64)
-                draw = np.random.Generator(np.random.PCG64([seed, node])).multivariate_hypergeometric(have, int(have.sum()) // 2, method="marginals")
-                nodes += [2 * node, 2 * node + 1]
-                parts += [draw.tolist(), (have - draw).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "quotas"])
-
-    tree = root
-    for _ in range(levels):
-        tree = tree.mapInArrow(halve, "node long, quotas array<bigint>")
+            for root, quotas in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                nodes, parts, open_nodes = [], [], [(root, np.array(quotas, dtype=np.int64), levels)]
+                while open_nodes:
+                    node, have, left = open_nodes.pop()
+                    if left:
+                        draw = np.random.Generator(np.random.PCG64([seed, node])).multivariate_hypergeometric(have, int(have.sum()) // 2, method="marginals")
+                        open_nodes += [(2 * node + 1, have - draw, left - 1), (2 * node, draw, left - 1)]
+                        continue
+                    nodes.append(node)
+                    parts.append(have.tolist())
+                    if len(nodes) == 1024 or not open_nodes:
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "quotas"])
+                        nodes, parts = [], []
+
+    return run
+
+
+def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
+    """Leaves of the tree: ``shard`` and ``quotas``. ``root`` holds node 1 with the quotas of all sources."""
+    schema, top = "node long, quotas array<bigint>", min(levels, TOP_LEVELS)
+    tree = root.mapInArrow(_draws(top, seed), schema)
+    if levels > top:
+        tree = tree.repartition(1 << top, "node").mapInArrow(_draws(levels - top, seed), schema)
     return tree.select((F.col("node") - (1 << levels)).alias("shard"), "quotas")
 
 

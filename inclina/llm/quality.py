@@ -185,3 +185,16 @@ def score(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], names=[*columns, name])
 
     return ready.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def score_column(docs: DataFrame, machine: Machine) -> Column:
+    """The machine's score as a column of ``docs``. Only texts and lengths go to Python and only scores come back, so other
+    columns may have any name."""
+
+    @F.arrow_udf("double")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        memo: dict[bytes, int] = {}
+        for texts, chars in parts:
+            yield pa.array([machine.score(*features(t.as_py(), c.as_py(), memo)) for t, c in zip(texts, chars)], pa.float64())
+
+    return run(*_read(docs))

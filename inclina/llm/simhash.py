@@ -39,7 +39,7 @@ PAIRED = 64
 #: Keys of a text, and smallest hashes in a key: texts 0.8 similar share none with probability (1 - 0.8 ^ 6) ^ 48 = 5e-7.
 BANDS, HELD = 48, 6
 #: A block of a crowded family holds about this many shingle sets, and bytes of them, at most.
-CROWD, CROWD_BYTES = 1024, 16 << 20
+CROWD, CROWD_BYTES = 1024, 4 << 20
 #: Hash seed that the fingerprints are defined with.
 SEED = 42
 _PIECE = 1 << 16

@@ -65,16 +65,17 @@ class WordEncoder:
     """Ids of texts by memoised pieces. ``file``: a tokenizers file of lower-casing, byte-level BPE words.
 
     A simple text is cut into the tokenizer's pieces, and each new piece goes through its BPE model. Other
-    texts are cut at white space alone, and each new word goes through the whole tokenizer."""
+    texts are cut at white space alone, and each new word goes through the whole tokenizer. A text with the literal of
+    one of the tokenizer's added tokens goes through it whole, as it comes."""
 
     def __init__(self, file: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code, self.words, self.pieces = {2: "H", 4: "I"}[width], {}, {}
 
     def _piece(self, piece: str) -> bytes:
@@ -85,6 +86,8 @@ class WordEncoder:
         return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if "<" in text and any(t in text.lower() for t in self.added):
+            return self._word(text)
         if text.isascii() or _SIMPLE.fullmatch(text):
             memo, parts, encode_one = self.pieces, _PIECES.findall(text.lower()), self._piece
         else:  # at ASCII white space only: the tokenizer itself deals with any other

@@ -38,13 +38,17 @@ TEXT = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.s
 def test_words_give_the_ids_of_the_whole_text(text):
     own = np.frombuffer(token_files.WordEncoder(FILE, 2)(text), "<u2").tolist()
     whole = Tokenizer.from_file(FILE)
-    whole.encode_special_tokens = True
     assert own == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>x<|ENDOFTEXT|>", "été<|endoftext|>漢", "<|endoftext|", "x <|endoftext|><|endoftext|> Ⅷ"])
+def test_literals_of_added_tokens(text):
+    own = np.frombuffer(token_files.WordEncoder(FILE, 2)(text), "<u2").tolist()
+    assert own == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
+
+
 def expected(data):
     whole = Tokenizer.from_file(FILE)
-    whole.encode_special_tokens = True
     ordered = sorted(data, key=lambda r: (float("inf") if r[0] is None else r[0], r[1] is not None, (r[1] or "").encode()))
     out, at = [], 0
     for doc, text, *_ in ordered:
