@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inclina.catalog.base import DERIVED, Tables
+from inclina.functions.columns import hash_bucket
 
 
 def _case(c, pairs, default=None):
@@ -352,3 +353,26 @@ DERIVED["labelled_texts"] = (
     {_counted(r'\n')} AS n_lines, {_counted('[0-9]')} AS n_digits, {_counted('[A-Z]')} AS n_upper, {_counted('[.,;:!?]')} AS n_marks
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 )
+
+
+def model_scores(t: Tables) -> DataFrame:
+    """Three scores of every order in long form: the rule's, a hash's and their mean."""
+    rows = scored(t).withColumn("azar", hash_bucket("o_orderkey", 10, 1, 0) / 10.0)
+    models = {"regla": F.col("score"), "azar": F.col("azar"), "mezcla": (F.col("score") + F.col("azar")) / 2}
+    return rows.select("o_orderkey", "clase", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), s.cast("double").alias("score")) for m, s in models.items()])))
+
+
+DERIVED["model_scores"] = (
+    ("scored",),
+    """SELECT o_orderkey, clase, model, CASE model WHEN 'regla' THEN score WHEN 'azar' THEN azar ELSE (score + azar) / 2 END AS score
+    FROM (SELECT *, (('0x' || substr(md5('1:0:' || o_orderkey), 1, 8))::BIGINT % 10) / 10.0::DOUBLE AS azar FROM scored), (VALUES ('regla'), ('azar'), ('mezcla')) v(model)""",
+)
+DERIVED["model_placements"] = (
+    ("model_scores",),
+    """SELECT o_orderkey, model, y, CASE WHEN y THEN (nb + neg / 2.0) / q ELSE (p - pb - pos / 2.0) / p END AS v FROM
+    (SELECT *, clase = 'yes' AS y FROM model_scores) JOIN
+    (SELECT *, sum(pos) OVER (PARTITION BY model) AS p, sum(neg) OVER (PARTITION BY model) AS q,
+     coalesce(sum(pos) OVER below, 0) AS pb, coalesce(sum(neg) OVER below, 0) AS nb FROM
+     (SELECT model, score, count(*) FILTER (clase = 'yes') AS pos, count(*) FILTER (clase = 'no') AS neg FROM model_scores GROUP BY 1, 2)
+     WINDOW below AS (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) USING (model, score)""",
+)

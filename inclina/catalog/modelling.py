@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inclina.catalog import entities as e
 from inclina.catalog.base import Tables, longs, query, rounded
-from inclina.operators import evaluate, features, models, recommend, sampling, score, selection
+from inclina.operators import evaluate, features, grid, models, recommend, sampling, score, selection
 from inclina.operators.projection import complete_cases
 from inclina.plans import customer, daily, monthly
 from inclina.session import checkpoint_folder, materialize
@@ -384,8 +384,8 @@ def _(t):
 def _(t):
     """Random-forest grid over features per split and node size, repeated cross-validation."""
     train, _, _ = _text_split(t)
-    forest, grid = models.forest_grid([3, 4], [5, 20], trees=5)
-    _, rows = models.tune(train, forest, grid, "doc_id", k=3, repeats=2)
+    forest, settings = models.forest_grid([3, 4], [200, 1000, 5000], trees=5)
+    _, rows = models.tune(train, forest, settings, "doc_id", k=3, repeats=2)
     return rounded(t.spark.createDataFrame([tuple(r.values()) for r in rows], "setting int, params string, repeat int, metric double, sd double"))
 
 
@@ -570,6 +570,75 @@ def _(t):
     return rounded(evaluate.auc_interval(e.scored(t), "clase", "score", "yes"))
 
 
+@query(
+    "auc_intervals",
+    """SELECT model, round(a, 6) AS auc, round(se, 6) AS se, round(greatest(0, a - 1.959963984540054 * se), 6) AS low, round(least(1, a + 1.959963984540054 * se), 6) AS high
+    FROM (SELECT model, avg(v) FILTER (y) AS a, sqrt(var_samp(v) FILTER (y) / count(*) FILTER (y) + var_samp(v) FILTER (NOT y) / count(*) FILTER (NOT y)) AS se
+    FROM model_placements GROUP BY model)""",
+    ["model_placements"],
+)
+def _(t):
+    """AUC with its interval for every model."""
+    return rounded(evaluate.auc_intervals(e.model_scores(t), "clase", "score", ["model"], "yes"))
+
+
+@query(
+    "auc_covariance",
+    """SELECT model_a, model_b, round(a, 6) AS auc_a, round(b, 6) AS auc_b, round(cab, 9) AS covariance, round(a - b, 6) AS difference, round(se, 6) AS se,
+    round(CASE WHEN se > 0 THEN (a - b) / se END, 4) AS z, round(a - b - 1.959963984540054 * se, 6) AS low, round(a - b + 1.959963984540054 * se, 6) AS high FROM
+    (SELECT *, CASE WHEN model_a = model_b THEN 0 ELSE sqrt(caa + cbb - 2 * cab) END AS se FROM
+     (SELECT a.model AS model_a, b.model AS model_b, avg(a.v) FILTER (a.y) AS a, avg(b.v) FILTER (a.y) AS b,
+      var_samp(a.v) FILTER (a.y) / count(*) FILTER (a.y) + var_samp(a.v) FILTER (NOT a.y) / count(*) FILTER (NOT a.y) AS caa,
+      var_samp(b.v) FILTER (a.y) / count(*) FILTER (a.y) + var_samp(b.v) FILTER (NOT a.y) / count(*) FILTER (NOT a.y) AS cbb,
+      covar_samp(a.v, b.v) FILTER (a.y) / count(*) FILTER (a.y) + covar_samp(a.v, b.v) FILTER (NOT a.y) / count(*) FILTER (NOT a.y) AS cab
+      FROM model_placements a JOIN model_placements b ON a.o_orderkey = b.o_orderkey AND a.model <= b.model GROUP BY 1, 2))""",
+    ["model_placements"],
+)
+def _(t):
+    """Paired comparison of the models' AUCs."""
+    found = evaluate.auc_covariance(e.model_scores(t), "o_orderkey", "clase", "score", positive="yes")
+    digits = {"covariance": 9, "z": 4}
+    return found.withColumns({c: F.round(c, digits.get(c, 6)) for c in found.columns[2:]})
+
+
+@query("model_auc_intervals")
+def _(t):
+    """AUC intervals of two fitted models on the same held-out rows, and of their difference."""
+    train, _, test = _text_split(t)
+    fitted = {"rl": LogisticRegression(regParam=0.0).fit(train), "rf": RandomForestClassifier(numTrees=20, seed=1).fit(train)}
+    parts = [m.transform(test) for m in fitted.values()]
+    rows = [p.select("doc_id", "label", F.lit(n).alias("model"), models.positive_probability(p).alias("score")) for n, p in zip(fitted, parts)]
+    scores = materialize(rows[0].unionByName(rows[1]))
+    alone = evaluate.auc_intervals(scores, "label", "score", ["model"], 1.0)
+    pair = evaluate.auc_covariance(scores, "doc_id", "label", "score", positive=1.0).where("model_a < model_b")
+    return rounded(alone.unionByName(pair.select(F.concat_ws("-", "model_a", "model_b").alias("model"), F.col("difference").alias("auc"), "se", "low", "high")))
+
+
+def _text_grid(t: Tables) -> grid.Grid:
+    train, _, _ = _text_split(t)
+    return grid.train_grid(train, grid.reference_grid(rounds=5), "doc_id", k=3, repeats=1)
+
+
+@query("model_grid")
+def _(t):
+    """Accuracy and kappa per fold of named models under the same folds."""
+    return rounded(_text_grid(t).metrics)
+
+
+@query("grid_resamples")
+def _(t):
+    """Spread of accuracy and kappa over the folds of each model's chosen setting."""
+    return rounded(_text_grid(t).resamples())
+
+
+@query("stack_weights")
+def _(t):
+    """Weights of the bases in the stack of all models and in the one of the best of each family."""
+    train, _, _ = _text_split(t)
+    bases = [c for c in models.default_candidates() if c.name in ("glm_plain", "glm_ridge", "drf_20", "gbm_shallow", "ada_stumps")]
+    return rounded(grid.stacks(train, "doc_id", bases, k=3).table(t.spark), 4)
+
+
 _FOLD = "('0x' || substr(md5('1:0:' || o_orderkey), 1, 8))::BIGINT % 10"
 
 

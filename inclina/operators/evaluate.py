@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inclina.operators.joins import attach_checked, left_join_ns
 from inclina.operators.ordering import exact_quantiles, prefix_sums
+from inclina.session import materialize
 
 
 def classification_metrics(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -127,6 +129,80 @@ def auc_interval(df: DataFrame, label: str, score: str, positive=1, z: float = 1
     )
 
 
+def auc_intervals(df: DataFrame, label: str, score: str, by: Sequence[str], positive=1, z: float = 1.959963984540054, **kw) -> DataFrame:
+    """AUC, DeLong standard error and confidence limits of each group of ``by`` (such as the model), from one score curve.
+
+    The error and the limits are null where a class has fewer than two rows."""
+    by = list(by)
+    curve = score_curve(df, label, score, positive, by, **kw)
+    areas = materialize(_auc_from(curve, by))
+    placed = attach_checked(curve, areas, by)
+    of_pos = 1 - (F.col("neg_before") + F.col("neg") / 2.0) / F.col("n_neg")
+    of_neg = (F.col("pos_before") + F.col("pos") / 2.0) / F.col("n_pos")
+    usable = (F.col("n_pos") > 1) & (F.col("n_neg") > 1)
+    spread = placed.where(usable).groupBy(*by).agg(
+        F.sum(F.col("pos") * (of_pos - F.col("auc")) ** 2).alias("_s10"), F.sum(F.col("neg") * (of_neg - F.col("auc")) ** 2).alias("_s01")
+    )
+    p, q = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    se = F.sqrt(F.col("_s10") / (p - 1) / p + F.col("_s01") / (q - 1) / q)
+    reach, known = z * F.col("se"), F.col("se").isNotNull()
+    low, high = F.when(known, F.greatest(F.lit(0.0), F.col("auc") - reach)), F.when(known, F.least(F.lit(1.0), F.col("auc") + reach))
+    return left_join_ns(areas, spread, by).withColumn("se", se).select(*by, "auc", "se", low.alias("low"), high.alias("high"))
+
+
+def placements(df: DataFrame, label: str, score: str, by: Sequence[str], positive=1, **kw) -> DataFrame:
+    """The rows of ``df`` with a label and a score, ``is_positive``, and ``placement``: the share of the other class (in the same
+    group of ``by``) that the row is on the right side of, ties half."""
+    by = list(by)
+    curve = score_curve(df, label, score, positive, by, **kw)
+    totals = materialize(curve.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q")))
+    sides = attach_checked(curve, totals, by).select(
+        *by, score,
+        F.try_divide(F.col("_q") - F.col("neg_before") - F.col("neg") / 2.0, F.col("_q")).alias("_of_pos"),
+        F.try_divide(F.col("pos_before") + F.col("pos") / 2.0, F.col("_p")).alias("_of_neg"),
+    )
+    is_positive = F.col(label) == F.lit(positive)
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("is_positive", is_positive)
+    placed = attach_checked(rows, materialize(sides), [*by, score])
+    return placed.withColumn("placement", F.when(F.col("is_positive"), F.col("_of_pos")).otherwise(F.col("_of_neg"))).drop("_of_pos", "_of_neg")
+
+
+def auc_covariance(df: DataFrame, row: str, label: str, score: str, model: str = "model", positive=1, z: float = 1.959963984540054, **kw) -> DataFrame:
+    """Paired DeLong comparison of models that scored the same rows: one row per pair of models (and of each with itself).
+
+    ``df`` holds one row per (``row``, ``model``). A row's placement values of all models meet once, by its key, and every pair's means,
+    variances and covariance are one aggregate: model_a, model_b, auc_a, auc_b, covariance, difference (a - b), its standard
+    error, z value and limits. A pair is compared on the rows that both models scored; its measures are null where a class has fewer
+    than two of them. Models are few; a row holds one value of each."""
+    placed = placements(df, label, score, [model], positive, **kw)
+    values = placed.groupBy(row).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col("placement").alias("v")))).alias("_v"), F.first("is_positive").alias("is_positive")
+    )
+    pairs = values.select("is_positive", F.explode("_v").alias("a"), "_v").select("is_positive", "a", F.explode("_v").alias("b")).where("a.m <= b.m")
+    pairs = pairs.select("is_positive", F.col("a.m").alias("model_a"), F.col("b.m").alias("model_b"), F.col("a.v").alias("va"), F.col("b.v").alias("vb"))
+
+    def of(class_: bool, column: str):
+        return F.when(F.col("is_positive") if class_ else ~F.col("is_positive"), F.col(column))
+
+    sums = pairs.groupBy("model_a", "model_b").agg(
+        F.count(of(True, "va")).alias("p"), F.count(of(False, "va")).alias("q"), F.avg(of(True, "va")).alias("auc_a"), F.avg(of(True, "vb")).alias("auc_b"),
+        *[F.covar_samp(of(c, x), of(c, y)).alias(f"_{x}{y}{int(c)}") for c in (True, False) for x, y in (("va", "va"), ("vb", "vb"), ("va", "vb"))],
+    )
+    usable = (F.col("p") > 1) & (F.col("q") > 1)
+
+    def joint(x: str, y: str):
+        return F.when(usable, F.col(f"_{x}{y}1") / F.col("p") + F.col(f"_{x}{y}0") / F.col("q"))
+
+    same = F.col("model_a") == F.col("model_b")
+    spread = F.when(same & usable, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), joint("va", "va") + joint("vb", "vb") - 2 * joint("va", "vb"))))
+    spread = F.when(usable, spread)
+    found = sums.select(
+        "model_a", "model_b", "auc_a", "auc_b", joint("va", "vb").alias("covariance"), (F.col("auc_a") - F.col("auc_b")).alias("difference"), spread.alias("se")
+    )
+    reach = z * F.col("se")
+    return found.withColumns({"z": F.try_divide("difference", "se"), "low": F.col("difference") - reach, "high": F.col("difference") + reach})
+
+
 def best_threshold(df: DataFrame, label: str, score: str, positive=1, **kw) -> DataFrame:
     """Confusion cells at the distinct score whose F1 is highest (ties: the larger threshold)."""
     curve = score_curve(df, label, score, positive, **kw)

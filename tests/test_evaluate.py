@@ -65,6 +65,41 @@ def test_delong_interval(spark):
     assert got["se"] == pytest.approx(se) and got["low"] == pytest.approx(wins.mean() - 1.959963984540054 * se)
 
 
+def _placements(y, s):
+    pos, neg = s[y == 1], s[y == 0]
+    wins = (pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)
+    return wins.mean(1), wins.mean(0)
+
+
+@pytest.mark.parametrize("window_rows", [1 << 20, 1])
+def test_paired_intervals_equal_delong(spark, window_rows):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 120)
+    scores = {"a": np.round(y + rng.normal(size=120), 1), "b": np.round(0.5 * y + rng.normal(size=120), 0), "c": np.full(120, 0.5)}
+    rows = [(i, float(y[i]), m, float(s[i])) for m, s in scores.items() for i in range(120)] + [(500, None, "a", 1.0), (501, 1.0, "a", None)]
+    df = spark.createDataFrame(rows, "i int, y double, model string, s double").repartition(3)
+    v = {m: _placements(y, s) for m, s in scores.items()}
+    cov = lambda a, b: np.cov(v[a][0], v[b][0])[0, 1] / (y == 1).sum() + np.cov(v[a][1], v[b][1])[0, 1] / (y == 0).sum()
+    alone = {r["model"]: r for r in E.auc_intervals(df, "y", "s", ["model"], 1.0, window_rows=window_rows).collect()}
+    for m in scores:
+        area, se = v[m][0].mean(), np.sqrt(cov(m, m))
+        assert (alone[m]["auc"], alone[m]["se"]) == (pytest.approx(area), pytest.approx(se, abs=1e-12))
+        assert alone[m]["low"] == pytest.approx(max(0, area - 1.959963984540054 * se)) and alone[m]["high"] == pytest.approx(min(1, area + 1.959963984540054 * se))
+    pairs = {(r["model_a"], r["model_b"]): r for r in E.auc_covariance(df, "i", "y", "s", positive=1.0, window_rows=window_rows).collect()}
+    assert set(pairs) == {(a, b) for a in scores for b in scores if a <= b}
+    for (a, b), r in pairs.items():
+        se = np.sqrt(max(0.0, cov(a, a) + cov(b, b) - 2 * cov(a, b))) if a != b else 0.0
+        assert r["covariance"] == pytest.approx(cov(a, b), abs=1e-12) and r["difference"] == pytest.approx(v[a][0].mean() - v[b][0].mean())
+        assert r["se"] == pytest.approx(se, abs=1e-9) and r["low"] == pytest.approx(r["difference"] - 1.959963984540054 * se, abs=1e-9)
+
+
+def test_paired_intervals_without_enough_rows(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", 0.2), (2, 0.0, "a", 0.1), (1, 1.0, "b", 0.3), (2, 0.0, "b", 0.4)], "i int, y double, model string, s double")
+    assert {(r["auc"], r["se"], r["low"]) for r in E.auc_intervals(df, "y", "s", ["model"], 1.0).collect()} == {(1.0, None, None), (0.0, None, None)}
+    assert all(r["se"] is None and r["covariance"] is None for r in E.auc_covariance(df, "i", "y", "s", positive=1.0).collect())
+    assert E.auc_covariance(df.limit(0), "i", "y", "s", positive=1.0).collect() == []
+
+
 def test_interval_of_single_class_is_missing(spark):
     assert E.auc_interval(table(spark, [(1, 0.2), (1, 0.4)]), "y", "s", 1.0).first()["se"] is None
 

@@ -118,8 +118,8 @@ def test_headerless_text(spark, tmp_path):
 
 def test_written_text_has_no_row_numbers(spark, tmp_path):
     write_table(spark.createDataFrame([(1, 2.5)], "a int, b double"), str(tmp_path / "o"), "csv", sep="~", mark=",", quoted=False)
-    part = next((tmp_path / "o").glob("part-*.csv"))
-    assert part.read_text().split() == ["a~b", "1~2,5"]
+    lines = [p.read_text().split() for p in (tmp_path / "o").glob("part-*.csv")]  # a part without rows may hold the header alone
+    assert all(x[0] == "a~b" for x in lines) and [r for x in lines for r in x[1:]] == ["1~2,5"]
 
 
 def test_glance(spark):
