@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inclina.catalog import entities as e
 from inclina.catalog.base import Tables, longs, query, rounded
-from inclina.operators import evaluate, features, grid, models, recommend, sampling, score, selection
+from inclina.operators import bundle, evaluate, features, grid, models, recommend, sampling, score, selection
 from inclina.operators.projection import complete_cases
 from inclina.plans import customer, daily, monthly
 from inclina.session import checkpoint_folder, materialize
@@ -474,6 +474,31 @@ def _(t):
     return rounded(t.spark.createDataFrame(rows, "product string, model string, ranked int, auc double, threshold double, f1 double"))
 
 
+@query("monthly_leaderboards")
+def _(t):
+    """Cross-sell training per product on monthly features: near-constant predictors dropped, candidates ranked on validation customers,
+    the best of the named family measured on test customers at its best F1."""
+    rows = materialize(monthly.monthly_features(e.customers(t), e.occupations(t), e.distances(t)))
+    kept = [c for c in models.default_candidates() if c.name in ("glm_plain", "drf_20", "gbm_shallow")]
+    found = monthly.train_monthly(rows, kept)
+    out = [
+        (p, r.name, len(r.board.rows), len(r.features), r.test_auc, r.threshold, r.f1, *[r.cells.get(c) for c in ("tp", "fp", "fn", "tn")]) for p, r in found.items()
+    ]
+    return rounded(t.spark.createDataFrame(out, "product string, model string, ranked int, features int, auc double, threshold double, f1 double, tp long, fp long, fn long, tn long"))
+
+
+@query("daily_scores")
+def _(t):
+    """Panel, one model per product, saved and loaded as one bundle, and the highest score of every customer."""
+    panel = materialize(daily.daily_panel(e.movements(t), e.openings(t)))
+    trained = daily.train_bundle(panel, lambda **c: RandomForestClassifier(numTrees=10, maxDepth=5, seed=1, **c))
+    path = f"{checkpoint_folder(t.spark)}/bundle-{uuid.uuid4().hex}"
+    bundle.save_bundle(trained, t.spark, path)
+    loaded = bundle.load_bundle(t.spark, path, list(daily.DAILY_PRODUCTS))
+    rows = panel.select("id_cliente", *daily.MEASURES, F.col("max_mes").alias("max_meses"))
+    return rounded(daily.score_bundle(rows, loaded))
+
+
 @query("group_models")
 def _(t):
     """One logistic model per duration group; the score of every row by its own group's model."""

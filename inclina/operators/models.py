@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inclina.operators.evaluate import auc, best_threshold, classification_metrics, log_loss
-from inclina.operators.features import drop_columns, label_index
+from inclina.operators.features import drop_columns, label_index, nzv_table
 from inclina.operators.sampling import class_sizes, fold, hash_split
 from inclina.session import materialize, side_by_side
 
@@ -349,7 +349,8 @@ def train_groups(df: DataFrame, group: str, spec: ProductSpec, build: Callable[.
 
 @dataclass
 class ProductResult:
-    """A product's ranking on the validation customers, chosen pipeline and held-out measures."""
+    """A product's ranking on the validation customers, chosen pipeline and held-out measures: AUC, the threshold of the best F1
+    and the confusion cells (tp, fp, fn, tn) there. ``features`` are the predictors in use."""
 
     board: Leaderboard
     name: str
@@ -357,19 +358,26 @@ class ProductResult:
     test_auc: float | None
     threshold: float
     f1: float
+    cells: dict[str, int] = field(default_factory=dict)
+    features: tuple[str, ...] = ()
 
 
 def product_leaderboards(
     df: DataFrame, specs: Sequence[ProductSpec], customer: str, candidates: Sequence[Candidate], families: dict[str, str] | None = None,
-    weights: Sequence[float] = (0.7, 0.1, 0.2), seed=1234,
+    weights: Sequence[float] = (0.7, 0.1, 0.2), seed=1234, drop_constant: bool = False,
 ) -> dict[str, ProductResult]:
     """Per product: rank candidates on validation customers, keep the best (of a named family), and
-    measure it on test customers. Whole customers fall on one side."""
+    measure it on test customers. Whole customers fall on one side. With ``drop_constant`` predictors with near-zero variance on
+    the training rows are left out."""
     sides = hash_split(df, customer, weights, seed, ["train", "valid", "test"]).persist()
     out = {}
     for spec in specs:
-        assemble = assembler(spec.features)
-        rows = assemble.transform(spec.labelled(sides)).select("split", "features", "label")
+        labelled, used = spec.labelled(sides), list(spec.features)
+        if drop_constant:
+            flags = nzv_table(labelled.where("split = 'train'"), used).where("nzv").collect()  # one row per predictor
+            used = [c for c in used if c not in {r["variable"] for r in flags}]
+        assemble = assembler(used)
+        rows = assemble.transform(labelled).select("split", "features", "label")
         part = {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")}
         board = leaderboard(part["train"], part["valid"], candidates)
         name, best = board.best_of((families or {}).get(spec.product))
@@ -378,7 +386,7 @@ def product_leaderboards(
         cut = best_threshold(held_out, "label", "p", 1.0).first()
         out[spec.product] = ProductResult(
             board, name, PipelineModel([assemble, best]), auc(held_out, "label", "p", 1.0).first()["auc"],
-            cut["threshold"] if cut else 0.5, cut["f1"] if cut else 0.0,
+            cut["threshold"] if cut else 0.5, cut["f1"] if cut else 0.0, {c: cut[c] for c in ("tp", "fp", "fn", "tn")} if cut else {}, tuple(used),
         )
     sides.unpersist()
     return out

@@ -7,9 +7,9 @@ which are known before the fan-out, so the large side is never sorted or shuffle
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from inclina.functions.columns import (
     year_month_label,
     zero_if_missing,
 )
+from inclina.operators.bundle import Bundle, make_bundle
 from inclina.operators.features import (
     FitOnly,
     Mahalanobis,
@@ -32,6 +33,7 @@ from inclina.operators.features import (
     fit_steps,
 )
 from inclina.operators.joins import left_join_ns
+from inclina.operators.models import ProductSpec, train_products
 from inclina.operators.ordering import exact_quantiles, number_rows
 from inclina.operators.sampling import downsample, ordered_split
 from inclina.operators.score import score_customers
@@ -280,3 +282,19 @@ def score_daily(movements: DataFrame, models: Mapping[str, Transformer], history
     """dpf, tdc and pp probability per customer, each from its own model."""
     scores = score_customers(scoring_rows(movements, history), models, "id_cliente")
     return scores.select("id_cliente", *[p for p in ("dpf", "tdc", "pp") if p in models])
+
+
+# The products with a daily model.
+DAILY_PRODUCTS = {"dpf": "tenencia_dpf", "tdc": "tenencia_tdc", "pp": "tenencia_pp"}
+
+
+def train_bundle(panel: DataFrame, build: Callable[..., Estimator], products: Mapping[str, str] = DAILY_PRODUCTS) -> Bundle:
+    """One model per product on the panel's measures and history length, with what scoring has to provide. ``panel`` should be stored."""
+    used = (*MEASURES, "max_mes")
+    specs = [ProductSpec(p, c, "1", used) for p, c in products.items()]
+    return make_bundle(panel, train_products(panel, specs, build), used, {s.product: s.positive for s in specs})
+
+
+def score_bundle(movements: DataFrame, bundle: Bundle, history: str = "max_meses") -> DataFrame:
+    """Highest probability per customer and product of customer-days, in the bundle's shape."""
+    return bundle.customers(scoring_rows(movements, history), "id_cliente")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inclina.functions.columns import binary_flag, impute_within, recode, whitelist, zero_if_missing
 from inclina.operators.aggregates import group_median, group_stat_back, numeric_columns
 from inclina.operators.joins import attach_checked, distinct_lookup, left_join_ns
+from inclina.operators.models import Candidate, ProductResult, ProductSpec, default_candidates, product_leaderboards
 from inclina.operators.score import score_customers
 from inclina.session import materialize
 
@@ -101,3 +102,20 @@ def score_monthly(features: DataFrame, models: Mapping[str, Transformer]) -> Dat
     """dpf, tdc and pp probability per customer."""
     scores = score_customers(features, models, "ID_CLIENTE")
     return scores.select("ID_CLIENTE", *[p for p in ("dpf", "tdc", "pp") if p in models])
+
+
+# The label of each product, the columns that are no predictors, the rows and the model family of each product.
+MONTHLY_LABELS = {"tdc": "N_TC1", "pp": "N_PP1", "dpf": "N_DPF1"}
+ROLES = ("ID_CLIENTE", "ESTATUS", "RELACION1", "PRODUCTO")
+ACTIVE_ROWS = {"tdc": "ESTATUS = 'ACTIVA'"}
+FAMILIES = {"tdc": "gbm", "pp": "gbm", "dpf": "drf"}
+
+
+def train_monthly(
+    features: DataFrame, candidates: Sequence[Candidate] | None = None, families: Mapping[str, str] | None = FAMILIES, rows: Mapping[str, str] = ACTIVE_ROWS, seed: int = 1234,
+) -> dict[str, ProductResult]:
+    """Cross-sell training: per product, on its rows (cards: active relations), predictors without near-constant ones, 70/10/20 by customer,
+    candidates ranked on validation customers, the best of the product's family measured on test customers."""
+    used = tuple(c for c in features.columns if c not in (*ROLES, *MONTHLY_LABELS.values()))
+    specs = [ProductSpec(p, c, 1.0, used, rows.get(p, "true")) for p, c in MONTHLY_LABELS.items()]
+    return product_leaderboards(features, specs, "ID_CLIENTE", candidates or default_candidates(), dict(families or {}), seed=seed, drop_constant=True)

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 SLOW = {
     "leaderboard", "balanced_leaderboard", "product_leaderboards", "recursive_elimination", "elimination_importance", "genetic_search",
     "adaboost", "product_models", "group_models", "tuned_forest", "stacked_scores", "customer_recipe", "monthly_scores",
-    "model_grid", "grid_resamples", "stack_weights",
+    "model_grid", "grid_resamples", "stack_weights", "monthly_leaderboards", "daily_scores",
 }
 
 
