@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -62,6 +64,23 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Pieces of A that a worker remembers, and their longest.
+MEMO, MEMO_CHARS = 1 << 17, 48
+#: Texts of code points below U+0300, whose letters, numbers and white space no version of Unicode tells apart otherwise.
+_SIMPLE = re.compile("[\u0000-\u02ff]*")
+
+
+def _of_kind(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c)).startswith(kind))
+
+
+_BLANK, _LETTER, _NUMBER = "\\x09-\\x0d\\x20\\x85\\xa0", _of_kind("L"), _of_kind("N")
+#: How A cuts a simple text before it merges, with letters, numbers and white space spelled out.
+_PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?[{_LETTER}]+|\x20?[{_NUMBER}]+|\x20?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
+
+
 class Sides:
     """Both tokenizers and, per id, the token's bytes, its length and its decimal spellings."""
 
@@ -75,6 +94,7 @@ class Sides:
         self.a.no_padding()
         self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
+        self.memo: dict[str, list[int]] = {}
         letters, names = byte_level(), {i: t for t, i in self.a.get_vocab().items()}
         of_a = [bytes(letters[c] for c in t) if (t := names.get(i, "")) and all(c in letters for c in t) else names.get(i, "").encode() for i in range(max(names) + 1)]
         of_b = [self._bytes_of_b(i) for i in range(self.b.get_piece_size())]
@@ -90,10 +110,28 @@ class Sides:
     def encode(self, texts: list[str]) -> dict[str, pa.ListArray]:
         """The ids of non-empty texts on both sides."""
         return {
-            "a": _lists([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]),
+            "a": _lists(self._encode_a([" " + t for t in texts])),
             "b": _lists(self.b.encode(texts, num_threads=1)),
         }
 
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids. Its merges never cross its pieces, so simple texts are put together from pieces' ids, each piece
+        encoded when it is new; other texts go through A whole."""
+        pieces = [_PIECES.findall(t) if _SIMPLE.fullmatch(t) else None for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = list(set().union(*(p for p in pieces if p is not None)).difference(self.memo))
+        self.memo.update(zip(new, self._whole(new)))
+        known, whole = self.memo, iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
+        ids = [next(whole) if own is None else list(chain.from_iterable([known[p] for p in own])) for own in pieces]
+        for piece in new:
+            if len(piece) > MEMO_CHARS:
+                del self.memo[piece]
+        return ids
+
     def spell(self, side: str, tokens: pa.ListArray, wanted: list[bytes]) -> list[bool]:
         """Whether each document's tokens join to the wanted bytes."""
         ids = pc.list_flatten(tokens)

@@ -5,6 +5,8 @@ from collections import Counter
 
 import public_tokenizers as files
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from fixtures import documents, got, rows
 
 from inclina.llm import alignment
@@ -104,3 +106,22 @@ def test_empty(spark):
     assert alignment.cross_align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
     only = spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None)], SCHEMA)
     assert got(alignment.cross_align(only, A, B)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+LATIN = st.text(st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]) | st.sampled_from(" \n\t'sldvemrt.09\x85\xa0"), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LATIN | st.text(max_size=20), min_size=1, max_size=6))
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    known = alignment.sides(A, B)
+    assert known._encode_a(texts) == known._whole(texts)
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO", 50)
+    known = alignment.Sides(A, B)
+    for i in range(30):
+        texts = [f" word{i}x{j} {'y' * 100}{i}" for j in range(10)]
+        assert known._encode_a(texts) == known._whole(texts)
+        assert len(known.memo) < 50 + 40 and all(len(p) <= alignment.MEMO_CHARS for p in known.memo)
