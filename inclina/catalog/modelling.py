@@ -67,6 +67,25 @@ def _(t):
     return rounded(features.nzv_table(e.customers(t), NZV_COLUMNS))
 
 
+#: Those columns and three measures.
+FLAGGED = [*NZV_COLUMNS, "VIDA", "SALDO_CA", "N_PP"]
+
+
+@query(
+    "nzv_flags",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS variable,
+        count(*) = 1 OR (coalesce(max(n) / nullif(max(n) FILTER (k = 2), 0), 0) > 19 AND 100.0 * count(*) / (SELECT count(*) FROM customers) <= 10) AS nzv
+        FROM (SELECT {c}, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC) AS k FROM customers WHERE {c} IS NOT NULL GROUP BY 1)
+        HAVING count(*) > 0"""
+        for c in FLAGGED
+    ),
+    ["customers"],
+)
+def _(t):
+    return features.nzv_flags(e.customers(t), FLAGGED)
+
+
 @query(
     "mean_impute",
     """SELECT ID_CLIENTE, round(coalesce(SALARIO, avg(SALARIO) OVER ()), 6) AS SALARIO, round(coalesce(VIDA, avg(VIDA) OVER ()), 6) AS VIDA FROM customers""",

@@ -26,10 +26,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inclina.operators.aggregates import numeric_columns, value_counts
+from inclina.operators.joins import attach_checked
 from inclina.operators.ordering import exact_quantiles, top_per_group
 from inclina.session import materialize
 
@@ -207,6 +208,79 @@ def nzv_table(df: DataFrame, columns: Sequence[str], freq_cut: float = 95 / 5, u
     )
 
 
+def _count_bounds(cells: DataFrame, n: int, freq_cut: float, unique_cut: float) -> DataFrame:
+    """Per variable the flag that the buckets' bounds allow: true, false, or null while it is open."""
+    sums = cells.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("d_lo").alias("d_lo"), F.sum("d_hi").alias("d_hi"),
+        *[F.sort_array(F.flatten(F.collect_list(F.array(f"t1_{e}", f"t2_{e}"))), asc=False).alias(f"t_{e}") for e in ("lo", "hi")],
+    )
+    first, second = {e: F.col(f"t_{e}")[0] for e in ("lo", "hi")}, {e: F.col(f"t_{e}")[1] for e in ("lo", "hi")}
+    skewed = F.try_divide(first["lo"], second["hi"]) > freq_cut
+    even = F.try_divide(first["hi"], second["lo"]) <= freq_cut
+    few, many = 100.0 * F.col("d_hi") / n <= unique_cut, 100.0 * F.col("d_lo") / n > unique_cut
+    flag = F.when(F.col("d_hi") == 1, True).when(skewed & few, True).when(even | many, False)
+    return sums.select("variable", flag.alias("nzv"))
+
+
+def nzv_flags(df: DataFrame, columns: Sequence[str], freq_cut: float = 95 / 5, unique_cut: float = 10.0, buckets: int = 1024) -> DataFrame:
+    """Rows (variable, nzv) with the flags of :func:`nzv_table`, mostly without counting every value.
+
+    1. One scan counts rows per column and hash bucket of the value, at most ``buckets`` rows a column and map
+       partition. A bucket whose least and largest hash agree holds one value; others bound their values' counts.
+    2. Where the bounds leave a flag open, values are counted in the two heaviest buckets (they hold the commonest
+       values) and in the lightest ones, as many as hold a little more rows than ``unique_cut`` (enough to prove a
+       column of mostly different values).
+    3. Columns that are open even then are counted whole.
+
+    Columns without a known value have no row, as in the table. The flags are exact in every case.
+    """
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    long = text.unpivot([], list(columns), "variable", "value").withColumns({
+        "_h": F.xxhash64("value"), "_g": F.xxhash64(F.lit(1), "value"), "_known": F.col("value").isNotNull()
+    }).withColumn("bucket", F.pmod("_h", F.lit(buckets)))
+    counted = materialize(
+        long.groupBy("variable", "_known", "bucket").agg(
+            F.count(F.lit(1)).alias("c"),
+            *[f(h).alias(f"{h}_{e}") for h in ("_h", "_g") for f, e in ((F.min, "lo"), (F.max, "hi"))],
+        )
+    )
+    n = counted.groupBy("variable").agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0] or 0
+    pure = (F.col("_h_lo") == F.col("_h_hi")) & (F.col("_g_lo") == F.col("_g_hi"))
+    c = F.col("c")
+    bound = {"d_lo": (1, F.lit(2)), "d_hi": (1, c), "t1_lo": (c, F.lit(1)), "t1_hi": (c, c - 1), "t2_lo": (0, F.lit(1)), "t2_hi": (0, F.floor(c / 2))}
+    known = counted.where("_known")
+    cells = known.select("variable", "bucket", "c", *[F.when(pure, p).otherwise(q).cast("bigint").alias(b) for b, (p, q) in bound.items()])
+    flags = materialize(_count_bounds(cells, n, freq_cut, unique_cut))
+    if not flags.where("nzv IS NULL").count():
+        return flags
+    rows = cells.join(F.broadcast(flags.where("nzv IS NULL").select("variable")), "variable")  # one row a column
+    heavy = Window.partitionBy("variable").orderBy(F.desc("c"), "bucket")  # at most ``buckets`` rows a column
+    light = Window.partitionBy("variable").orderBy("c", F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = materialize(
+        rows.withColumns({"_place": F.row_number().over(heavy), "_before": F.coalesce(F.sum("c").over(light), F.lit(0))})
+        .where((F.col("_place") <= 2) | (F.col("_before") <= F.lit(n * unique_cut / 100 * 1.25)))
+        .select("variable", "bucket", F.lit(True).alias("_chosen"))
+    )
+    values = attach_checked(long.where("_known"), chosen, ["variable", "bucket"]).where("_chosen").groupBy("variable", "bucket", "value")
+    told = (
+        top_two(values.agg(F.count(F.lit(1)).alias("m")), ["variable", "bucket"], "m")
+        .select("variable", "bucket", *[F.col(e).alias(f"_{b}") for b, e in zip(bound, ("d", "d", "t1", "t1", "t2", "t2"))])
+    )
+    better = attach_checked(rows, materialize(told), ["variable", "bucket"])
+    sharp = better.withColumns({b: F.coalesce(f"_{b}", b) for b in bound})
+    second = materialize(_count_bounds(sharp, n, freq_cut, unique_cut))
+    still = [r["variable"] for r in second.where("nzv IS NULL").select("variable").collect()]  # column names
+    out = flags.where("nzv IS NOT NULL").unionByName(second.where("nzv IS NOT NULL"))
+    return out.unionByName(nzv_table(df, still, freq_cut, unique_cut).select("variable", "nzv")) if still else out
+
+
+def top_two(counts: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """Per key: rows ``d`` and the two largest values ``t1``, ``t2`` of ``measure`` (0 where there is no second)."""
+    n = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d"), F.max(measure).alias("t1"))
+    most = top_per_group(counts, keys, [F.desc(measure)], 2).where("rank = 2").select(*keys, F.col(measure).alias("t2"))
+    return n.join(most, list(keys), "left").select(*keys, "d", "t1", F.coalesce("t2", F.lit(0)).alias("t2"))
+
+
 class NearZeroVariance(_NumericStep):
     """Drop near-constant predictors. The label belongs in ``exclude`` and is then never judged."""
 
@@ -215,7 +289,7 @@ class NearZeroVariance(_NumericStep):
         self.freq_cut, self.unique_cut = freq_cut, unique_cut
 
     def _fit(self, df: DataFrame) -> Transformer:
-        rows = nzv_table(df, self.chosen(df), self.freq_cut, self.unique_cut).collect()  # one row per column
+        rows = nzv_flags(df, self.chosen(df), self.freq_cut, self.unique_cut).collect()  # one row per column
         return drop_columns(sorted(r["variable"] for r in rows if r["nzv"]))
 
 

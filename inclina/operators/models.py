@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inclina.operators.evaluate import auc, best_threshold, classification_metrics, log_loss
-from inclina.operators.features import drop_columns, label_index, nzv_table
+from inclina.operators.features import drop_columns, label_index, nzv_flags
 from inclina.operators.sampling import class_sizes, fold, hash_split
 from inclina.session import materialize, side_by_side
 
@@ -374,7 +374,7 @@ def product_leaderboards(
     for spec in specs:
         labelled, used = spec.labelled(sides), list(spec.features)
         if drop_constant:
-            flags = nzv_table(labelled.where("split = 'train'"), used).where("nzv").collect()  # one row per predictor
+            flags = nzv_flags(labelled.where("split = 'train'"), used).where("nzv").collect()  # one row per predictor
             used = [c for c in used if c not in {r["variable"] for r in flags}]
         assemble = assembler(used)
         rows = assemble.transform(labelled).select("split", "features", "label")

@@ -124,23 +124,50 @@ def _pick(placed: DataFrame, group: list[str], probs: Sequence[float]) -> DataFr
     return found.select(*group, "n", *quantiles)
 
 
+def quantile_sketch(
+    data: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000, more: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One stored row per group: ``_size``, ``_low``, ``_high`` and ``_s``, values on both sides of every wanted
+    rank, all of ``value`` without nulls and NaN. ``more`` names further aggregates of the same scan."""
+    gap = 2.0 / accuracy
+    spots = [x for p in probs for x in (max(0.0, p - gap), min(1.0, p + gap))]
+    x = F.when(~F.isnan(value), F.col(value))
+    return materialize(
+        data.groupBy(*group).agg(
+            F.count(x).alias("_size"), F.percentile_approx(x, spots, accuracy).alias("_s"), F.min(x).alias("_low"), F.max(x).alias("_high"),
+            *[c.alias(n) for n, c in (more or {}).items()],
+        )
+    )
+
+
 def _bracketed(data: DataFrame, brackets: DataFrame, group: list[str], probs: Sequence[float], window_rows: int) -> DataFrame | None:
     """Quantiles from the few values near each of them; None when a bracket missed its rank.
 
-    Values below a bracket are only counted, in generated code; values inside one, a share of about
-    four times the sketch's rank error, are the only rows that travel.
+    One scan counts rows per (brackets above the value, value if it lies inside a bracket). Values outside
+    all brackets, nearly every row, so combine to a handful of counts per group before anything travels; a
+    share of about four times the sketch's rank error keeps its value.
     """
     ranks = range(len(probs))
     inside = [(F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")) for i in ranks]
-    placed_in = attach_checked(data, brackets, group)
-    below = placed_in.groupBy(*group, "_size").agg(*[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in ranks])
-    marks = [F.struct(F.lit(i).alias("_prob"), F.lit(None).cast("double").alias("_x"), F.col(f"_b{i}").alias("n")) for i in ranks]
-    hits = [F.when(inside[i], F.struct(F.lit(i).alias("_prob"), F.col("_x"), F.lit(1).cast("bigint").alias("n"))) for i in ranks]
+    above = sum((F.when(F.col("_x") < F.col(f"_lo{i}"), 1).otherwise(0) for i in ranks), F.lit(0))
+    cells = materialize(
+        attach_checked(data, brackets, group)
+        .select(*group, above.alias("_above"), F.when(reduce(lambda p, q: p | q, inside), F.col("_x")).alias("_x"))
+        .groupBy(*group, "_above", "_x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Lower ends rise with the probability, so ``_above`` brackets are those of the largest probabilities.
+    place = {i: s for s, i in enumerate(sorted(ranks, key=lambda i: probs[i]))}
+    roles = [
+        F.when(inside[i], F.struct(F.lit(i).alias("_prob"), F.col("_x"), F.col("n"))).when(
+            F.col("_above") >= len(probs) - place[i], F.struct(F.lit(i).alias("_prob"), F.lit(None).cast("double").alias("_x"), F.col("n"))
+        )
+        for i in ranks
+    ]
     near = (
-        placed_in.where(reduce(lambda p, q: p | q, inside))
-        .select(*group, "_size", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+        attach_checked(cells, brackets, group)
+        .select(*group, "_size", F.explode(F.array_compact(F.array(*roles))).alias("_m"))
         .select(*group, "_size", "_m.*")
-        .unionByName(below.select(*group, "_size", F.inline(F.array(*marks))))
     )
     keys = [*group, "_size", "_prob"]
     totals, small = _totals(near, keys, ["_x"], {"n": F.col("n")}, window_rows)
@@ -160,6 +187,7 @@ def exact_quantiles(
     repeats: bool = False,
     window_rows: int = WINDOW_ROWS,
     accuracy: int = 10_000,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Linear-interpolated (type 7) quantiles per group as columns ``q0..``, with the count ``n``.
 
@@ -167,7 +195,8 @@ def exact_quantiles(
     names a column that says how often a row counts.
 
     Large tables are read twice and hardly shuffled: a sketch brackets every wanted rank, then values
-    inside the brackets are counted exactly and those below only summed. Where ``repeats`` says that
+    inside the brackets are counted exactly and those outside only summed. ``sketch`` is a
+    :func:`quantile_sketch` of the same rows, groups, probabilities and accuracy, if there is one. Where ``repeats`` says that
     values come from a small set (counters, codes), where rows are already combined, or where groups
     are very many, values are counted per group right away.
     """
@@ -180,13 +209,7 @@ def exact_quantiles(
     data = data.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not (weight or repeats):
         gap = 2.0 / accuracy
-        spots = [x for p in probs for x in (max(0.0, p - gap), min(1.0, p + gap))]
-        sketch = materialize(
-            data.groupBy(*group).agg(
-                F.count(F.lit(1)).alias("_size"), F.percentile_approx("_x", spots, accuracy).alias("_s"),
-                F.min("_x").alias("_low"), F.max("_x").alias("_high"),
-            )
-        )
+        sketch = (quantile_sketch(data, group, "_x", probs, accuracy) if sketch is None else sketch).where("_size > 0")
         total, groups = sketch.agg(F.sum("_size"), F.count(F.lit(1))).first()
         if (total or 0) > window_rows and groups <= BROADCAST_ROWS:
             ends = {}

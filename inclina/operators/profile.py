@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inclina.functions.aggregates import missing
-from inclina.operators.aggregates import numeric_columns, value_counts
+from inclina.operators.aggregates import distinct_counts, numeric_columns, value_counts
 from inclina.operators.joins import attach_checked
-from inclina.operators.ordering import exact_quantiles, prefix_sums
+from inclina.operators.ordering import WINDOW_ROWS, exact_quantiles, prefix_sums, quantile_sketch
 from inclina.session import materialize
 
 #: Columns aggregated together; wider projections would outgrow generated code.
@@ -37,36 +38,43 @@ def _per_column(df: DataFrame, columns: Sequence[str], stats: dict) -> DataFrame
     return out
 
 
-def table_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def table_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: Sequence[str] | None = None, window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """Per numeric column: n, missing, mean, sd, min, quartiles, max and distinct values.
 
-    Moments come from one scan; quartiles and distinct values from counts per (column, value),
-    combined before the shuffle, so that no task ever holds a whole column.
+    One scan gives moments and mergeable sketches of all columns, a second one the exact quartiles of all from
+    the values inside the sketches' brackets; only those values and one sketch per column and map partition
+    travel. ``exact_distinct`` names the columns whose distinct values are counted exactly (all by default, see
+    :func:`distinct_counts`); the others' come from a sketch with a standard error of 1 %.
     """
     columns = list(columns or numeric_columns(df))
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    moments = _per_column(
-        data,
-        columns,
-        {
-            "n": lambda c: F.count(F.lit(1)),
-            "missing": missing,
-            "mean": F.avg,
-            "sd": F.stddev_samp,
-            "min": F.min,
-            "max": F.max,
-        },
-    )
-    long = data.unpivot([], columns, "variable", "value")
-    counted = materialize(long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("c")))
-    distinct = counted.groupBy("variable").agg(F.count("*").alias("distinct"))
-    quartiles = exact_quantiles(counted, ["variable"], "value", [0.25, 0.5, 0.75], "c").select(
-        "variable", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
-    )
+    x, probs = F.col("value"), [0.25, 0.5, 0.75]
+    blocks = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        block = columns[start : start + COLUMNS_PER_PASS]
+        long = data.select(*block).unpivot([], block, "variable", "value")
+        sketch = quantile_sketch(
+            long, ["variable"], "value", probs,
+            more={
+                "n": F.count(F.lit(1)), "missing": F.count_if(x.isNull()), "mean": F.avg(x), "sd": F.stddev_samp(x),
+                "min": F.min(x), "max": F.max(x), "about": F.approx_count_distinct(x, 0.01),
+            },
+        )
+        quartiles = exact_quantiles(long, ["variable"], "value", probs, window_rows=window_rows, sketch=sketch)
+        named = quartiles.select("variable", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+        blocks.append(sketch.join(named, "variable", "left"))
+    found = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string").join(reduce(DataFrame.unionByName, blocks), "variable", "left")
+    exact = [c for c in columns if exact_distinct is None or c in exact_distinct]
+    if exact:
+        found = found.join(distinct_counts(df, exact), "variable", "left")
+    else:
+        found = found.withColumn("distinct", F.lit(None).cast("bigint"))
+    counted = F.when(F.col("variable").isin(exact), F.col("distinct")).otherwise(F.col("about"))
     return (
-        moments.join(distinct, "variable", "left")
-        .join(quartiles, "variable", "left")
-        .na.fill(0, ["distinct"])
+        found.withColumn("distinct", counted)
+        .na.fill(0, ["n", "missing", "distinct"])
         .select("variable", "n", "missing", "mean", "sd", "min", "p25", "p50", "p75", "max", "distinct")
     )
 

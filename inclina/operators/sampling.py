@@ -57,34 +57,33 @@ def ordered_split(df: DataFrame, key: str, prop: float, out: str = "split") -> D
     return df.withColumn(out, F.when(F.col(key) <= F.lit(boundary), "train").otherwise("test"))
 
 
-def lowest_hashed(df: DataFrame, label: str, quota: DataFrame, key: Column | str, seed=1) -> DataFrame:
+def hash_ranges(df: DataFrame, label: str, key: Column | str, seed=1) -> DataFrame:
+    """Rows per class and hash range, stored: (label, _range, _n), at most 65,536 rows a class. Its sums are the classes' sizes."""
+    ranged = df.select(label, F.substring(hash_text(key, seed), 1, 4).alias("_range"))
+    return materialize(ranged.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def lowest_hashed(df: DataFrame, label: str, quota: DataFrame, key: Column | str, seed=1, ranges: DataFrame | None = None) -> DataFrame:
     """Per class exactly the number of rows that ``quota`` (label, want) gives: those whose key hashes lowest.
 
-    A histogram over 65,536 hash ranges finds the range in which the quota is reached. Ranges below
-    are kept whole, only that one range is ordered, and copies of the boundary key are numbered. What is
-    known of a class travels in a table of one row per class, whatever their number.
+    A histogram over 65,536 hash ranges (``ranges``, if it exists already) finds the range in which the quota is
+    reached. Ranges below are kept whole; the rows of that one range are stored and numbered by hash, copies of a
+    key by their other columns. What is known of a class travels in a table of one row per class, whatever their number.
     """
-    hashed = df.withColumn("_h", hash_text(key, seed)).withColumn("_range", F.substring("_h", 1, 4))
-    per_range = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = hash_ranges(df, label, key, seed) if ranges is None else ranges
     before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    reached = left_join_ns(per_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), quota.select(label, "want"), [label])
+    reached = left_join_ns(ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), quota.select(label, "want"), [label])
     edge = materialize(
         reached.where((F.col("_before") < F.col("want")) & (F.col("_before") + F.col("_n") >= F.col("want"))).select(
             label, F.col("_range").alias("_edge"), (F.col("want") - F.col("_before")).alias("_left")
         )
     )
-    at_edge = attach_checked(hashed, edge, [label]).where(F.col("_range") == F.col("_edge"))
-    steps = attach_checked(prefix_sums(at_edge, [label], ["_h"], {"_n": F.lit(1)}), edge.select(label, "_left"), [label])
-    room = F.col("_left") - F.col("_n_before")
-    last = materialize(
-        steps.where((room > 0) & (room <= F.col("_n"))).select(label, F.col("_h").alias("_last"), room.alias("_room"), (room < F.col("_n")).alias("_part"))
-    )
-    marked = attach_checked(hashed, last, [label])
-    kept = marked.where((F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & ~F.col("_part"))).select(*df.columns)
-    # copies of the boundary key that are only partly wanted
-    split = marked.where((F.col("_h") == F.col("_last")) & F.col("_part")).select(*df.columns, "_room")
-    ties = number_rows(split, [label], [], "_copy")
-    return kept.unionByName(ties.where(F.col("_copy") <= F.col("_room")).select(*df.columns))
+    hashed = df.withColumn("_h", hash_text(key, seed)).withColumn("_range", F.substring("_h", 1, 4))
+    marked = attach_checked(hashed, edge, [label])
+    kept = marked.where(F.col("_range") < F.col("_edge")).select(*df.columns)
+    at_edge = materialize(marked.where(F.col("_range") == F.col("_edge")).select(*df.columns, "_h", "_left"))
+    numbered = number_rows(at_edge, [label], ["_h"], "_copy")
+    return kept.unionByName(numbered.where(F.col("_copy") <= F.col("_left")).select(*df.columns))
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -94,9 +93,10 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 def downsample(df: DataFrame, label: str, key: Column | str, seed=1) -> DataFrame:
     """Exactly the smallest class's number of rows from every class."""
-    sizes = class_sizes(df, label)
+    ranges = hash_ranges(df, label, key, seed)
+    sizes = ranges.groupBy(label).agg(F.sum("_n").alias("n"))
     smallest = sizes.agg(F.min("n")).first()[0] or 0
-    return lowest_hashed(df, label, sizes.select(label, F.lit(smallest).alias("want")), key, seed)
+    return lowest_hashed(df, label, sizes.select(label, F.lit(smallest).alias("want")), key, seed, ranges)
 
 
 def upsample(df: DataFrame, label: str, key: Column | str, seed=1) -> DataFrame:

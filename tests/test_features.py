@@ -131,3 +131,57 @@ def test_complete_rows_and_unknown_level(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", None)], "k string, x int")
     assert P.complete_rows(["k", "x"]).transform(df).count() == 1
     assert {r["k"] for r in P.unknown_level(["k"]).transform(df).select(F.col("k")).collect()} == {"a", "b", "unknown"}
+
+
+def _flags(frame):
+    return {r["variable"]: r["nzv"] for r in frame.collect()}
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 1024])
+def test_flags_from_bounds_equal_the_table(spark, buckets):
+    n = 2_000
+    columns = {
+        "constant": F.lit(3),
+        "missing": F.lit(None).cast("int"),
+        "missing_or_one": F.when(F.col("id") % 3 == 0, 1),
+        "different": F.col("id"),
+        "zero_or_different": F.when(F.col("id") < 1_900, 0).otherwise(F.col("id")),
+        "zero_or_too_different": F.when(F.col("id") < 1_799, 0).otherwise(F.col("id")),
+        "ratio_19": F.when(F.col("id") < 1_900, 0).otherwise(1),
+        "ratio_above": F.when(F.col("id") < 1_901, 0).otherwise(1),
+        "unique_10": F.when(F.col("id") < 1_801, 0).otherwise(F.col("id")),
+        "even": F.col("id") % 50,
+        "two_heavy": F.when(F.col("id") < 900, 0).when(F.col("id") < 1_800, 1).otherwise(F.col("id")),
+        "heavy_and_second": F.when(F.col("id") < 1_750, 0).when(F.col("id") < 1_842, 1).otherwise(F.col("id") % 97 + 2),
+    }
+    df = spark.range(n).repartition(5).select(*[c.alias(k) for k, c in columns.items()])
+    want = _flags(P.nzv_table(df, df.columns))
+    assert _flags(P.nzv_flags(df, df.columns, buckets=buckets)) == want
+    assert want["zero_or_different"] and want["ratio_above"] and want["unique_10"] and not want["ratio_19"] and "missing" not in want
+
+
+def test_flags_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "x double, y int")
+    assert P.nzv_flags(df, df.columns).count() == 0
+
+
+def test_flags_send_few_values(spark, monkeypatch):
+    """Neither an even column, nor one of different values, nor a leaning one has all its values counted."""
+    sizes = []
+    stored = P.materialize
+
+    def watch(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    def no_table(*_):
+        raise AssertionError("a column was counted whole")
+
+    monkeypatch.setattr(P, "materialize", watch)
+    monkeypatch.setattr(P, "nzv_table", no_table)
+    df = spark.range(20_000).select(
+        "id", (F.col("id") % 9).alias("even"), F.when(F.col("id") < 19_000, 0).otherwise(F.col("id")).alias("leaning")
+    )
+    assert _flags(P.nzv_flags(df, df.columns, buckets=64)) == {"id": False, "even": False, "leaning": True}
+    assert max(sizes) <= 3 * 64 + 3

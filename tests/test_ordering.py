@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inclina.operators.aggregates import group_median, long_to_wide, quantile_rows
+from inclina.operators import ordering as O
+from inclina.operators.aggregates import distinct_counts, group_median, long_to_wide, quantile_rows
 from inclina.operators.joins import align_columns, attach_checked, left_join_ns, semi_join_ns
 from inclina.operators.ordering import approx_quantiles, exact_quantiles, number_rows, prefix_sums, top_per_group
 from inclina.operators.profile import cumulative_distribution, table_profile
@@ -192,3 +193,54 @@ def test_repeated_cells_are_refused(spark):
         long_to_wide(df, ["u"], "i", "r", ["i", "j"]).collect()
     wide = long_to_wide(df, ["u"], "i", "r", ["i", "j"], F.avg("r"))
     assert {r["u"]: (r["i"], r["j"]) for r in wide.collect()} == {"u": (2.0, None), "v": (None, 2.0)}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_profile_by_brackets(spark, limit):
+    rows, df = skewed(spark)
+    df = df.select("v", (F.col("v") / 7).alias("w"), F.lit(None).cast("double").alias("none"), F.lit(float("nan")).alias("nan"))
+    got = {r["variable"]: r for r in table_profile(df, window_rows=limit).collect()}
+    pdf = df.toPandas()
+    for c in ("v", "w"):
+        assert np.allclose([got[c]["p25"], got[c]["p50"], got[c]["p75"]], pdf[c].quantile([0.25, 0.5, 0.75]))
+        assert got[c]["distinct"] == pdf[c].nunique()
+    assert (got["none"]["n"], got["none"]["missing"], got["none"]["distinct"], got["none"]["p50"]) == (len(pdf), len(pdf), 0, None)
+    assert (got["nan"]["missing"], got["nan"]["distinct"], got["nan"]["p50"]) == (0, 1, None)
+
+
+def test_profile_of_an_empty_table(spark):
+    got = table_profile(spark.createDataFrame([], "a int, b double")).collect()
+    assert sorted((r["variable"], r["n"], r["missing"], r["distinct"], r["mean"]) for r in got) == [("a", 0, 0, 0, None), ("b", 0, 0, 0, None)]
+
+
+def test_profile_stores_few_values(spark, monkeypatch):
+    """No table of (column, value) pairs is made when distinct values are sketched."""
+    sizes = []
+    stored = O.materialize
+
+    def watch(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "materialize", watch)
+    df = spark.range(0, 60_000, 1, 4).select("id", (F.col("id") / 3).alias("third"))
+    got = {r["variable"]: r for r in table_profile(df, exact_distinct=["id"], window_rows=0).collect()}
+    assert got["id"]["distinct"] == 60_000 and abs(got["third"]["distinct"] - 60_000) < 3_000
+    assert got["id"]["p50"] == 29_999.5 and abs(got["third"]["p75"] - 44_999.25 / 3) < 1e-9
+    assert max(sizes) < 1_000
+
+
+def test_distinct_counts_of_integers_and_others(spark):
+    df = spark.createDataFrame(
+        [(-(2**63), "a", 1), (2**63 - 1, "b", None), (-1, None, None), (0, "a", None), (63, "é", None), (64, "", 1), (64, "", 1)], "big long, t string, i int"
+    )
+    assert {r["variable"]: r["distinct"] for r in distinct_counts(df, df.columns).collect()} == {"big": 6, "t": 4, "i": 1}
+    assert distinct_counts(df.limit(0), df.columns).count() == 0
+
+
+@pytest.mark.parametrize("probs", [[0.9, 0.1, 0.5], [0.0, 1.0], [0.5, 0.5], [i / 80 for i in range(81)]])
+def test_brackets_in_any_order(spark, probs):
+    rows, df = skewed(spark)
+    got = exact_quantiles(df, [], "v", probs, window_rows=0).first()
+    assert np.allclose([got[f"q{i}"] for i in range(len(probs))], df.toPandas()["v"].quantile(probs))
