@@ -12,7 +12,7 @@ document, so a line that a third of all documents share is spread over as many k
 Defined results: null or empty text is one empty line. Rows without an id count as one document after
 all others. Repeated rows of one document never make a line repeated. Keys under ``least`` code points
 always stay. An empty table gives an empty table. Columns besides id and text are neither read nor
-renamed, whatever they are called.
+renamed, whatever they are called; only ``n_lines`` and ``n_dropped`` (in any case) give way to the answers.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, leas
     """``docs`` with ``text`` less the lines that a document with a smaller id holds, and
     ``n_lines`` (before) and ``n_dropped``. Batches are ascending ranges of the id."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped") if {"n_lines", "n_dropped"} & set(docs.columns) else docs
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     cuts = docs.select(F.percentile_approx(identity(docs), [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
     batch = sum((F.when(F.col("doc") > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -129,13 +129,15 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, leas
         gone.select("doc", "body", "place").write.mode("append").parquet(gone_path)
     runs.close()
     gone = spark.read.schema("doc long, body long, place int").parquet(gone_path)
-    places = gone.groupBy("doc", "body").agg(F.collect_set("place").alias("_places"))
+    doc, body, places, kept = (f"_{name}_{uuid.uuid4().hex}" for name in ("doc", "body", "places", "kept"))
+    found = gone.groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("place").alias(places))
     text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.withColumns({"_doc": identity(docs), "_body": F.xxhash64(text)})
-    joined = keyed.join(places.withColumnsRenamed({"doc": "_doc", "body": "_body"}), ["_doc", "_body"], "left")
+    joined = docs.withColumns({doc: identity(docs), body: F.xxhash64(text)}).join(found, [doc, body], "left")
     cut = joined.withColumns({
         "n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"),
-        "n_dropped": F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long"),
-        "_kept": without_lines(F.when(F.col("_places").isNotNull(), F.col("text")), F.col("_places")),
+        "n_dropped": F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long"),
+        kept: without_lines(F.when(F.col(places).isNotNull(), F.col("text")), F.col(places)),
     })
-    return cut.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns, "n_lines", "n_dropped")
+    return cut.withColumn("text", F.coalesce(kept, "text")).drop(doc, body, places, kept).select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in [*docs.columns, "n_lines", "n_dropped"]]
+    )

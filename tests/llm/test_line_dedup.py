@@ -3,7 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from fixtures import documents, got, rows
+from fixtures import CLASHES, documents, got, rows
 from pyspark.sql import functions as F
 
 from inclina.llm import line_dedup
@@ -35,6 +35,19 @@ def test_equals_brute_force(spark, batches, fanout, clash):
     assert got(kept.select("doc_id", "n_lines", "n_dropped", digest)) == expected(rows())
 
 
+def test_other_columns_stay_as_they_are(spark):
+    names = [*CLASHES, "_body", "_places", "_kept", "batch", "line", "h2", "a.b", "a`b", "N_DROPPED"]
+    names = [n for n in names if n not in ("n_lines", "N_DROPPED")]
+    docs = documents(spark, clash=True).withColumns({n: F.lit(f"its {n}") for n in names if n not in ("a.b", "a`b")})
+    docs = docs.withColumn("a.b", F.lit("its a.b")).withColumn("a`b", F.lit("its a`b")).withColumn("N_DROPPED", F.lit("x"))
+    kept = line_dedup.drop_repeated_lines(docs)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    assert got(kept.select("doc_id", "n_lines", "n_dropped", digest)) == expected(rows())
+    assert sorted(kept.columns) == sorted({*docs.columns} - {"N_DROPPED"} | {"n_lines", "n_dropped"})
+    assert {tuple(r[n] for n in names) for r in kept.collect()} == {tuple(f"its {n}" for n in names)}
+    assert got(kept, "doc_id", "lang", "source", "n_chars") == got(docs, "doc_id", "lang", "source", "n_chars")
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_repeated_lines(documents(spark, [])).count() == 0
 
