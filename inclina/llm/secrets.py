@@ -7,10 +7,12 @@ attacker would need: the cheapest segmentation of the value into known words, da
 or alphabet walks and brute-force spans, found by dynamic programming over its positions. Values of at
 least ``LEAST_GUESSES`` (as a power of ten) are added as spans of kind ``guess``; base spans stay.
 
-One pass over whole texts, no shuffle: a row's result depends on that row alone.
+Known words are a short fixed list and, ranked after it, the ``DICTIONARY`` words that most documents hold, counted
+over all whole texts: an ordinary word of any language is then cheap. Only that ranked list, of bounded size, reaches
+the driver; the texts themselves are read once more and not shuffled.
 
 Defined results: null or empty text has no spans. Offsets are code points, the end is exclusive.
-Repeated rows give repeated results, an empty table an empty one. Only id and text are read, so other
+Repeated rows give repeated results (each counts as a document for the ranks), an empty table an empty one. Only id and text are read, so other
 columns may have any name.
 """
 
@@ -19,15 +21,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A guessed value needs at least ten to this power guesses to be reported.
 LEAST_GUESSES = 10.0
+#: Words learned from the corpus at most, and the documents that must hold one.
+DICTIONARY = 20_000
+LEAST_DOCS = 5
+#: A word of the corpus: letters alone between white space, with one closing mark.
+_WORD = r"(?<!\S)(\p{L}{4,24})[.,;:!?]?(?!\S)"
+#: Values up to this length are remembered with their costs; longer ones are scored anew.
+REMEMBERED = 64
 #: Kinds of the base patterns in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,7 +58,6 @@ WORDS = (
     "angel heart freedom secure private public company office money"
 ).split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@8301!$57", "aabeoiisst")
 #: Rows of a keyboard and the two runs people type.
 _WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -67,58 +76,73 @@ def _lower(value: str) -> str:
     return value.lower() if value.isascii() else "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
 
 
-@lru_cache(maxsize=65_536)
-def guesses(value: str) -> float:
-    """Decimal logarithm of the guesses for ``value``: the cheapest way to cover it by segments.
+class Guesses:
+    """Decimal logarithm of the guesses for a value: the cheapest way to cover it by segments.
 
     Every segment after the first doubles the work (its kind has to be guessed too). The whole value is
-    covered, in time that grows with its length."""
-    return _cheapest(value, math.log10(_alphabet(value)))
-
-
-@lru_cache(maxsize=65_536)
-def _block(value: str, brute: float) -> float:
-    return _cheapest(value, brute)
-
-
-def _cheapest(head: str, brute: float) -> float:
-    low, n = _lower(head), len(head)
-    plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for at in range(n):
-        if low[at].isdigit() and (m := _DATE.match(low, at)):
-            dates.setdefault(m.end(), []).append(at)
-    run = walk = 0
-    same = [0] * 9  # by period: how many characters up to here equal those a period before
-    for end in range(1, n + 1):
-        i = end - 1
-        best[end] = best[i] + brute
-        if i and low[i] == low[i - 1]:
-            pass
-        else:
-            run = i
-        if end - run >= 3:  # a repeated character: which one, and how often
-            best[end] = min(best[end], best[run] + brute + math.log10(end - run) + 0.3)
-        if not (i and (low[i - 1], low[i]) in _NEXT):
-            walk = i
-        if end - walk >= 3:  # a walk: where it starts, how far it goes, which way
-            best[end] = min(best[end], best[walk] + math.log10(47 * 2 * (end - walk)) + 0.3)
-        for size in range(3, min(_LONGEST, end) + 1):
-            start = end - size
-            rank = _RANK.get(plain[start:end])
-            if rank:
-                twist = sum(a.isupper() for a in head[start:end]) + sum(a != b for a, b in zip(low[start:end], plain[start:end]))
-                best[end] = min(best[end], best[start] + math.log10(rank + 1) + 0.3 * (1 + twist))
-        for start in dates.get(end, ()):
-            best[end] = min(best[end], best[start] + _DATES[end - start > 4] + 0.3)
-        for period in range(2, min(8, i) + 1):  # a repeated block costs the block and its count
-            same[period] = same[period] + 1 if low[i] == low[i - period] else 0
-            if same[period] >= period:
-                first = end - period * (1 + same[period] // period)
-                block = _block(head[end - period : end], brute)
-                best[end] = min(best[end], best[first] + block + math.log10((end - first) / period) + 0.3)
-    return best[n]
+    covered, in time that grows with its length. ``learned`` lists more words, most frequent first."""
+
+    def __init__(self, learned: Sequence[str] = ()):
+        self.rank = {**{w: i + 1 for i, w in enumerate(learned, len(WORDS))}, **_RANK}
+        self.longest = max(map(len, self.rank))
+        self._short = lru_cache(maxsize=65_536)(self._whole)
+        self._block = lru_cache(maxsize=65_536)(self._cheapest)  # blocks of at most eight characters
+
+    def __call__(self, value: str) -> float:
+        return (self._short if len(value) <= REMEMBERED else self._whole)(value)
+
+    def _whole(self, value: str) -> float:
+        return self._cheapest(value, math.log10(_alphabet(value)))
+
+    def _cheapest(self, head: str, brute: float) -> float:
+        low, n = _lower(head), len(head)
+        plain = low.translate(_LEET)
+        best = [0.0] + [math.inf] * n
+        dates: dict[int, list[int]] = {}
+        for at in range(n):
+            if low[at].isdigit() and (m := _DATE.match(low, at)):
+                dates.setdefault(m.end(), []).append(at)
+        run = walk = 0
+        same = [0] * 9  # by period: how many characters up to here equal those a period before
+        for end in range(1, n + 1):
+            i = end - 1
+            best[end] = best[i] + brute
+            if i and low[i] == low[i - 1]:
+                pass
+            else:
+                run = i
+            if end - run >= 3:  # a repeated character: which one, and how often
+                best[end] = min(best[end], best[run] + brute + math.log10(end - run) + 0.3)
+            if not (i and (low[i - 1], low[i]) in _NEXT):
+                walk = i
+            if end - walk >= 3:  # a walk: where it starts, how far it goes, which way
+                best[end] = min(best[end], best[walk] + math.log10(47 * 2 * (end - walk)) + 0.3)
+            for size in range(3, min(self.longest, end) + 1):
+                start = end - size
+                rank = self.rank.get(plain[start:end])
+                if rank:
+                    twist = sum(a.isupper() for a in head[start:end]) + sum(a != b for a, b in zip(low[start:end], plain[start:end]))
+                    best[end] = min(best[end], best[start] + math.log10(rank + 1) + 0.3 * (1 + twist))
+            for start in dates.get(end, ()):
+                best[end] = min(best[end], best[start] + _DATES[end - start > 4] + 0.3)
+            for period in range(2, min(8, i) + 1):  # a repeated block costs the block and its count
+                same[period] = same[period] + 1 if low[i] == low[i - period] else 0
+                if same[period] >= period:
+                    first = end - period * (1 + same[period] // period)
+                    block = self._block(head[end - period : end], brute)
+                    best[end] = min(best[end], best[first] + block + math.log10((end - first) / period) + 0.3)
+        return best[n]
+
+
+#: Costs by the fixed words alone.
+guesses = Guesses()
+
+
+def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_DOCS) -> list[str]:
+    """The ``most`` words that most rows hold, at least ``least`` rows each, ties by the word; counted over whole texts."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower(docs["text"]), F.lit(_WORD), F.lit(1)))
+    counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _credential(name: str, said: bool) -> bool:
@@ -140,7 +164,7 @@ def _values(text: str) -> Iterator[tuple[int, int]]:
             done = v.end()
 
 
-def spans(text: str, least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]:
+def spans(text: str, cost: Guesses = guesses, least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then kind."""
     found = []
     for m in _ASSIGN.finditer(text):
@@ -149,23 +173,25 @@ def spans(text: str, least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    found += [(a, b, 3) for a, b in _values(text) if guesses(text[a:b]) >= least]
+    found += [(a, b, 3) for a, b in _values(text) if cost(text[a:b]) >= least]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2], s[1]))]
 
 
-def _row(text: str | None) -> tuple[int, int, int, str, str]:
-    found = spans(text) if text else []
+def _row(text: str | None, cost: Guesses) -> tuple[int, int, int, str, str]:
+    found = spans(text, cost) if text else []
     base = [f"{k}:{a}:{b}" for a, b, k in found if k != "guess"]
     counts = [sum(k == kind for _, _, k in found) for kind in KINDS[:3]]
     return (*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in found))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """Per row of ``docs``: doc_id, counts of the base kinds, digest of the base spans, all spans."""
+    learned = frequent_words(docs, dictionary) if dictionary else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = Guesses(learned)
         for batch in batches:
-            rows = [_row(t) for t in batch.column(1).to_pylist()]
+            rows = [_row(t, cost) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [pa.array(np.array(c, dtype=np.int64)) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]],

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -96,5 +97,47 @@ def test_segmentation_is_cheapest():
     assert secrets.guesses(value) == pytest.approx(math.log10(secrets.WORDS.index("pass") + 2) + 0.3 + brute)
 
 
+def test_frequent_words_of_the_corpus_are_cheap(spark):
+    words = "zanahoria, Wissenschaftler bibliothèque. зоопарковый"
+    data = [(i, f"{words} text{i} xq-{i}zvw a1b2c3d4", None, None, None) for i in range(secrets.LEAST_DOCS)]
+    data += [(100 + i, "rarewordhere rarewordhere " * 9, None, None, None) for i in range(secrets.LEAST_DOCS - 2)]
+    values = ["zanahoria", "Wissenschaftler", "bibliothèque", "zooпарк-zX9!kQ2", "rarewordhere", "qxvkzjwptr", "зоопарковый", "zanahoria2zanahoria"]
+    data += [(1000 + i, f"my pwd is {v}!", None, None, None) for i, v in enumerate(values)] + [(2000, None, None, None, None)]
+    docs = documents(spark, data)
+    assert sorted(secrets.frequent_words(docs)) == ["bibliothèque", "wissenschaftler", "zanahoria", "зоопарковый"]
+    assert secrets.frequent_words(docs, 2) == ["bibliothèque", "wissenschaftler"]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert [bool(found[1000 + i]) for i in range(len(values))] == [False, False, False, True, True, True, False, False]
+    plain = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, dictionary=0).collect()}
+    assert plain[1001] and plain[1006]
+
+
+def _all_segmentations(value, cost, brute):
+    """Least cost over every way to cut ``value`` into single characters and listed words."""
+    if not value:
+        return 0.0
+    ways = [brute + _all_segmentations(value[1:], cost, brute)]
+    for size in range(3, len(value) + 1):
+        if value[:size] in cost.rank:
+            ways.append(math.log10(cost.rank[value[:size]] + 1) + 0.3 + _all_segmentations(value[size:], cost, brute))
+    return min(ways)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "over", "verb", "m", "p", "ov", "rbo"]), min_size=1, max_size=4).map("".join))
+def test_words_are_cut_at_least_cost(value):
+    cost = secrets.Guesses(["over", "verb", "overv", "ssw"])
+    least = _all_segmentations(value, cost, math.log10(26))
+    repeats = any(value[i : i + p] == value[i + p : i + 2 * p] for p in range(1, 9) for i in range(len(value) - 2 * p + 1))
+    assert cost(value) <= least + 1e-9 and (repeats or cost(value) == pytest.approx(least))
+
+
+def test_long_values_are_not_remembered():
+    cost = secrets.Guesses()
+    cost("zX9!kQ2-pLm7" * 10_000)
+    cost("short-value")
+    assert cost._short.cache_info().currsize == 1
+
+
 def test_empty(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
