@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inclina.llm.store import stored
+
 #: A guessed value needs at least ten to this power guesses to be reported.
 LEAST_GUESSES = 10.0
 #: Words learned from the corpus at most, and the documents that must hold one.
@@ -142,7 +144,9 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_D
     """The ``most`` words that most rows hold, at least ``least`` rows each, ties by the word; counted over whole texts."""
     held = F.array_distinct(F.regexp_extract_all(F.lower(docs["text"]), F.lit(_WORD), F.lit(1)))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # Stored first: the partitions' best words then meet in a task, and only ``most`` rows reach the driver.
+    best = stored(counts.orderBy(F.desc("n"), "word").limit(most), "frequent-words").collect()
+    return [r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))]
 
 
 def _credential(name: str, said: bool) -> bool:
