@@ -80,6 +80,9 @@ _PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?[{_LETTER}]+|\x20?[{_NUMBER}]+|\x20?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 
+#: A piece that begins with a space and goes on with anything but white space.
+_OPEN = re.compile(rf"\x20[^{_BLANK}]")
+
 
 class Sides:
     """Both tokenizers and, per id, the token's bytes, its length and its decimal spellings."""
@@ -117,6 +120,19 @@ class Sides:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
+        """The ids of pieces of simple texts. A row of pieces that open with a space before something visible is cut into
+        just these pieces again, so they are encoded as one text, whose tokens are dealt back by their bytes."""
+        row = [p for p in pieces if _OPEN.match(p)]
+        others = [p for p in pieces if not _OPEN.match(p)]
+        out = dict(zip(others, self._whole(others)))
+        if row:
+            ids = self._whole(["".join(row)])[0]
+            ends = np.cumsum(self.lengths["a"].take(pa.array(ids, pa.int32())).to_numpy())
+            places = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in row])) + 1
+            out.update((p, ids[s:e]) for p, s, e in zip(row, [0, *places[:-1].tolist()], places.tolist()))
+        return out
+
     def _encode_a(self, texts: list[str]) -> list[list[int]]:
         """A's ids. Its merges never cross its pieces, so simple texts are put together from pieces' ids, each piece
         encoded when it is new; other texts go through A whole."""
@@ -124,7 +140,7 @@ class Sides:
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = list(set().union(*(p for p in pieces if p is not None)).difference(self.memo))
-        self.memo.update(zip(new, self._whole(new)))
+        self.memo.update(self._of_pieces(new))
         known, whole = self.memo, iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
         ids = [next(whole) if own is None else list(chain.from_iterable([known[p] for p in own])) for own in pieces]
         for piece in new:
