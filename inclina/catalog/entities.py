@@ -297,6 +297,39 @@ DERIVED["by_region"] = (
 )
 
 
+def line_ratings(t: Tables, before: str | None = None) -> DataFrame:
+    """A customer's rating of a product line (brand and type), 1 to 5, from the quantity bought (in orders before a day)."""
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if before:
+        orders = orders.where(F.col("o_orderdate") < F.lit(before).cast("date"))
+    line = F.concat_ws("/", "p_brand", "p_type")
+    return (
+        t("lineitem")
+        .select("l_orderkey", "l_partkey", "l_quantity")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("part").select("p_partkey", line.alias("producto1")), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("o_custkey").cast("string").alias("identificacion"), "producto1")
+        .agg((F.lit(1) + F.sum("l_quantity").cast("bigint") % 5).cast("double").alias("rating"))
+    )
+
+
+DERIVED["line_ratings"] = (
+    (),
+    """SELECT CAST(o_custkey AS VARCHAR) AS identificacion, concat_ws('/', p_brand, p_type) AS producto1,
+    CAST(1 + CAST(sum(l_quantity) AS BIGINT) % 5 AS DOUBLE) AS rating
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+)
+
+
+def near_lines(rows: str) -> str:
+    """SQL of the 30 nearest product lines by the ratings in ``rows``."""
+    return f"""WITH c AS (SELECT *, rating - avg(rating) OVER (PARTITION BY identificacion) AS centered FROM ({rows}))
+    SELECT a.producto1 AS item_i, b.producto1 AS item_j, sum(a.centered * b.centered) / (sqrt(sum(a.centered * a.centered)) * sqrt(sum(b.centered * b.centered))) AS sim,
+    count(*) AS n FROM c a JOIN c b ON a.identificacion = b.identificacion AND a.producto1 <> b.producto1 GROUP BY 1, 2
+    HAVING sum(a.centered * a.centered) > 0 AND sum(b.centered * b.centered) > 0
+    QUALIFY row_number() OVER (PARTITION BY item_i ORDER BY sim DESC, item_j) <= 30"""
+
+
 def scored(t: Tables) -> DataFrame:
     """Orders with a class, a score with many ties and the class at 0.5."""
     score = F.floor(F.col("o_totalprice") / 2500) / 200

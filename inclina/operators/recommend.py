@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inclina.operators.aggregates import long_to_wide
-from inclina.operators.joins import BROADCAST_ROWS
+from inclina.operators.joins import BROADCAST_ROWS, attach_checked
 from inclina.operators.ordering import exact_quantiles, number_rows, top_per_group
 from inclina.session import materialize
 
@@ -128,11 +128,24 @@ def _block_products(block: int):
     return run
 
 
+def copies_to_block_pairs(rows: DataFrame, block: int, n_blocks: int) -> DataFrame:
+    """Rows (user, item_no, value) once per pair of blocks in which they meet another rating of their user, or themselves."""
+    own = (F.col("item_no") / block).cast("int")
+    if n_blocks == 1:
+        return rows.withColumns({"block_i": F.lit(0), "block_j": F.lit(0)})
+    rows = materialize(rows)
+    # at most n_blocks numbers a user, combined before the shuffle
+    blocks = rows.groupBy("user").agg(F.collect_set(own).alias("_blocks"))
+    pairs = F.transform("_blocks", lambda b: F.struct(F.least(own, b).alias("block_i"), F.greatest(own, b).alias("block_j")))
+    return rows.join(blocks, "user").select("user", "item_no", "value", F.inline(pairs))
+
+
 def co_rated_sums(df: DataFrame, user: str, item: str, value: str, block: int = BLOCK_ITEMS) -> DataFrame:
     """For every two items rated by a common user: sum of products, both sums of squares, users.
 
     No pair of ratings is ever a row. Items get consecutive numbers and fall into blocks; a rating goes
-    to every block pair that holds its item, users spread over the tasks, and each task multiplies
+    to the pairs of its own block with the blocks its user rated in (a user of b blocks sends each rating b times,
+    however many blocks there are), users spread over the tasks, and each task multiplies
     user x item tiles. One (user, block pair) holds at most two blocks of ratings however active the
     user, and a task emits sums, not pairs. Up to ``block`` items there is exactly one block pair.
     """
@@ -142,13 +155,9 @@ def co_rated_sums(df: DataFrame, user: str, item: str, value: str, block: int =
     n_blocks = max(1, -(-n_items // block))
     items = items.withColumn("item_no", (F.col("item_no") - 1).cast("int"))
     lookup = F.broadcast(items) if n_items <= BROADCAST_ROWS else items
-    own = (F.col("item_no") / block).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    to_pairs = F.transform(
-        every, lambda b: F.struct(F.least(own, b).alias("block_i"), F.greatest(own, b).alias("block_j"))
-    )
-    rows = df.join(lookup, item).select(
-        F.col(user).cast("string").alias("user"), "item_no", F.col(value).cast("double").alias("value"), F.inline(to_pairs)
+    rows = copies_to_block_pairs(
+        df.join(lookup, item).select(F.col(user).cast("string").alias("user"), "item_no", F.col(value).cast("double").alias("value")),
+        block, n_blocks,
     )
     tiles = rows.repartition("block_i", "block_j", "user").sortWithinPartitions("block_i", "block_j", "user")
     partial = tiles.mapInPandas(
@@ -178,7 +187,11 @@ def item_similarity(
 
     A zero denominator gives no pair, an item is not its own neighbour, ties go to the smaller item.
     """
-    sums = co_rated_sums(center(df, user, rating), user, item, "centered", block)
+    return similarity_of_sums(co_rated_sums(center(df, user, rating), user, item, "centered", block), k)
+
+
+def similarity_of_sums(sums: DataFrame, k: int | None = 30) -> DataFrame:
+    """The similarities that co-rating sums (fresh or updated) stand for."""
     sim = F.try_divide(F.col("dot"), F.sqrt("sq_i") * F.sqrt("sq_j"))
     pairs = sums.withColumn("sim", sim).where(F.col("sim").isNotNull()).select("item_i", "item_j", "sim", "n")
     if k is None:
@@ -186,6 +199,61 @@ def item_similarity(
     return top_per_group(pairs, ["item_i"], [F.desc("sim"), F.asc("item_j")], k).drop("rank")
 
 
+def with_changes(ratings: DataFrame, changes: DataFrame, user: str, item: str, rating: str) -> DataFrame:
+    """Ratings after changes: a changed cell takes its new rating, null withdraws it. One row per cell on both sides."""
+    new = changes.select(user, item, F.col(rating).cast("double").alias("_new"), F.lit(True).alias("_told"))
+    both = ratings.select(user, item, F.col(rating).cast("double").alias("_old")).join(new, [user, item], "full")
+    now = F.when(F.col("_told"), F.col("_new")).otherwise(F.col("_old"))
+    return both.select(user, item, now.alias(rating)).where(F.col(rating).isNotNull())
+
+
+def kept_sums(ratings: DataFrame, user: str, item: str, rating: str, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Co-rating sums of user-centred ratings in the form to be stored and updated: ``top_i`` and ``top_j`` are the largest
+    values the sums of squares have had since they were summed afresh."""
+    sums = co_rated_sums(center(ratings, user, rating), user, item, "centered", block)
+    return sums.withColumns({"top_i": F.col("sq_i"), "top_j": F.col("sq_j")})
+
+
+def update_sums(
+    sums: DataFrame, ratings: DataFrame, changes: DataFrame, user: str, item: str, rating: str, block: int = BLOCK_ITEMS,
+    cancelled: float = 2.0**-20,
+) -> DataFrame:
+    """Stored :func:`kept_sums` of ``ratings``, brought to what they are after ``changes`` (as in :func:`with_changes`).
+
+    The sums are additive over users, and a change moves its user's mean and with it all products of that user. So the
+    users named in the changes are taken out with their old ratings and put in with their new ones; all other users' products
+    stay in the stored sums, and the work grows with the touched users' ratings plus one merge of the table.
+
+    Taking out loses digits where little is left: pairs whose sum of squares fell under ``cancelled`` of its largest value are
+    summed afresh, over the ratings of their items alone. Pairs without a common user are gone. ``ratings`` is read three times
+    (the last time only if a pair was cancelled) and should be a stored table; the result should be stored before the next update.
+    """
+    touched = materialize(changes.select(user).distinct().withColumn("_touched", F.lit(True)))
+    mine = lambda d: attach_checked(d, touched, [user]).where("_touched").drop("_touched")
+    before = materialize(mine(ratings.select(user, item, rating)))
+    parts = [(1.0, with_changes(before, changes, user, item, rating)), (-1.0, before)]
+    names = ["dot", "sq_i", "sq_j"]
+    out = sums.select("item_i", "item_j", *names, "n", "top_i", "top_j")
+    for sign, rows in parts:
+        part = kept_sums(rows, user, item, rating, block)
+        signed = {c: F.col(c) * sign for c in names} | {"n": (F.col("n") * int(sign)).cast("bigint")}
+        tops = {c: F.lit(0.0) if sign < 0 else F.col(c) for c in ("top_i", "top_j")}
+        out = out.unionByName(part.withColumns(signed | tops))
+    merged = materialize(
+        out.groupBy("item_i", "item_j").agg(*[F.sum(c).alias(c) for c in (*names, "n")], F.sum("top_i").alias("top_i"), F.sum("top_j").alias("top_j")).where("n > 0")
+    )
+    weak = [(F.col(f"top_{s}") > 0) & (F.col(f"sq_{s}") <= F.col(f"top_{s}") * cancelled) for s in "ij"]
+    lost = materialize(merged.where(weak[0] | weak[1]).select("item_i", "item_j", F.lit(True).alias("_lost")))
+    if not lost.limit(1).count():
+        return merged
+    items = materialize(lost.select(F.explode(F.array("item_i", "item_j")).alias(item)).distinct().withColumn("_asked", F.lit(True)))
+    centred = center(with_changes(ratings, changes, user, item, rating), user, rating)
+    rows = attach_checked(centred, items, [item]).where("_asked")
+    fresh = co_rated_sums(rows, user, item, "centered", block).join(lost.drop("_lost"), ["item_i", "item_j"])
+    fresh = fresh.withColumns({"top_i": F.col("sq_i"), "top_j": F.col("sq_j")})
+    return attach_checked(merged, lost, ["item_i", "item_j"]).where(F.col("_lost").isNull()).select(*merged.columns).unionByName(fresh)
+
+
 def user_similarity(df: DataFrame, user: str, item: str, rating: str, k: int | None = None) -> DataFrame:
     """The same with the roles of users and items exchanged; for a chosen set of users."""
     return item_similarity(df, item, user, rating, k)

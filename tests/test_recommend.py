@@ -124,3 +124,61 @@ def test_binarize_includes_three(spark):
 def test_neighbour_counts(spark):
     df = spark.createDataFrame([("a", "b", 0.5), ("a", "c", -0.2), ("b", "a", 0.5), ("c", "a", -0.2)], "item_i string, item_j string, sim double")
     assert {r["neighbours"]: r["items"] for r in R.neighbour_counts(df).collect()} == {1: 2, 0: 1}
+
+
+def test_rating_is_copied_to_own_blocks_only(spark):
+    """5,000 items in ten blocks: a user of one block sends each rating once, a user of all blocks ten times."""
+    rng = random.Random(1)
+    rows = [("few", j, 1.0) for j in range(40)] + [("all", j, 1.0) for j in range(0, 5000, 50)]
+    rows += [(f"u{u}", (500 * (u % 10) + rng.randrange(500)), 1.0) for u in range(200)]
+    df = spark.createDataFrame(rows, "user string, item_no int, value double").dropDuplicates(["user", "item_no"])
+    out = R.copies_to_block_pairs(df, 500, 10)
+    n = {r["user"]: (r["n"], r["items"]) for r in out.groupBy("user").agg(F.count("*").alias("n"), F.countDistinct("item_no").alias("items")).collect()}
+    assert n["few"] == (40, 40) and n["all"] == (1000, 100)
+    assert all(a == b for u, (a, b) in n.items() if u.startswith("u"))
+    assert out.where("block_i > block_j OR (int(item_no / 500) NOT IN (block_i, block_j))").count() == 0
+
+
+def changed(cells, changes):
+    return {c: r for c, r in {**cells, **changes}.items() if r is not None}
+
+
+def similarities(df):
+    return {(r["item_i"], r["item_j"]): (r["sim"], r["n"]) for r in R.similarity_of_sums(df, None).collect()}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_updated_sums_equal_rebuilt_ones(spark, block):
+    cells = world()
+    sums = R.kept_sums(ratings(spark, cells), "u", "i", "r", block)
+    rng = random.Random(9)
+    for step in range(2):
+        some = rng.sample(sorted(cells), 12)
+        changes = {c: rng.choice([None, 1.0, 5.0]) for c in some}
+        changes |= {("new", "i1"): 2.0, ("new", f"i{step + 2}"): 5.0, ("never", "i0"): None, ("lonely", "i0"): 1.0}
+        told = spark.createDataFrame([(u, i, r) for (u, i), r in changes.items()], "u string, i string, r double")
+        sums = R.materialize(R.update_sums(sums, ratings(spark, cells), told, "u", "i", "r", block))
+        cells = changed(cells, changes)
+        got, want = similarities(sums), brute_similarity(cells)
+        assert set(got) == set(want)
+        assert all(got[p][0] == pytest.approx(want[p][0], abs=1e-9) and got[p][1] == want[p][1] for p in want)
+
+
+def test_cancelled_sums_are_summed_afresh(spark):
+    """One user's huge ratings hide the others' small ones; when they go, the small sums come back in full."""
+    cells = {("huge", "a"): 3e9, ("huge", "b"): -1e9, ("huge", "c"): 7e9}
+    cells |= {(f"u{k}", i): 0.1 * (k + 1) * v for k in range(3) for i, v in (("a", 1.0), ("b", 2.0 + k), ("c", 4.5 - k))}
+    sums = R.kept_sums(ratings(spark, cells), "u", "i", "r")
+    gone = {c: None for c in cells if c[0] == "huge"}
+    told = spark.createDataFrame([(u, i, r) for (u, i), r in gone.items()], "u string, i string, r double")
+    got = similarities(R.update_sums(sums, ratings(spark, cells), told, "u", "i", "r"))
+    want = brute_similarity(changed(cells, gone))
+    assert set(got) == set(want) and all(got[p][0] == pytest.approx(want[p][0], abs=1e-9) for p in want)
+
+
+def test_no_changes(spark):
+    cells = world(users=5)
+    none = spark.createDataFrame([], "u string, i string, r double")
+    sums = R.kept_sums(ratings(spark, cells), "u", "i", "r")
+    got, want = similarities(R.update_sums(sums, ratings(spark, cells), none, "u", "i", "r")), brute_similarity(cells)
+    assert set(got) == set(want)
