@@ -521,15 +521,10 @@ def _(t):
 @query("group_models")
 def _(t):
     """One logistic model per duration group; the score of every row by its own group's model."""
-    panel = daily.daily_panel(e.movements(t), e.openings(t))
+    rows = models.group_rows(daily.daily_panel(e.movements(t), e.openings(t)).select("grupo", "tenencia_tdc", *PANEL_FEATURES), "grupo")
     spec = models.ProductSpec("tdc", "tenencia_tdc", "1", PANEL_FEATURES)
-    fitted = models.train_groups(panel, "grupo", spec, lambda **c: LogisticRegression(maxIter=10, **c))
-    out = None
-    for group, model in fitted.items():
-        scored = score.add_scores(panel.where(F.col("grupo") == group), {"p": model})
-        part = scored.groupBy("grupo").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 4)
+    fitted = models.train_groups(rows, "grupo", spec, lambda **c: LogisticRegression(maxIter=10, **c))
+    return rounded(models.score_groups(rows, fitted).groupBy("grupo").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p")), 4)
 
 
 @query("saved_model")

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from inclina.operators.evaluate import auc, best_threshold, classification_metrics, log_loss
 from inclina.operators.features import drop_columns, label_index, nzv_flags
-from inclina.operators.sampling import class_sizes, fold, hash_split
-from inclina.session import materialize, side_by_side
+from inclina.operators.sampling import fold, hash_split
+from inclina.session import checkpoint_folder, materialize, side_by_side
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -341,10 +342,58 @@ def train_products(df: DataFrame, specs: Sequence[ProductSpec], build: Callable[
     return models
 
 
-def train_groups(df: DataFrame, group: str, spec: ProductSpec, build: Callable[..., Estimator]) -> dict[str, PipelineModel]:
-    """One model per value of a group column (such as the duration groups)."""
-    names = sorted(r[group] for r in class_sizes(df, group).where(F.col(group).isNotNull()).collect())  # one model each
-    return {g: train_products(df.where(F.col(group) == g), [spec], build)[spec.product] for g in names}
+@dataclass(frozen=True)
+class GroupedRows:
+    """A stored table partitioned by the text of a group column, so that a group's rows are read alone."""
+
+    df: DataFrame
+    group: str
+
+    def names(self) -> list:
+        """The groups, from the group column alone; null is no group. One model each, so they are few."""
+        return sorted(r[0] for r in self.df.select(self.group).where(F.col(self.group).isNotNull()).distinct().collect())
+
+    def part(self, name) -> DataFrame:
+        side = F.lit(name).cast("string")
+        return self.df.where((F.col("_side").cast("string") == side) & (F.col(self.group) == F.lit(name))).drop("_side")
+
+
+def group_rows(df: DataFrame, group: str) -> GroupedRows:
+    """Evaluate ``df`` once and store it by group. A group of any share of the rows is many files, not one task's work."""
+    path = f"{checkpoint_folder(df.sparkSession)}/groups-{uuid.uuid4().hex}"
+    df.withColumn("_side", F.concat(F.lit("g"), F.col(group).cast("string"))).write.partitionBy("_side").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    return GroupedRows(stored.withColumn("_side", F.substring("_side", 2, 1 << 20)), group)
+
+
+def train_groups(
+    rows: DataFrame | GroupedRows, group: str, spec: ProductSpec, build: Callable[..., Estimator], threads: int = 4
+) -> dict[str, PipelineModel]:
+    """One model per value of a group column (such as the duration groups), fitted side by side, each from its group's
+    stored partitions. ``rows`` that are not stored by group yet are evaluated and stored once, with the needed columns."""
+    if isinstance(rows, DataFrame):
+        rows = group_rows(spec.labelled(rows).select(group, *[c for c in spec.features if c != group], "label"), group)
+        spec = replace(spec, label="label", positive=1.0, rows="true")
+
+    def fit(name) -> PipelineModel:
+        assemble = assembler(spec.features)
+        part = assemble.transform(spec.labelled(rows.part(name))).select("features", "label").persist()
+        model = build(featuresCol="features", labelCol="label").fit(part)
+        part.unpersist()
+        return PipelineModel([assemble, model])
+
+    names = rows.names()
+    return dict(zip(names, side_by_side(fit, names, threads)))
+
+
+def score_groups(rows: GroupedRows, models: Mapping[str, PipelineModel], out: str = "p") -> DataFrame:
+    """Every row of a group that has a model, with that model's probability; each group's partitions are read once."""
+    scored = None
+    for name, model in models.items():
+        part = model.transform(rows.part(name))
+        part = part.select(*[c for c in rows.df.columns if c != "_side"], positive_probability(part).alias(out))
+        scored = part if scored is None else scored.unionByName(part)
+    return scored if scored is not None else rows.df.drop("_side").withColumn(out, F.lit(None).cast("double")).limit(0)
 
 
 @dataclass

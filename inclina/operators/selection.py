@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from inclina.operators.evaluate import classification_metrics
 from inclina.operators.profile import beta_tail
-from inclina.operators.sampling import bootstrap_copies, class_sizes, fold
-from inclina.session import side_by_side
+from inclina.operators.sampling import bootstrap_copies, fold
+from inclina.session import materialize, side_by_side
+
+#: Values of a label beyond which it is refused as a class.
+MAX_CLASSES = 1_000
 
 
 def _vectors(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> DataFrame:
@@ -138,13 +141,16 @@ def genetic_select(
 
 
 def _moments(df: DataFrame, label: str, features: Sequence[str], by: Sequence[Column] = ()) -> list[tuple]:
-    """Per group and class: the group key, the class, and (n, mean, squared deviations) per feature."""
-    class_sizes(df, label)  # refuses a label that is not a class
+    """Per group and class: the group key, the class, and (n, mean, squared deviations) per feature. A label of more than
+    ``MAX_CLASSES`` values is no class and is refused before anything is collected."""
     per = df.groupBy(*by, F.col(label).alias("_class")).agg(
         *[F.count(f).alias(f"n{i}") for i, f in enumerate(features)],
         *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
         *[(F.var_pop(f) * F.count(f)).alias(f"s{i}") for i, f in enumerate(features)],
     )
+    per = materialize(per)
+    if per.select("_class").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values, it is not a class")
     k = range(len(features))
     return [(tuple(r)[: len(by)], r["_class"], [(r[f"n{i}"], r[f"m{i}"] or 0.0, r[f"s{i}"] or 0.0) for i in k]) for r in per.collect()]
 

@@ -93,6 +93,26 @@ def test_products_have_their_own_labels(data):
     assert set(groups) == {"x", "y"}
 
 
+def test_groups_are_stored_once_and_read_alone(data, plan_of):
+    group = F.when(F.col("weak") > 0.5, "01").when(F.col("weak") > 0, "1").when(F.col("weak") > -2, "a/b = c")
+    named = data.withColumn("g", group)
+    spec = M.ProductSpec("a", "label", 1.0, ("signal", "noise"))
+    rows = M.group_rows(named, "g")
+    assert rows.names() == ["01", "1", "a/b = c"]
+    for name in rows.names():
+        assert rows.part(name).columns == named.columns and rows.part(name).count() == named.where(F.col("g") == name).count()
+    plan = plan_of(rows.part("1"))
+    assert "PartitionFilters: [" in plan and "_side" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    build = lambda **c: LogisticRegression(**c)
+    stored, direct = M.train_groups(rows, "g", spec, build), M.train_groups(named, "g", spec, build)
+    alone = M.train_products(named.where("g = '01'"), [spec], build)["a"]
+    for fitted in (stored["01"], direct["01"]):
+        assert fitted.stages[-1].coefficients.toArray() == pytest.approx(alone.stages[-1].coefficients.toArray(), rel=1e-6)
+    scored = M.score_groups(rows, stored)
+    assert scored.columns == [*named.columns, "p"] and scored.count() == named.where("g IS NOT NULL").count()
+    assert M.score_groups(rows, {}).count() == 0
+
+
 def test_product_leaderboards_hold_out_customers(data):
     specs = [M.ProductSpec("a", "label", 1.0, ("signal", "noise"), rows="weak > -5")]
     kept = [c for c in M.default_candidates() if c.name in ("glm_plain", "drf_20")]
