@@ -11,16 +11,14 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import (
     Bucketizer,
     ElementwiseProduct,
     Imputer,
-    OneHotEncoder,
     PCA,
     SQLTransformer,
     StandardScaler,
-    StringIndexer,
     VectorAssembler,
     VectorSlicer,
 )
@@ -34,7 +32,7 @@ from inclina.operators.joins import attach_checked
 from inclina.operators.ordering import exact_quantiles, top_per_group
 from inclina.session import materialize
 
-#: A category with more levels than this is not spread into indicator columns.
+#: Indicator columns of one category at most.
 MAX_LEVELS = 2_000
 
 
@@ -144,41 +142,46 @@ class Dummies(Estimator):
     """Indicator columns ``<column>_<level>`` for every level but the first in sorted order.
 
     Signs other than letters and digits read ``_`` in the column name. Levels unseen while fitting, and null, give 0 in every indicator.
-    A column of more than ``MAX_LEVELS`` levels becomes one sparse vector ``<column>_levels`` instead.
+    With ``freq_cut`` indicators that :class:`NearZeroVariance` with these cuts would drop again are never made. Levels are counted
+    on the cluster, and at most ``freq_cut`` + 1 of a column's levels are frequent enough, so a column may have any number.
+    Without it, a column of more than ``MAX_LEVELS`` levels is refused.
     """
 
-    def __init__(self, columns: Sequence[str]):
+    def __init__(self, columns: Sequence[str], freq_cut: float | None = None, unique_cut: float = 10.0):
         super().__init__()
-        self.columns = list(columns)
+        self.columns, self.freq_cut, self.unique_cut = list(columns), freq_cut, unique_cut
 
     def _fit(self, df: DataFrame) -> Transformer:
         if not self.columns:
             return _replace({})
         text = df.select(*[F.col(c).cast("string").alias(c) for c in self.columns])
-        seen = text.unpivot([], self.columns, "variable", "value").where(F.col("value").isNotNull()).distinct()
+        seen = materialize(value_counts(text, self.columns))
+        n = seen.groupBy("variable").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        seen = seen.where(F.col("value").isNotNull())
+        first = {r["variable"]: r["value"] for r in seen.groupBy("variable").agg(F.min("value").alias("value")).collect()}
+        if self.freq_cut is not None:
+            ones, zeros = F.col("n"), F.lit(n) - F.col("n")
+            skewed = F.try_divide(F.greatest(ones, zeros), F.least(ones, zeros)) > self.freq_cut
+            few = 200.0 <= self.unique_cut * n  # two values of n rows
+            seen = seen.where((zeros > 0) & ~(skewed & F.lit(few)))
+        crowded = seen.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_LEVELS).collect()
+        if crowded:
+            raise ValueError(f"over {MAX_LEVELS} levels in {sorted(r['variable'] for r in crowded)}; give freq_cut to keep the frequent ones")
         found: dict[str, list[str]] = {c: [] for c in self.columns}
-        sizes = {r["variable"]: r["n"] for r in seen.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
-        wide = [c for c in self.columns if sizes.get(c, 0) > MAX_LEVELS]
-        for row in seen.where(~F.col("variable").isin(wide)).collect():  # at most MAX_LEVELS per column
+        for row in seen.select("variable", "value").collect():  # at most MAX_LEVELS per column
             found[row["variable"]].append(row["value"])
-        coded = [self._sparse(c).fit(df) for c in wide]
         new = []
         for c, levels in found.items():
             taken: set[str] = set()
-            for level in sorted(levels)[1:]:
+            for level in sorted(levels):
+                if level == first[c]:
+                    continue
                 name = f"{c}_" + re.sub(r"\W+", "_", level)
                 name = name if name not in taken else f"{name}_{len(taken)}"
                 taken.add(name)
                 new.append(f"CAST(coalesce(CAST({_q(c)} AS STRING) = {_text(level)}, false) AS INT) AS {_q(name)}")
         gone = ", ".join(map(_q, self.columns))
-        narrow = SQLTransformer(statement=f"SELECT * EXCEPT ({gone}){''.join(', ' + e for e in new)} FROM __THIS__")
-        return PipelineModel([*coded, narrow]) if coded else narrow
-
-    @staticmethod
-    def _sparse(column: str) -> Pipeline:
-        at = f"_{column}_at"
-        index = StringIndexer(inputCol=column, outputCol=at, handleInvalid="keep", stringOrderType="alphabetAsc")
-        return Pipeline(stages=[index, OneHotEncoder(inputCol=at, outputCol=f"{column}_levels", dropLast=True), drop_columns([at])])
+        return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}){''.join(', ' + e for e in new)} FROM __THIS__")
 
 
 def mean_impute(columns: Sequence[str]) -> Imputer:

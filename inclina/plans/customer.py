@@ -95,7 +95,7 @@ def fit_recipe(
             FitOnly(complete_rows([label, *kept])),
             log_features(logged, log_mode),
             FitOnly(complete_rows(logged)),
-            Dummies(nominal),
+            Dummies(nominal, freq_cut=95 / 5),  # the others would fall to the near-constant step
             Standardise(exclude=[label, *keep]),
             NearZeroVariance(exclude=[label, *keep]),
             VariancePCA(exclude=[label, *keep], threshold=threshold),

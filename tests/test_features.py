@@ -76,6 +76,25 @@ def test_unseen_and_missing_levels(spark):
     assert got.columns == ["k_b", "k_c_d"] and [tuple(r) for r in got.collect()] == [(1, 0), (0, 0), (0, 0), (0, 1)]
 
 
+def test_frequent_levels_are_those_that_stay(spark):
+    rng = np.random.default_rng(5)
+    k = rng.choice(["a", "b", "c d", "e", "f", None], 400, p=[0.3, 0.45, 0.15, 0.05, 0.03, 0.02]).tolist()
+    df = spark.createDataFrame(list(zip(k, ["one"] * 400, [str(i) for i in range(400)])), "k string, same string, id string")
+    every = P.fit_steps(df, [P.Dummies(["k", "same", "id"]), P.NearZeroVariance()]).transform(df)
+    some = P.Dummies(["k", "same", "id"], freq_cut=19).fit(df).transform(df)
+    assert some.columns == every.columns and some.columns[:2] == ["k_b", "k_c_d"]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+    few = df.limit(12)  # so few rows that only a constant is near-constant
+    assert set(P.Dummies(["id"], freq_cut=19).fit(few).transform(few).columns) == set(P.Dummies(["id"]).fit(few).transform(few).columns)
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 1000, "heavy").when(F.col("id") < 2000, "aaa").otherwise(F.col("id").cast("string")).alias("k"))
+    assert P.Dummies(["k"], freq_cut=19).fit(df).transform(df).columns == ["k_aaa", "k_heavy"]
+    with pytest.raises(ValueError, match="freq_cut"):
+        P.Dummies(["k"]).fit(df)
+
+
 def test_components_reach_the_share_and_signs_are_fixed(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(200, 2))
