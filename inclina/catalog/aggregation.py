@@ -429,8 +429,7 @@ def _(t):
 @query("embedding_correlations")
 def _(t):
     """Correlation matrix with p-values of the embedding dimensions."""
-    names = [f"d{i}" for i in range(64)]
-    wide = t("embeddings").select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    wide, names = e.wide_embeddings(t)
     return correlation_matrix(wide, names)
 
 

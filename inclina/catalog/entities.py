@@ -330,6 +330,13 @@ def near_lines(rows: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY item_i ORDER BY sim DESC, item_j) <= 30"""
 
 
+def wide_embeddings(t: Tables) -> tuple[DataFrame, list[str]]:
+    """Vectors as one column per dimension, as many as the longest vector has, and those columns' names."""
+    rows = t("embeddings")
+    names = [f"d{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return rows.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
 def scored(t: Tables) -> DataFrame:
     """Orders with a class, a score with many ties and the class at 0.5."""
     score = F.floor(F.col("o_totalprice") / 2500) / 200

@@ -194,8 +194,7 @@ def _(t):
 @query("pca_components")
 def _(t):
     """Components of the document embeddings that reach 95 % of the variance."""
-    names = [f"d{i}" for i in range(64)]
-    wide = t("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    wide, names = e.wide_embeddings(t)
     model = features.VariancePCA(names).fit(wide)
     return rounded(features.expand_vector(model.transform(wide).select("vec_id", "pca"), "pca", features.component_names(model)))
 
