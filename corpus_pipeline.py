@@ -24,7 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of copies (five-word shingles at least 0.8 similar), and all others.
+    """The smallest document of each group of copies (five-word shingles at least 0.8 similar), and all others. SimHash fingerprints
+    propose copies, MinHash keys those that fingerprints miss, and whole shingle sets decide.
 
     Null and empty texts are copies of each other. Rows without an id cannot be named as copies and stay; rows that share
     the smallest id of a group all stay."""

@@ -9,8 +9,9 @@ fingerprints within ``2 r`` bits have one within ``r`` bits of both, so each suc
 under every fingerprint within ``r`` bits; those who meet there are within ``2 r`` bits of each other, and
 linking them to the smallest keeps every connection. Both ways are exact.
 
-:func:`near_copies` finds copies by the similarity of five-word shingles instead: ``BANDS`` keys of ``HELD`` smallest
-shingle hashes each propose candidates, and a candidate is linked when the whole shingle sets are similar enough.
+:func:`near_copies` checks what the fingerprints connect: texts whose fingerprints (of five-word shingles) share a component
+are candidates, and a candidate is linked when the whole shingle sets are similar enough. Copies whose fingerprints
+lie further apart are candidates by ``BANDS`` further keys of ``HELD`` smallest shingle hashes each.
 Every node first meets the smallest node of its keys. Keys that still hold more than one group are compared whole:
 up to ``PAIRED`` members as pairs, more of them all with all inside tasks, in salted blocks.
 
@@ -135,9 +136,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int
     return prints.join(by_print, "fp").select(F.col("doc").alias("doc_id"), "fp", "component_id")
 
 
+def _whole(hashes: np.ndarray) -> bytes:
+    """Distinct hashes, ascending."""
+    return np.unique(hashes).astype("<u8").tobytes()
+
+
 def _sketch(words: list[bytes], size: int) -> bytes:
     """The whole shingle set: its distinct hashes, ascending."""
-    return np.unique(shingle_hashes(words, size)).astype("<u8").tobytes()
+    return _whole(shingle_hashes(words, size))
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -235,19 +241,29 @@ def _crowded(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _met_prints(own: DataFrame) -> DataFrame:
+    """(node, n, key) of the stored ``own`` (node, n, fp) under the component of their fingerprints, over links of at most two bits:
+    all that the fingerprints connect meets under one key."""
+    roots = components(links(own.select("fp").distinct()))
+    met = own.join(roots, own["fp"] == roots["node"], "left").select(own["node"], "n", F.coalesce("root", "fp").alias("root"))
+    return met.select("node", "n", F.xxhash64(F.lit("fp"), "root").alias("key")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that have near copies: shingles of ``words`` words at least
-    ``least`` similar. Rows without an id are left out."""
+    ``least`` similar. Candidates are what SimHash fingerprints of the shingles connect and what shares a band key.
+    Rows without an id are left out."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for t in batch.column(1):
-                own = _sketch(_words(t.as_py()), words)
-                found.append((xxhash.xxh3_128_digest(own, SEED), len(own) // 8, band_keys(own)))
-            kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                hashes = shingle_hashes(_words(t.as_py()), words)
+                own = _whole(hashes)
+                found.append((xxhash.xxh3_128_digest(own, SEED), len(own) // 8, fingerprint(hashes), band_keys(own)))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "same", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "same", "n", "fp", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +273,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), sketches], names=["node", "sketch"])
 
     rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("body"))
-    prints = stored(rows.mapInArrow(keys, "doc long, same binary, n int, bands array<long>"), "shingle-keys")
+    prints = stored(rows.mapInArrow(keys, "doc long, same binary, n int, fp long, bands array<long>"), "shingle-keys")
     # Equal shingle sets: one class, named by its smallest id.
     classes = stored(
         prints.groupBy("same").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("docs"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")),
@@ -265,7 +281,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     )
     many = classes.where("docs > 1").select("same", "node")
     copies = prints.select("doc", "same").join(many, "same").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    placed = classes.select("node", "n", F.explode("bands").alias("key"))
+    # Rows of one shingle set may repeat shingles differently, so a node has the fingerprints of all its rows.
+    own = stored(prints.where("n > 0").select("same", "fp").distinct().join(classes.select("same", "node", "n"), "same").drop("same"), "fingerprints")
+    placed = classes.select("node", "n", F.explode("bands").alias("key")).unionByName(_met_prints(own))
     sizes = stored(placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("lead")).where("held > 1"), "key-sizes")
     inside = stored(placed.join(sizes, "key"), "shared-keys")
     nodes = inside.select(F.col("node").alias("doc")).distinct()

@@ -170,3 +170,17 @@ def test_blocks_connect_all_similar_sets(sides):
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.near_copies(documents(spark, [])).count() == 0
+
+
+def test_near_copies_start_from_fingerprints(spark, monkeypatch):
+    """Copies whose fingerprints are within two bits are found without any other key, crowded or not; a shared fingerprint is not enough."""
+    monkeypatch.setattr(simhash, "band_keys", lambda sketch: [])
+    rng = random.Random(14)
+    base = [f"v{rng.randrange(5000)}" for _ in range(3000)]
+    data = [(k, " ".join([*base[:-1], f"x{k}"] if k else base), None, None, None) for k in range(100)]
+    loud = "again " * 900
+    data += [(200 + k, loud + " ".join(f"y{k}_{i}" for i in range(40)), None, None, None) for k in range(3)]
+    prints = {d: simhash.fingerprint(simhash.shingle_hashes(t.encode().split(), 5)) for d, t, *_ in data}
+    assert all(((prints[k] ^ prints[0]) & (2**64 - 1)).bit_count() <= 2 for k in range(100)) and len({prints[200 + k] for k in range(3)}) == 1
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, data)).collect()}
+    assert found == {k: 0 for k in range(100)}
