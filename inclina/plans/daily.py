@@ -264,6 +264,7 @@ def training_rows(panel: DataFrame, label: str = "tenencia_tdc", share: float =
     is applied to both sides."""
     rows = ordered_split(with_distance(panel, label), "id_cliente", share, "_side")
     train, test = (rows.where(F.col("_side") == s).drop("_side") for s in ("train", "test"))
+    train = materialize(train)  # every step of the recipe and the sampling read it
     recipe = fit_recipe(train, label)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(train.columns)])
     return recipe.transform(downsample(train, label, key, seed)), recipe.transform(test)

@@ -111,6 +111,22 @@ def test_scoring_rows_are_shaped_like_training_rows(spark):
     assert got.select(*daily.MEASURES).first() == (0.0, 1.0, 0.0, 1.0, 2.0, 0.0)
 
 
+def test_training_rows_read_the_panel_a_few_times(spark):
+    """Distance, split, stored training rows and the test rows: four times; the recipe and the sampling read what is stored."""
+    rows = [(k, f"c{k % 40:02d}", *[float((k * p) % 97) for p in (3, 5, 7, 11, 13, 17)], "1" if k % 3 else "2", k % 50) for k in range(400)]
+    names = "NO_CREDITO long, id_cliente string, " + ", ".join(f"{m} double" for m in daily.MEASURES) + ", tenencia_tdc string, max_mes long"
+    read = spark.sparkContext.accumulator(0)
+
+    def watch(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    train, test = daily.training_rows(spark.createDataFrame(rows, names).mapInPandas(watch, names))
+    assert len(test.collect()) == 280 and 0 < len(train.collect()) <= 120
+    assert read.value <= 4 * len(rows)
+
+
 # ---- monthly ---------------------------------------------------------------------------------
 
 C = "ID_CLIENTE string, DESC_PROFESION string, SALARIO double, VIDA double, RELACION1 string, ESTATUS string, PRODUCTO string, DESC_EDUCACION string, N_TC double, N_PP double, N_DPF double, JUBILADO string, RESIDENCIA_CORREGIMIENTO string"
