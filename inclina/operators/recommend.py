@@ -81,15 +81,17 @@ def _block_products(block: int):
             codes = pd.factorize(rows["user"])[0]
             item_no, values = rows["item_no"].to_numpy(), rows["value"].to_numpy()
             for start in range(0, codes.max() + 1, TILE_USERS):
-                tiles = []
-                for side in current:
+                tiles, users = [], min(TILE_USERS, codes.max() + 1 - start)  # a batch often holds few users
+                for side in sorted({*current}):
                     own = (item_no // block == side) & (codes >= start) & (codes < start + TILE_USERS)
-                    value = np.zeros((TILE_USERS, block))
-                    seen = np.zeros((TILE_USERS, block))
+                    value = np.zeros((users, block))
+                    seen = np.zeros((users, block))
                     at = (codes[own] - start, item_no[own] % block)
                     value[at] = values[own]
                     seen[at] = 1.0
                     tiles.append((value, seen))
+                if current[0] == current[1]:  # one block with itself: the second tile is the first
+                    tiles *= 2
                 (x, a), (y, b) = tiles
                 sums[0] += x.T @ y
                 sums[1] += (x * x).T @ b
@@ -149,15 +151,16 @@ def co_rated_sums(df: DataFrame, user: str, item: str, value: str, block: int =
     user x item tiles. One (user, block pair) holds at most two blocks of ratings however active the
     user, and a task emits sums, not pairs. Up to ``block`` items there is exactly one block pair.
     """
-    items = materialize(number_rows(df.select(item).distinct(), [], [item], "item_no"))
+    # Stored, because items and tiles read it: centring alone is two shuffles.
+    rated = materialize(df.select(F.col(user).cast("string").alias("user"), F.col(item).alias("_item"), F.col(value).cast("double").alias("value")))
+    items = materialize(number_rows(rated.select("_item").distinct(), [], ["_item"], "item_no"))
     n_items = items.count()
     block = max(1, min(block, n_items))
     n_blocks = max(1, -(-n_items // block))
     items = items.withColumn("item_no", (F.col("item_no") - 1).cast("int"))
     lookup = F.broadcast(items) if n_items <= BROADCAST_ROWS else items
     rows = copies_to_block_pairs(
-        df.join(lookup, item).select(F.col(user).cast("string").alias("user"), "item_no", F.col(value).cast("double").alias("value")),
-        block, n_blocks,
+        rated.join(lookup, "_item").select("user", "item_no", "value"), block, n_blocks,
     )
     tiles = rows.repartition("block_i", "block_j", "user").sortWithinPartitions("block_i", "block_j", "user")
     partial = tiles.mapInPandas(
@@ -171,7 +174,7 @@ def co_rated_sums(df: DataFrame, user: str, item: str, value: str, block: int =
             F.col("j").alias("i"), F.col("i").alias("j"), "dot", F.col("sq_j").alias("sq_i"), F.col("sq_i").alias("sq_j"), "n"
         )
         one_way = one_way.unionByName(turned)
-    names = lambda a, b: items.select(F.col("item_no").alias(a), F.col(item).alias(b))
+    names = lambda a, b: items.select(F.col("item_no").alias(a), F.col("_item").alias(b))
     hint = F.broadcast if n_items <= BROADCAST_ROWS else (lambda d: d)
     return (
         one_way.join(hint(names("i", "item_i")), "i")

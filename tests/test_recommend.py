@@ -182,3 +182,17 @@ def test_no_changes(spark):
     sums = R.kept_sums(ratings(spark, cells), "u", "i", "r")
     got, want = similarities(R.update_sums(sums, ratings(spark, cells), none, "u", "i", "r")), brute_similarity(cells)
     assert set(got) == set(want)
+
+
+def test_sums_evaluate_their_ratings_once(spark):
+    rows = [(u, i, float(r)) for (u, i), r in world().items()]
+    read = spark.sparkContext.accumulator(0)
+
+    def watch(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    rated = spark.createDataFrame(rows, "u string, i string, r double").mapInPandas(watch, "u string, i string, r double")
+    assert R.co_rated_sums(rated, "u", "i", "r").count() > 0
+    assert read.value == len(rows)
