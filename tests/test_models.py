@@ -178,3 +178,19 @@ def test_known_p_values():
     assert beta_tail(2, 3, 0.4) == pytest.approx(0.5248)
     assert correlation_p_value(0.5, 12) == pytest.approx(0.0979, abs=2e-4)
     assert beta_tail(5, 0.5, 0.75) == pytest.approx(correlation_p_value(0.5, 12))
+
+
+def test_crowded_products_take_turns_and_cache_what_they_read(spark, data, monkeypatch):
+    df = data.withColumn("other", F.when(F.col("noise") > 0, "1").otherwise("2"))
+    specs = [M.ProductSpec("a", "label", 1.0, ("signal", "noise")), M.ProductSpec("b", "other", "1", ("signal", "noise"))]
+    assert M._needed(df, specs).columns == [c for c in df.columns if c in ("signal", "noise", "label", "other")]
+    assert M._needed(df, [M.ProductSpec("a", "label", 1.0, ("signal",), rows="weak > -5")]).columns == df.columns
+    used, through = [], M.side_by_side
+    monkeypatch.setattr(M, "side_by_side", lambda fn, items, threads=4: used.append(threads) or through(fn, items, threads))
+    build = lambda **c: LogisticRegression(**c)
+    few = M.train_products(df, specs, build)
+    monkeypatch.setattr(M, "CROWDED_ROWS", 1)
+    many = M.train_products(df, specs, build)
+    assert used == [4, 1]
+    for p in "ab":
+        assert many[p].stages[-1].coefficients.toArray() == pytest.approx(few[p].stages[-1].coefficients.toArray(), rel=1e-6)
