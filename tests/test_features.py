@@ -204,3 +204,25 @@ def test_flags_send_few_values(spark, monkeypatch):
     )
     assert _flags(P.nzv_flags(df, df.columns, buckets=64)) == {"id": False, "even": False, "leaning": True}
     assert max(sizes) <= 3 * 64 + 3
+
+
+def test_flags_tell_doubles_apart_like_their_text(spark):
+    """Minus zero, NaN, nulls and neighbouring doubles; flags equal those of the whole count, however few the buckets."""
+    nan = float("nan")
+    odd = [0.0] * 10 + [-0.0] * 10 + [nan] * 5 + [None] * 5
+    skewed = [0.0] * 28 + [-0.0, None]
+    close = [0.1] * 29 + [0.1 + 2**-56]
+    rows = [(a, b, c, nan, str(i % 2), float(i), i) for i, (a, b, c) in enumerate(zip(odd, skewed, close))]
+    df = spark.createDataFrame(rows, "odd double, skewed double, close double, one double, text string, many double, whole int")
+    wanted = {r["variable"]: r["nzv"] for r in P.nzv_table(df, df.columns).collect()}
+    for buckets in (1, 2, 1024):
+        assert {r["variable"]: r["nzv"] for r in P.nzv_flags(df, df.columns, buckets=buckets).collect()} == wanted
+    assert wanted["skewed"] and wanted["one"] and not wanted["odd"]
+
+
+def test_two_largest_read_their_counts_once(spark, plan_of):
+    counts = spark.range(40).select((F.col("id") % 3).alias("k"), F.when(F.col("id") == 5, 9).otherwise(F.col("id") % 4).alias("m"))
+    alone = spark.createDataFrame([(7, 2)], "k long, m long")
+    found = P.top_two(counts.unionByName(alone), ["k"], "m")
+    assert "Range" not in plan_of(found)
+    assert {tuple(r) for r in found.collect()} == {(0, 14, 3, 3), (1, 13, 3, 3), (2, 13, 9, 3), (7, 1, 2, 0)}

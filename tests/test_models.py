@@ -194,3 +194,23 @@ def test_crowded_products_take_turns_and_cache_what_they_read(spark, data, monke
     assert used == [4, 1]
     for p in "ab":
         assert many[p].stages[-1].coefficients.toArray() == pytest.approx(few[p].stages[-1].coefficients.toArray(), rel=1e-6)
+
+
+def test_product_leaderboards_go_side_by_side_while_small(data, monkeypatch):
+    specs = [M.ProductSpec(p, "label", 1.0, ("signal", "noise")) for p in "ab"]
+    kept = [c for c in M.default_candidates() if c.name == "glm_plain"]
+    used, through = [], M.side_by_side
+
+    def noted(fn, items, threads=4):
+        items = list(items)
+        if items and isinstance(items[0], M.ProductSpec):
+            used.append(threads)
+        return through(fn, items, threads)
+
+    monkeypatch.setattr(M, "side_by_side", noted)
+    few = M.product_leaderboards(data, specs, "id", kept)
+    monkeypatch.setattr(M, "CROWDED_ROWS", 1)
+    many = M.product_leaderboards(data, specs, "id", kept)
+    assert used == [4, 1] and list(few) == list(many) == ["a", "b"]
+    for p in "ab":
+        assert few[p].test_auc == many[p].test_auc and few[p].cells == many[p].cells
