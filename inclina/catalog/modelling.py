@@ -387,7 +387,9 @@ def _(t):
 
 
 def _text_split(t: Tables):
-    rows = models.assembler(TEXT).transform(e.labelled_texts(t)).select("doc_id", "label", "features")
+    """Train, valid and test rows. The features are counted in the texts once, for all sides and all passes of a fit: a filter
+    on the side is not pushed below the assembler, so that every side would count in all texts again."""
+    rows = materialize(models.assembler(TEXT).transform(e.labelled_texts(t)).select("doc_id", "label", "features"))
     sides = sampling.hash_split(rows, "doc_id", [0.7, 0.1, 0.2], 1234, ["train", "valid", "test"])
     return [sides.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")]
 

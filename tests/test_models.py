@@ -214,3 +214,18 @@ def test_product_leaderboards_go_side_by_side_while_small(data, monkeypatch):
     assert used == [4, 1] and list(few) == list(many) == ["a", "b"]
     for p in "ab":
         assert few[p].test_auc == many[p].test_auc and few[p].cells == many[p].cells
+
+
+def test_text_features_are_counted_once(spark, tmp_path, plan_of):
+    from inclina.catalog import modelling
+    from inclina.catalog.base import Tables
+
+    docs = [(i, f"Word {i}.\n" * (i % 5 + 1), i % 5) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    sides = modelling._text_split(Tables(spark, str(tmp_path)))
+    assert sum(side.count() for side in sides) == 50
+    for side in sides:
+        plan = plan_of(side)
+        assert "regexp" not in plan and "documents" not in plan
+        assert all(r["features"][1] == 2 * (r["doc_id"] % 5 + 1) for r in side.collect())
