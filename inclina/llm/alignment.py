@@ -80,9 +80,6 @@ _PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?[{_LETTER}]+|\x20?[{_NUMBER}]+|\x20?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 
-#: A piece that begins with a space and goes on with anything but white space.
-_OPEN = re.compile(rf"\x20[^{_BLANK}]")
-
 
 class Sides:
     """Both tokenizers and, per id, the token's bytes, its length and its decimal spellings."""
@@ -97,7 +94,7 @@ class Sides:
         self.a.no_padding()
         self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
         letters, names = byte_level(), {i: t for t, i in self.a.get_vocab().items()}
         of_a = [bytes(letters[c] for c in t) if (t := names.get(i, "")) and all(c in letters for c in t) else names.get(i, "").encode() for i in range(max(names) + 1)]
         of_b = [self._bytes_of_b(i) for i in range(self.b.get_piece_size())]
@@ -113,28 +110,30 @@ class Sides:
     def encode(self, texts: list[str]) -> dict[str, pa.ListArray]:
         """The ids of non-empty texts on both sides."""
         return {
-            "a": _lists(self._encode_a([" " + t for t in texts])),
+            "a": _packed_lists(self._packed_a([" " + t for t in texts])),
             "b": _lists(self.b.encode(texts, num_threads=1)),
         }
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """The ids of pieces of simple texts. A row of pieces that open with a space before something visible is cut into
+    def _of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces of simple texts, packed. A row of pieces that open with a space before something visible is cut into
         just these pieces again, so they are encoded as one text, whose tokens are dealt back by their bytes."""
-        row = [p for p in pieces if _OPEN.match(p)]
-        others = [p for p in pieces if not _OPEN.match(p)]
-        out = dict(zip(others, self._whole(others)))
+        row, others = [], []
+        for p in pieces:
+            (row if p[0] == " " and not p.isspace() else others).append(p)
+        out = {p: _packed(ids) for p, ids in zip(others, self._whole(others))}
         if row:
-            ids = self._whole(["".join(row)])[0]
-            ends = np.cumsum(self.lengths["a"].take(pa.array(ids, pa.int32())).to_numpy())
-            places = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in row])) + 1
-            out.update((p, ids[s:e]) for p, s, e in zip(row, [0, *places[:-1].tolist()], places.tolist()))
+            ids = np.array(self._whole(["".join(row)])[0], np.int32)
+            ends = np.cumsum(self.lengths["a"].take(pa.array(ids)).to_numpy())
+            places = (np.searchsorted(ends, np.cumsum(pc.binary_length(pa.array(row)).to_numpy(), dtype=np.int64)) + 1) * ids.itemsize
+            packed, stops = ids.tobytes(), places.tolist()
+            out.update(zip(row, [packed[s:e] for s, e in zip([0, *stops], stops)]))
         return out
 
-    def _encode_a(self, texts: list[str]) -> list[list[int]]:
-        """A's ids. Its merges never cross its pieces, so simple texts are put together from pieces' ids, each piece
+    def _packed_a(self, texts: list[str]) -> list[bytes]:
+        """A's ids, packed. Its merges never cross its pieces, so simple texts are put together from pieces' ids, each piece
         encoded when it is new; other texts go through A whole."""
         pieces = [_PIECES.findall(t) if _SIMPLE.fullmatch(t) else None for t in texts]
         if len(self.memo) > MEMO:
@@ -142,12 +141,15 @@ class Sides:
         new = list(set().union(*(p for p in pieces if p is not None)).difference(self.memo))
         self.memo.update(self._of_pieces(new))
         known, whole = self.memo, iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        ids = [next(whole) if own is None else list(chain.from_iterable([known[p] for p in own])) for own in pieces]
+        ids = [_packed(next(whole)) if own is None else b"".join([known[p] for p in own]) for own in pieces]
         for piece in new:
             if len(piece) > MEMO_CHARS:
                 del self.memo[piece]
         return ids
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self._packed_a(texts)]
+
     def spell(self, side: str, tokens: pa.ListArray, wanted: list[bytes]) -> list[bool]:
         """Whether each document's tokens join to the wanted bytes."""
         ids = pc.list_flatten(tokens)
@@ -157,6 +159,15 @@ class Sides:
         return [whole[s:e] == w for s, e, w in zip(ends[:-1].tolist(), ends[1:].tolist(), wanted)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def _packed_lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids]) // 4]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def _lists(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
