@@ -6,7 +6,8 @@ length, and one place per structure or metadata statistic for the bin its value
 ``RANK`` in time linear in the words, by the sum-of-squares identity.
 
 Training reads a bounded sample: about ``max_rows`` labelled documents chosen by a hash of the id, whose
-features (a few hundred numbers each) are fitted on the driver by Adam. Everything else (features of
+features (a few hundred numbers each) are fitted on the driver by Adam. They arrive as Arrow columns and stay packed there, two
+bytes a place. Everything else (features of
 all documents, scores) runs in one pass over whole texts without a shuffle; the model, a few hundred
 kB whatever the corpus, goes along with the tasks.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,7 +105,12 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, least
         return Machine(np.zeros((len(STATS), BINS - 1)), 0.0, np.zeros(dims), np.zeros((dims, RANK)))
     stats = np.array([r[1] for r in rows])
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T
-    vectors = [Machine.vector(edges, r[0], r[1]) for r in rows]
+    bins = np.column_stack([np.searchsorted(edges[i], stats[:, i], side="right") + WORD_DIMS + i * BINS for i in range(len(STATS))]).astype(np.uint16)
+    vectors = [np.concatenate([np.asarray(r[0], np.uint16), b]) for r, b in zip(rows, bins)]
+    widths = np.array([len(v) for v in vectors])
+    words = widths - len(STATS)
+    scales = np.column_stack([1 / np.sqrt(np.maximum(words, 1)), np.ones(len(rows))])
+    spans = np.column_stack([words, np.full(len(rows), len(STATS))])
     y = np.array([r[2] for r in rows], dtype=float)
     rate0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
     bias, w, v = math.log(rate0 / (1 - rate0)), np.zeros(dims), rng.normal(0, 0.02, (dims, RANK))
@@ -115,10 +122,10 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], epochs: int = 14, least
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
-            at = np.concatenate([vectors[i][0] for i in part])
-            x = np.concatenate([vectors[i][1] for i in part])
-            first = np.cumsum([0] + [len(vectors[i][0]) for i in part[:-1]])
-            width = np.diff(np.append(first, len(at)))
+            at = np.concatenate([vectors[i] for i in part]).astype(np.int64)
+            x = np.repeat(scales[part].ravel(), spans[part].ravel())
+            width = widths[part]
+            first = np.cumsum(width) - width
             px = p[at] * x[:, None]
             total = np.add.reduceat(px, first)
             squares = np.add.reduceat(px[:, 1:] ** 2, first)
@@ -163,13 +170,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
         for batch in batches:
             found = [features(t, c, memo) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(3)],
+                [batch.column(0), pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(3)],
                 names=["id", "places", "stats", "y"],
             )
 
-    got = rows.mapInArrow(extract, "id long, places array<int>, stats array<double>, y int").collect()
-    got.sort(key=lambda r: (r["id"], r["places"], r["stats"]))
-    return fit([(np.array(r["places"], dtype=np.int64), list(r["stats"]), r["y"]) for r in got])
+    got = rows.mapInArrow(extract, "id long, places binary, stats array<double>, y int").toArrow()
+    ids, y = got["id"].to_pylist(), got["y"].to_pylist()
+    places = [np.frombuffer(p.as_buffer(), "<u2") for p in got["places"]]
+    stats = np.array(got["stats"].to_pylist()).reshape(-1, len(STATS))
+    times = Counter(ids)
+    # rows of one id come by their features, so that the fit does not depend on how the table is split
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], places[i].tolist(), stats[i].tolist()) if times[ids[i]] > 1 else (ids[i],))
+    return fit([(places[i], stats[i], y[i]) for i in order])
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -71,3 +72,36 @@ def test_reruns_agree(spark):
     table = spark.createDataFrame(labels, LABELS)
     one, two = (quality.train(documents(spark, data).repartition(k), table) for k in (1, 4))
     assert one.bias == two.bias and (one.w == two.w).all()
+
+
+def peak_mb(fn):
+    """What ``fn`` returns and the most memory its Python objects took on the driver meanwhile."""
+    tracemalloc.start()
+    try:
+        return fn(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_rows_stay_packed_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(f"w{w}" for w in rng.integers(0, 10**6, 400)), None, None, None) for i in range(1500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1500)], LABELS)
+    docs, held = documents(spark, data), {i for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 0}
+    monkeypatch.setattr(quality, "fit", lambda rows: list(rows))
+    rows, mb = peak_mb(lambda: quality.train(docs, labels))
+    assert mb < 5  # as lists of integers: over 15
+    known = [i for i in range(1500) if i not in held]
+    assert [r[2] for r in rows] == [i % 2 for i in known]
+    for r, i in zip(rows, known):
+        places, stats = quality.features(data[i][1], None, {})
+        assert r[0].tolist() == places.tolist() and list(r[1]) == stats
+
+
+def test_fit_keeps_two_bytes_a_place():
+    rng = np.random.default_rng(4)
+    stats = rng.normal(size=(4000, len(quality.STATS)))
+    rows = [(np.unique(rng.integers(0, quality.WORD_DIMS, 300)).astype(np.uint16), stats[i], i % 2) for i in range(4000)]
+    rows[0] = (np.zeros(0, np.uint16), stats[0], 1)  # a text without words
+    machine, mb = peak_mb(lambda: quality.fit(rows, epochs=1, least_steps=1, batch=16))
+    assert mb < 10 and np.isfinite(machine.v).all()  # with 16 bytes a place: over 18

@@ -71,6 +71,17 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(200)}}
 
 
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars, repeated, reversed or loops besides, are stored once; others once more per round that changes them."""
+    kept = []
+    monkeypatch.setattr(components, "stored", lambda df, name: kept.append(name) or df.localCheckpoint())
+    roots = lambda edges: {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    star = [(0, i) for i in range(1, 9)] + [(3, 0), (5, 5), (20, 30), (None, 4)]
+    assert roots(star) == {**{i: 0 for i in range(9)}, 20: 20, 30: 20} and len(kept) == 1
+    assert roots([]) == {} and len(kept) == 2
+    assert roots([(9, i) for i in range(1, 9)]) == {i: 1 for i in range(1, 10)} and len(kept) == 4
+
 def shingles(text, n=5):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
