@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 WORD_DIMS = 1 << 12
 RANK = 6
 BINS = 12
+#: Words remembered per task; more take memory from the executor and are not found faster.
+MEMO = 1 << 14
 #: Scores from here on are predicted good.
 GOOD = 0.3
 _UPPER = bytes(range(65, 91))
@@ -48,7 +50,7 @@ _ENDS = bytes(ord("!") if b in _MARKS else ord(" ") if b in b" \t\n\x0b\x0c\r" e
 
 
 def bucket(word: bytes, memo: dict[bytes, int]) -> int:
-    if len(memo) > 1 << 18:
+    if len(memo) >= MEMO:
         memo.clear()
     return memo.setdefault(word, zlib.crc32(word) % WORD_DIMS)
 

@@ -105,3 +105,9 @@ def test_fit_keeps_two_bytes_a_place():
     rows[0] = (np.zeros(0, np.uint16), stats[0], 1)  # a text without words
     machine, mb = peak_mb(lambda: quality.fit(rows, epochs=1, least_steps=1, batch=16))
     assert mb < 10 and np.isfinite(machine.v).all()  # with 16 bytes a place: over 18
+
+
+def test_remembered_words_are_few():
+    memo = {}
+    places = [quality.bucket(b"w%d" % i, memo) for i in range(40_000)]
+    assert len(memo) <= 1 << 14 and places == [zlib.crc32(b"w%d" % i) % quality.WORD_DIMS for i in range(40_000)]
