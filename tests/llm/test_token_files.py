@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import documents, got, rows
 from hypothesis import given, settings
@@ -47,6 +48,32 @@ def test_literals_of_added_tokens(text):
     assert own == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_encoded_once(monkeypatch):
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(150_000)]
+    encode_one, calls = token_files.WordEncoder._piece, []
+    monkeypatch.setattr(token_files.WordEncoder, "_piece", lambda self, piece: calls.append(piece) or encode_one(self, piece))
+    encoder = token_files.WordEncoder(FILE, 2)
+    parts = [" ".join(words[at : at + 30_000]) for at in range(0, len(words), 30_000)]
+    first, again = [encoder(text) for text in parts], [encoder(text) for text in parts]
+    assert first == again
+    assert sorted(p for p in calls if p != "\n") == sorted(words)
+
+
+def test_small_slices_and_memo(monkeypatch):
+    texts = ["a b", None, "", " \n", "It's  12 été, l'été x\xa0y \x1c\x85", "漢字 Σας é" * 9, "a <|endoftext|> b", "b a B A", "z" * 300 + " a"] * 3
+    monkeypatch.setattr(token_files, "MEMO", 200)
+    monkeypatch.setattr(token_files, "SLICE", 16)
+    encoder, whole = token_files.WordEncoder(FILE, 2), Tokenizer.from_file(FILE)
+    slices = list(token_files._slices(pa.array(texts)))
+    assert [t for part in slices for t in part.to_pylist()] == texts
+    assert all(len(part) == 1 or len("".join(filter(None, part.to_pylist())).encode()) <= 16 for part in slices)
+    own = []
+    for part in slices:
+        own += encoder.all(part)
+        assert all(memo.keys.nbytes + memo.values.nbytes <= 200 for memo in (encoder.pieces, encoder.words))
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in own] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def expected(data):
     whole = Tokenizer.from_file(FILE)
     ordered = sorted(data, key=lambda r: (float("inf") if r[0] is None else r[0], r[1] is not None, (r[1] or "").encode()))
