@@ -191,10 +191,11 @@ def evaluate_model(model: Transformer, df: DataFrame, label: str = "label") -> d
 
 
 def leaderboard(
-    train: DataFrame, valid: DataFrame, candidates: Sequence[Candidate] | None = None, max_models: int = 10,
+    train: DataFrame, valid: DataFrame, candidates: Sequence[Candidate] | None = None, max_models: int | None = None,
     label: str = "label", features: str = "features", weight: str | None = None, threads: int = 4,
 ) -> Leaderboard:
-    """Fit up to ``max_models`` settings on the same rows and rank them on the same validation rows.
+    """Fit all settings (the first ``max_models``, where the caller sets a budget) on the same rows and rank them on the same
+    validation rows.
 
     ``weight`` names a balancing weight column (settings without weight support are refused).
     """

@@ -70,6 +70,26 @@ def test_leaderboard_order_and_family(vectors, spark):
     assert len(M.default_candidates()) == 10
 
 
+def test_leaderboard_ranks_every_setting(vectors):
+    settings = [M.Candidate(f"glm_{i}", "glm", M._with(LogisticRegression, regParam=0.01 * i, maxIter=2)) for i in range(11)]
+    assert {r["name"] for r in M.leaderboard(vectors, vectors, settings).rows} == {c.name for c in settings}
+    assert [r["name"] for r in M.leaderboard(vectors, vectors, settings, max_models=2).rows] == ["glm_0", "glm_1"]
+
+
+def test_monthly_leaderboards_rank_all_ten_settings(spark, monkeypatch):
+    from inclina.catalog import QUERIES, modelling
+    from inclina.plans import monthly
+
+    ranked = []
+    for name in ("customers", "occupations", "distances"):
+        monkeypatch.setattr(modelling.e, name, lambda t: None)
+    rows = spark.createDataFrame([("1", 1.0, 0.0, 1.0, 0.0)], "ID_CLIENTE string, a double, N_TC1 double, N_PP1 double, N_DPF1 double")
+    monkeypatch.setattr(monthly, "monthly_features", lambda *tables: rows)
+    monkeypatch.setattr(monthly, "product_leaderboards", lambda df, specs, customer, candidates, *rest, **more: ranked.extend(candidates) or {})
+    assert QUERIES["monthly_leaderboards"](spark, "").count() == 0
+    assert [c.name for c in ranked] == [c.name for c in M.default_candidates()] and len(ranked) == 10
+
+
 def test_stack_scores_through_its_bases(vectors, tmp_path):
     bases = [c for c in M.default_candidates() if c.name in ("glm_ridge", "gbm_shallow")]
     model = M.stack(vectors, bases, "id", k=2)
