@@ -90,6 +90,18 @@ def test_monthly_leaderboards_rank_all_ten_settings(spark, monkeypatch):
     assert [c.name for c in ranked] == [c.name for c in M.default_candidates()] and len(ranked) == 10
 
 
+def test_product_leaderboards_query_ranks_all_ten_settings(spark, monkeypatch):
+    from inclina.catalog import QUERIES, modelling
+
+    ranked = []
+    for name in ("movements", "openings"):
+        monkeypatch.setattr(modelling.e, name, lambda t: None)
+    monkeypatch.setattr(modelling.daily, "daily_panel", lambda *tables: None)
+    monkeypatch.setattr(M, "product_leaderboards", lambda df, specs, customer, candidates, *rest, **more: ranked.extend(candidates) or {})
+    assert QUERIES["product_leaderboards"](spark, "").count() == 0
+    assert [c.name for c in ranked] == [c.name for c in M.default_candidates()] and len(ranked) == 10
+
+
 def test_stack_scores_through_its_bases(vectors, tmp_path):
     bases = [c for c in M.default_candidates() if c.name in ("glm_ridge", "gbm_shallow")]
     model = M.stack(vectors, bases, "id", k=2)
