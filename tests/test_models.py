@@ -307,6 +307,17 @@ def test_product_leaderboards_go_side_by_side_while_small(data, monkeypatch):
         assert few[p].test_auc == many[p].test_auc and few[p].cells == many[p].cells
 
 
+def test_crowded_candidates_take_turns(data, monkeypatch):
+    specs = [M.ProductSpec("a", "label", 1.0, ("signal", "noise"))]
+    kept = [c for c in M.default_candidates() if c.name in ("glm_plain", "glm_ridge")]
+    used, through = [], M.leaderboard
+    monkeypatch.setattr(M, "leaderboard", lambda *given, threads=4: used.append(threads) or through(*given, threads=threads))
+    few = M.product_leaderboards(data, specs, "id", kept)["a"]
+    monkeypatch.setattr(M, "CROWDED_ROWS", 1)
+    many = M.product_leaderboards(data, specs, "id", kept)["a"]
+    assert used == [4, 1] and [r["name"] for r in few.board.ranked()] == [r["name"] for r in many.board.ranked()]
+
+
 def test_text_features_are_counted_once(spark, tmp_path, plan_of):
     from inclina.catalog import modelling
     from inclina.catalog.base import Tables
