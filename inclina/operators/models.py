@@ -370,8 +370,8 @@ def binning(df: DataFrame, features: Sequence[str], bins: int) -> Bucketizer:
     found = df.approxQuantile(list(features), [i / PLACES for i in range(PLACES + 1)], 0.5 / PLACES)
     splits = []
     for values in found:
-        upper = {math.nextafter(c, math.inf) for c in bin_cuts(values, bins)} or {values[0] if values else 0.0}
-        splits.append([-math.inf, *sorted(c for c in upper if math.isfinite(c)), math.inf])
+        upper = {math.nextafter(c, math.inf) for c in bin_cuts(values, bins)} - {math.inf} or {0.0}
+        splits.append([-math.inf, *sorted(upper), math.inf])
     return Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=[f"_bin_{c}" for c in features])
 
 
@@ -396,7 +396,7 @@ class Cells:
         rows = self.df.where(F.col(f"_label{i}").isNotNull()).groupBy(*binned, F.col(f"_label{i}").alias("label")).agg(F.sum("_n").alias("_n"))
         assemble = assembler(binned)
         part = assemble.transform(rows).select("features", "label", F.col("_n").cast("double").alias("_n"))
-        model = estimator.copy().setWeightCol("_n").setMaxBins(CELL_MAX_BINS).fit(part)
+        model = estimator.copy().setWeightCol("_n").setMaxBins(max(CELL_MAX_BINS, estimator.getMaxBins())).fit(part)
         return PipelineModel([self.bins, assemble, model, drop_columns(self.bins.getOutputCols())])
 
 
@@ -412,7 +412,7 @@ def product_cells(df: DataFrame, specs: Sequence[ProductSpec], estimator: Estima
     # an unknown number gets no bin, which the assembly of the products that use it refuses
     plain = known.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in used})
     keys = [*bins.getOutputCols(), *labels]
-    binned = bins.transform(plain).select(*[F.col(c).cast("smallint").alias(c) for c in keys])
+    binned = bins.transform(plain).select(*[F.col(c).cast("int").alias(c) for c in keys])
     if binned.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0] * CELL_ROWS > n:
         return None
     return Cells(materialize(binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))), bins)

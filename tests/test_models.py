@@ -238,7 +238,7 @@ class Read(GBTClassifier):
         return super()._fit(rows)
 
 
-def test_crowded_boosting_reads_counted_cells(spark, monkeypatch):
+def test_crowded_boosting_reads_counted_cells(spark, monkeypatch, tmp_path):
     """Features of few values: the cells hold all of the rows' information, so the models are those of the rows."""
     rng = random.Random(3)
     rows = []
@@ -261,6 +261,8 @@ def test_crowded_boosting_reads_counted_cells(spark, monkeypatch):
     for r in both.where("a BETWEEN -3 AND 3 AND b IN (-1e300, 0.0, 1.5, 7.25)").collect():
         assert r["c_x"] == pytest.approx(r["p_x"], abs=1e-9) and r["c_y"] == pytest.approx(r["p_y"], abs=1e-9)
     assert both.select("c_x").distinct().count() > 3
+    save_model(counted["x"], str(tmp_path / "cells"))
+    assert add_scores(both, {"again": load_model(str(tmp_path / "cells"))}).where("again != c_x").count() == 0
 
 
 def test_cells_are_left_where_they_do_not_serve(spark, data, monkeypatch):
@@ -270,6 +272,8 @@ def test_cells_are_left_where_they_do_not_serve(spark, data, monkeypatch):
     assert M.product_cells(data.crossJoin(spark.range(4)), spec, boost, 1200).df.agg(F.sum("_n")).first()[0] == 1200
     for other in (RandomForestClassifier(), LogisticRegression(), GBTClassifier(subsamplingRate=0.5), GBTClassifier(minInstancesPerNode=5), GBTClassifier(weightCol="weak")):
         assert M.product_cells(data, spec, other, 10**9) is None
+    flat = data.crossJoin(spark.range(4)).withColumns({"noise": F.lit(math.inf), "signal": F.lit(2.0)})
+    assert M.product_cells(flat, spec, boost, 1200).df.count() == 2
     unknown = data.withColumn("noise", F.when(F.col("weak") < 0, F.lit(float("nan"))).otherwise(1.0)).crossJoin(spark.range(40))
     monkeypatch.setattr(M, "CROWDED_ROWS", 1)
     build = lambda **c: GBTClassifier(maxIter=1, **c)
